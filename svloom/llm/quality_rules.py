@@ -96,7 +96,10 @@ def judge(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD) -> D
         F.when(n > 0, total / (2 * n - 1)).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    # A filter on the verdict must not move below the projections: it would take all their arrays into one
+    # expression and compute them anew for each word. Spark leaves a filter above a non-deterministic field.
+    always = F.monotonically_increasing_id() >= 0
+    return out.withColumn("base_failed", failed).withColumn("kept", F.coalesce(always & ~failed & (F.col("score") >= threshold), F.lit(False)))
 
 
 def quality_rules(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
