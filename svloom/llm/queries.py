@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from svloom.llm import minhash, packing, quality_rules, toxicity
+from svloom.llm import embedding_dedup, language_id, minhash, packing, quality_classifier, quality_rules, sentencepiece_nbest, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -37,6 +41,47 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "quality", fold=0, folds=5, limit=quality_classifier.MAX_TRAIN_DOCS)
+    scored = quality_classifier.scores(docs, quality_classifier.train(labelled))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+#: Fixed rules: host, path prefix, action.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP7_SQL = """
+with rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+hosts as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from rest),
+parts as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from hosts),
+rules(h, p, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+met as (select parts.page_id, parts.host, parts.path, h || p as rule, verdict,
+  row_number() over (partition by parts.page_id order by length(h || p) desc, h || p) as k
+  from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select parts.page_id, parts.host, parts.path, met.rule, coalesce(met.verdict, 'allow') as verdict
+from parts left join met on met.page_id = parts.page_id and met.k = 1
+"""
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "pages"), model)
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame):
     return toxicity.train(toxicity.labelled(docs, labels, "toxic", fold=1, folds=3))
 
@@ -49,9 +94,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_minhash_near_dedup, op3_packing, op4_quality_rules, op9_toxicity]
+    ops = [op1_minhash_near_dedup, op2_embedding_near_dedup, op3_packing, op4_quality_rules, op5_warc, op6_quality_classifier, op7_url_filter, op8_sentencepiece, op9_toxicity, op10_language_id]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": OP7_SQL}
