@@ -36,7 +36,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
@@ -105,7 +105,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np
     return out
 
 
-def slices(texts: pa.Array, size: int = 2 << 20):
+def slices(texts: pa.Array, size: int = 1 << 20):
     """(first, last) row ranges whose texts together have about ``size`` bytes, or one longer text."""
     _, offsets = column(texts)
     first, rows = 0, len(texts)

@@ -33,7 +33,7 @@ QUADRATIC = 1 / 1024
 END_ID = 1
 GROUP_TOKENS = 2_000_000
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 
 #: Latin letters, of which lower case and composition are plain, with punctuation after them: two pieces at most.

@@ -15,7 +15,7 @@ from svloom.llm import bytewords as bw
 
 BITS = 20
 #: Bound of the training sample, and passes over it.
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES, EPOCHS = 9_000, 40_000_000, 3
+MAX_TRAIN_DOCS, MAX_TRAIN_FEATURES, EPOCHS = 6_000, 30_000_000, 3
 #: FTRL-proximal: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
 THRESHOLD = 0.7
@@ -84,23 +84,28 @@ def sigmoid(x):
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, epochs: int = EPOCHS):
-    """Compact weights from ``labelled`` (id, text, label): a sample of at most ``max_docs`` rows and MAX_TRAIN_BYTES.
+    """Compact weights from ``labelled`` (id, text, label): a sample of at most ``max_docs`` rows and MAX_TRAIN_FEATURES in all.
 
     The sample is those with the smallest hash of their id, and is learnt in that order, so the same rows
-    give the same model on any cluster.
+    give the same model on any cluster. Executors make the features; the driver gets numbers only.
     """
-    rows = labelled.where("label is not null").select("id", "text", "label", F.xxhash64(F.col("id"), F.lit(9)).alias("at"))
-    rows = rows.orderBy("at", "label", F.xxhash64("text")).limit(max_docs)
-    model, room = Ftrl(), MAX_TRAIN_BYTES
-    data: list[tuple[np.ndarray, float]] = []
-    for row in rows.select("text", "label").toLocalIterator():
-        room -= len(row.text or "")
-        if room < 0:
-            break
-        data.append((features(row.text).astype(np.int32), float(row.label)))
-    for _ in range(epochs if any(y for _, y in data) else 0):
-        for at, y in data:
-            model.learn(at, y)
+
+    def apply(batches):
+        for batch in batches:
+            lists = pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=["at", "label", "order"])
+
+    rows = labelled.where("label is not null").select("text", "label", F.xxhash64(F.col("id"), F.lit(9)).alias("order"))
+    made = rows.orderBy("order", "label", F.xxhash64("text")).limit(max_docs).repartition(16).mapInArrow(apply, "at array<int>, label double, order long")
+    table = made.toArrow()
+    order = np.lexsort((table.column("label").to_numpy(), table.column("order").to_numpy()))
+    at, labels = table.column("at").combine_chunks(), table.column("label").to_numpy()
+    ends, flat = at.offsets.to_numpy(), at.values.to_numpy()
+    room = np.searchsorted(np.cumsum(np.diff(ends)[order]), MAX_TRAIN_FEATURES, "right")
+    model = Ftrl()
+    for _ in range(epochs if labels.any() else 0):
+        for i in order[:room].tolist():
+            model.learn(flat[ends[i] : ends[i + 1]], float(labels[i]))
     return model.compact()
 
 
