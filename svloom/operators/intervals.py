@@ -77,7 +77,7 @@ def focus(windows: DataFrame, intervals: DataFrame, key: str, size: int, sub: in
     first = F.greatest(F.floor((F.col("r_start") - F.col("l_start")) / sub), F.lit(0))
     last = F.least(F.floor((F.col("r_end") - 1 - F.col("l_start")) / sub), F.lit(size // sub - 1))
     first = F.when(F.col("r_end") - F.col("r_start") == 1, F.greatest(first - 1, F.lit(0))).otherwise(first)
-    return met.select(key, F.col("l_start").alias("window_start"), "sv_id", F.explode(F.sequence(first, last)).cast("int").alias("subwindow_index")).distinct()
+    return met.select(key, F.col("l_start").alias("window_start"), "sv_id", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("subwindow_index")).distinct()
 
 
 def tile(positions: DataFrame, by: list[str], size: int, length: Column, value: Column) -> DataFrame:

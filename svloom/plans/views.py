@@ -91,7 +91,7 @@ def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cluster, hap (1-based), hap_id, states: 3 sites for regions 0 to 2, 2 sites for the others."""
     sites = F.when(F.col("r_regionkey") < 3, 3).otherwise(2)
     rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("cluster"), sites.alias("sites"))
-    rows = rows.select("cluster", "sites", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("sites")) - 1)).alias("bits"))
+    rows = rows.select("cluster", "sites", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, sites) - 1"))).alias("bits"))
     states = F.transform(F.sequence(F.lit(0), F.col("sites") - 1), lambda i: F.expr("int(0)") + F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1)))
     return rows.select("cluster", (F.col("bits") + 1).cast("int").alias("hap"), F.concat(F.lit("H"), (F.col("bits") + 1).cast("string")).alias("hap_id"), states.alias("states"))
 
