@@ -119,7 +119,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     per_domain = per_host.groupBy("domain", "suffix").agg(add("host_votes").alias("domain_votes"))
     per_domain = ws.table(per_domain, "domains")
     per_suffix = ws.table(per_domain.groupBy("suffix").agg(add("domain_votes").alias("suffix_votes")), "suffixes")
-    every = per_suffix.agg(add("suffix_votes").alias("v")).first()["v"] or [0.0] * n
+    every = [x or 0.0 for x in per_suffix.agg(add("suffix_votes").alias("v")).first()["v"]]
     levels = per_host.join(per_domain, ["domain", "suffix"]).join(per_suffix, "suffix").select("host", "host_votes", "domain_votes", "suffix_votes")
     levels = ws.table(levels, "levels")
     met = seen.join(levels, "host")

@@ -84,7 +84,8 @@ class Net:
         d = ((p - labels) / docs).astype(np.float32)
         g = {"out": z.T @ d, "last": d.sum(keepdims=True)}
         dz = d[:, None] * self.p["out"][None]
-        top = h == z[:, FILTERS:][of]
+        top = (h == z[:, FILTERS:][of]).astype(np.float32)
+        top /= np.add.reduceat(top, np.searchsorted(of, np.arange(docs)))[of]  # chunks that tie share the gradient
         dh = (dz[:, :FILTERS] / n)[of] + dz[:, FILTERS:][of] * top
         dh = dh * (h > 0)
         g["bias"] = dh.sum(0)
