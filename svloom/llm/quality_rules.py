@@ -59,11 +59,10 @@ def counts(docs: DataFrame, target: DataFrame) -> DataFrame:
 def log_ratios(counted: DataFrame) -> DataFrame:
     """One row with the array of the log ratios of all buckets, 0 everywhere if there is no target."""
     spark = counted.sparkSession
-    sums = counted.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("sr"), F.coalesce(F.sum("target"), F.lit(0)).alias("st"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").na.fill(0)
-    ratio = F.log((F.col("target") + 1) / (F.col("st") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("sr") + BUCKETS))
-    both = every.join(F.broadcast(sums)).select("bucket", F.when(F.col("st") > 0, ratio).otherwise(0.0).alias("r"))
-    return both.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"]).alias("ratios"))
+    row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("sr"), F.sum("target").alias("st"))
+    ratio = lambda x: F.log((x["target"] + 1) / (F.col("st") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("sr") + BUCKETS))
+    return row.select(F.transform("c", lambda x: F.when(F.col("st") > 0, ratio(x)).otherwise(0.0)).alias("ratios"))
 
 
 def judge(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
