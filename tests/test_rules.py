@@ -80,7 +80,7 @@ def test_evidence_minimum_and_reads_without_support(spark):
     votes = spark.createDataFrame([(0, r, s, st, k) for r, k, s, st in [(1, "a", 0, 1), (1, "b", 0, 1), (2, "c", 0, 0)]], "cluster int, read_id int, sv int, st int, kmer string")
     index = ev.kmer_index(votes)
     assert [r.read_id for r in ev.read_evidence(votes, index, 2).collect()] == [1]
-    states = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "hap int, sv int, state int")
+    states = spark.createDataFrame([(0, 1, 0, 0), (0, 2, 0, 1)], "cluster int, hap int, sv int, state int")
     rows = {(r.read_id, r.hap1, r.hap2): (r.best, r.unexplained_absent) for r in ev.pair_reads(ev.read_evidence(votes, index, 1), states).collect()}
     assert rows == {(1, 1, 2): (4, 0), (1, 2, 2): (4, 0), (2, 1, 1): (1, 0), (2, 1, 2): (1, 0)}
 
