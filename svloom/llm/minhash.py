@@ -8,9 +8,9 @@ A sketch keeps the K smallest hashes of a set. Linked sets share at least ``need
 for n <= K; else a count that the hypergeometric law misses with probability under 1e-9). So, with the kept
 hashes ordered from rare to common, linked sets meet in the inverted list of one of their first
 ``len - need + 1`` hashes; hashes that most documents share are not listed. In a list not all pairs are formed:
-first every class is compared with one hub of each of its lists, twice, so that large groups of near copies
-join at linear cost. Then what is still in different components is compared pair by pair. A pair is verified on
-full sets only if its sketches' overlap does not rule it out.
+first every class is compared with one hub of each of its lists, in some rounds, so that large groups of near
+copies join at linear cost. Classes of a list that are still in different components then meet by the rare elements of
+their full sets, which tells close copies from those a sketch can't tell. Pairs are verified on full sets.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows get the same result. A null doc_id
 takes part in grouping; it is never the smallest of a group, and where a group has no id at all, component_id is
@@ -33,7 +33,9 @@ from svloom.llm.shared import Workspace, connected_components, with_small_side
 K = 96
 #: Linked if SHARE_PERCENT * union <= 100 * intersection.
 SHARE_PERCENT = 75
-HUB_ROUNDS = 2
+#: Which member of a list is its hub, round by round: that whose values are the most common (of near copies, the
+#: original that each of them edits), that with the smallest set, and any.
+HUBS = ["-popularity", "n", "xxhash64(cid)"]
 #: Chance that a sketch of a linked pair shares fewer than ``need`` values.
 MISS = 1e-9
 
@@ -117,12 +119,52 @@ def _overlap(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     met = met.where((100 * F.least("na", "nb") >= SHARE_PERCENT * F.greatest("na", "nb")))
     both = F.size(F.array_intersect("sa", "sb"))
     met = met.withColumn("shared", both).where(F.col("shared") >= F.greatest("needa", "needb"))
+    # sketches of small sets are the sets
+    exact = 100 * F.col("shared") >= SHARE_PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))
+    met = met.where((F.greatest("na", "nb") > K) | exact)
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
     inside = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb"))
     met = met.withColumn("inside", inside).where("inside >= least(needa, needb)")
     return met.select("cid", "a", "b", "da", "db", F.col("inside").alias("est"))
 
 
+def _full_prefix_pairs(ws: Workspace, left: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, da, db) of classes in ``left`` (cid, component) of different components that may be linked, by their full sets.
+
+    Sets of n and m linked elements share at least c = 3 (n + m) / 7 of them. Each set's elements are ordered from
+    rare to common; the first one that both have then stands so far in front in each that c can still follow. A
+    group of copies that all differ by edits of their own meets in none of these places.
+    """
+    spark = left.sparkSession
+    count = left.count()
+
+    def apply(batches):
+        for batch in batches:
+            ids, digests, texts_ = batch.columns
+            for a, b in bw.slices(texts_):
+                sets = bw.shingles(*bw.words(*bw.column(texts_.slice(a, b - a))))
+                good = [i for i, s in enumerate(sets) if _digest(s) == digests[a + i].as_py()]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + i for i in good], pa.int64())), pa.array([sets[i].view(np.int64) for i in good], pa.list_(pa.int64()))], names=["cid", "values"])
+
+    wanted = classes.select("cid", "d1").join(with_small_side(spark, left.select("cid"), count), "cid", "left_semi")
+    full = texts.join(with_small_side(spark, wanted, count), texts["doc_id"] == wanted["cid"]).select("cid", "d1", "text")
+    full = ws.table(full.mapInArrow(apply, "cid long, values array<long>").distinct(), "full")
+    rows = full.select("cid", F.size("values").alias("n"), F.explode("values").alias("value"))
+    common = ws.table(rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
+    per = rows.join(common, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
+    # place in the whole set, whose hashes of one class alone come first; beyond a quarter of it no linked set is met first
+    alone = F.col("n") - F.size("have")
+    first = F.greatest(F.ceil(F.col("n") * (100 - SHARE_PERCENT) / 100).cast("int") + 1 - alone, F.lit(0))
+    listed = per.select("cid", "n", F.size("have").alias("size"), F.posexplode(F.slice("have", F.lit(1), first)).alias("place", "x"))
+    listed = listed.select("cid", "n", (F.col("size") - F.col("place")).alias("rest"), F.col("x.value").alias("value")).join(left, "cid")
+    listed = ws.table(listed, "prefixes")
+    other = listed.select("value", F.col("cid").alias("b"), F.col("component").alias("of"), F.col("n").alias("nb"), F.col("rest").alias("restb"))
+    share = f"{100 + SHARE_PERCENT} * least(rest, restb) >= {SHARE_PERCENT} * (n + nb)"
+    pairs = listed.withColumnRenamed("cid", "a").join(other, "value").where(f"a < b and component <> of and {share}").select("a", "b").distinct()
+    digest = lambda k: classes.select(F.col("cid").alias(k), F.col("d1").alias(f"d{k}"))
+    return pairs.join(digest("a"), "a").join(digest("b"), "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -137,15 +179,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = F.when(F.col("n") <= 512, F.get(table, (F.col("n") - 1).cast("int"))).otherwise(F.lit(min(need(513), need(100_000)) - 1))
     classes = ws.table(classes.select(F.coalesce("id", own).alias("cid"), "d1", "d2", "n", "sketch", least.alias("need")), "classes")
 
-    kept = classes.select("cid", "need", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    kept = classes.select("cid", "n", "need", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     common = kept.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = ws.table(common, "common")  # as a table of its own, so that the join below can split a hot value
     met = kept.join(common, "value")
     # hashes of one class alone are the rarest of all: they come first and list nothing
-    per = met.groupBy("cid", "need", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
+    per = met.groupBy("cid", "n", "need", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
     alone = F.col("size") - F.size("have")
     first = F.greatest(F.col("size") - F.col("need") + 1 - alone, F.lit(0))
-    lists = ws.table(per.select("cid", F.explode(F.slice("have", F.lit(1), first)).alias("x")).select("cid", F.col("x.value").alias("value")), "lists")
+    popularity = F.aggregate("have", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]) / F.col("size")
+    lists = per.select("cid", "n", "need", popularity.alias("popularity"), (F.col("size") - alone).alias("rest"), F.posexplode(F.slice("have", F.lit(1), first)).alias("place", "x"))
+    # rest: how many of the class's values can still be shared, this one included
+    lists = ws.table(lists.select("cid", "n", "need", "popularity", (F.col("rest") - F.col("place")).alias("rest"), F.col("x.value").alias("value")), "lists")
 
     links = component = None
 
@@ -153,24 +198,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if component is None:
             return lists.withColumn("component", F.col("cid"))
         of = component.select(F.col("node").alias("cid"), "component")
-        return lists.join(of, "cid", "left").select("cid", "value", F.coalesce("component", "cid").alias("component"))
+        return lists.join(of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(len(HUBS) + 1):
         at = placed()
-        hub = F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("order"), F.col("cid").alias("hub"), F.col("component").alias("of"))).alias("h")
+        hub = F.min(F.struct(F.expr(HUBS[min(turn, len(HUBS) - 1)]).alias("order"), F.col("cid").alias("hub"), F.col("component").alias("of"))).alias("h")
         mixed = at.groupBy("value").agg(hub, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         mixed = ws.table(mixed, "mixed")
         if component is not None and mixed.isEmpty():
             break  # every list lies in one component
-        if turn < HUB_ROUNDS:
+        if turn < len(HUBS):
             pairs = at.join(mixed.select("value", "h.hub", "h.of"), "value").where("component <> of").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), "cid").distinct()
             good = _overlap(pairs, classes).groupBy("cid").agg(F.max(F.struct("est", "a", "b", "da", "db")).alias("x")).select("x.*")
         else:
-            left = at.join(mixed.select("value"), "value", "left_semi")
-            left = ws.table(left, "left")
-            other = left.select("value", F.col("cid").alias("b"), F.col("component").alias("of"))
-            pairs = left.select("value", F.col("cid").alias("a"), "component").join(other, "value").where("a < b and component <> of").select("a", "b", F.col("a").alias("cid")).distinct()
-            good = _overlap(pairs, classes)
+            left = at.join(mixed.select("value"), "value", "left_semi").select("cid", "component").distinct()
+            good = _full_prefix_pairs(ws, ws.table(left, "left"), classes, texts)
         good = ws.table(good.select("a", "b", "da", "db").distinct(), "candidates")
         ids = good.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         wanted = texts.join(with_small_side(spark, ids, ids.count()), "doc_id", "left_semi")
