@@ -8,11 +8,13 @@ Characters that no piece covers become UTF-8 byte pieces at a score below all ot
 
 Before that, as the model's normalizer says, one blank is put in front of a non-empty text and blanks become ▁.
 No piece holds a ▁ but as its first character (pieces of several ▁ aren't used), nor a line feed; so a text's
-lattice falls into units between those, a text's best path is that of its units, and its second best differs in
-the one unit with the smallest loss. Units repeat much, so each worker remembers them.
+lattice falls into units between those, and a text's best path is that of its units. Each worker remembers the N best
+paths of the units it has met, as units repeat much. A text's N best paths are merged from them by a lazy heap over
+what its units lose: only the N - 1 units whose second path loses least can differ from their best one (of equal
+losses, the earlier units). Each of a text's paths is decoded as a whole to tell whether it gives the text again.
 
 Null counts as empty; an empty text has no pieces, scores 0 and no second path. A literal ▁ decodes as a blank:
-round_trip tells. Rows are encoded one by one; repeated rows repeat; other columns are not read.
+round_trip tells. ``decode_documents`` turns ids into texts. Rows are encoded one by one; repeated rows repeat; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,18 +34,42 @@ BLANK = "▁"
 #: Below the worst piece by so much: a character spelled in bytes.
 BYTE_LOSS = 10.0
 CACHED_UNITS = 1_500_000
+#: Paths of a document.
+N_BEST = 4
+
+
+def least_sums(losses: list[list[float]], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
+    """The ``n`` smallest (sum, [(list, place)]) of one value from each list, as far as places aren't 0.
+
+    Each list ascends from 0.0 and has two values or more; the lists ascend by their second value.
+    """
+    out, tick, queue = [(0.0, [])], 0, [(losses[0][1], 0, [(0, 1)])] if losses else []
+    while queue and len(out) < n:
+        got = heapq.heappop(queue)
+        out.append((got[0], got[2]))
+        before, (j, k) = got[2][:-1], got[2][-1]
+        after = [before + [(j, k + 1)]] if k + 1 < len(losses[j]) else []
+        if j + 1 < len(losses):
+            after += [got[2] + [(j + 1, 1)]] + ([before + [(j + 1, 1)]] if k == 1 else [])
+        for moves in after:
+            tick += 1
+            heapq.heappush(queue, (sum(losses[a][b] for a, b in moves), tick, moves))
+    return out
 
 
 class Pieces:
     """Vocabulary of a model file; its own segmentation isn't used."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, n: int = N_BEST):
         import sentencepiece
 
+        self.n = n
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(len(self.text)) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = [x.encode() for x in self.text]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
         plain = [i for i in range(len(self.text)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or BLANK in self.text[i][1:])]
         self.score = {self.text[i]: (model.get_score(i), i) for i in plain}
         #: All pieces with (score, number), and all their beginnings that are no pieces with None.
@@ -54,8 +80,9 @@ class Pieces:
 
     def forget(self) -> None:
         self.units.clear()
-        self.starts, self.ids = array("q", [0]), array("i")
-        self.best, self.loss, self.whole = array("d"), array("d"), array("b")
+        #: Of each unit its first path, best score and what the second path loses; of each path its loss and first id.
+        self.first, self.best, self.loss = array("q", [0]), array("d"), array("d")
+        self.losses, self.starts, self.ids = array("d"), array("q", [0]), array("i")
 
     def lattice(self, text: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
         """(best score from the start to each position, edges (start, score, piece or -1) that end at each position)."""
@@ -108,7 +135,8 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; the blank in front is taken away."""
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in ids)
+        raw = self.raw
+        out = b"".join([raw[i] for i in ids])
         return out.decode(errors="replace").replace(BLANK, " ").removeprefix(" ")
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
@@ -116,43 +144,61 @@ class Pieces:
         text = BLANK + text.replace(" ", BLANK) if text else ""
         return [(w, self.spell(text, path)) for w, path in self.nbest(text, n)] if text else [(0.0, [])]
 
-    def _part(self, part: str) -> tuple[list[int], float, float, bool]:
-        two = self.nbest(part, 2)
-        ids = self.spell(part, two[0][1])
-        back = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in ids)
-        return ids, two[0][0], two[0][0] - two[1][0] if len(two) > 1 else float("inf"), back == part.encode() and BLANK not in part[1:]
+    def _part(self, part: str) -> list[tuple[float, list[int]]]:
+        return [(w, self.spell(part, path)) for w, path in self.nbest(part, self.n)]
+
+    def _lines(self, word: str) -> tuple[float, list[tuple[float, list[int]]]]:
+        """(best score, [(loss, ids)]) of a unit with line feeds."""
+        lines = word.split("\n")
+        parts = [self._part(p) for p in [lines[0]] + [x for line in lines[1:] for x in ("\n", line) if x]]
+        open_ = sorted((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1)[: self.n - 1]
+        found = least_sums([[parts[k][0][0] - w for w, _ in parts[k]] for _, k in open_], self.n)
+        paths = []
+        for loss, moves in found:
+            place = {open_[j][1]: k for j, k in moves}
+            paths.append((loss, [i for k, p in enumerate(parts) for i in p[place.get(k, 0)][1]]))
+        return sum(p[0][0] for p in parts), paths
 
     def unit(self, word: str) -> int:
         """Number of the remembered unit ▁ + ``word``."""
         got = self.units.get(word)
         if got is None:
             if "\n" in word:
-                lines = (BLANK + word).split("\n")
-                all_ = [self._part(p) for p in [lines[0]] + [x for line in lines[1:] for x in ("\n", line) if x]]
-                ids, best, loss, whole = [i for x in all_ for i in x[0]], sum(x[1] for x in all_), min(x[2] for x in all_), all(x[3] for x in all_)
+                best, paths = self._lines(BLANK + word)
             else:
-                ids, best, loss, whole = self._part(BLANK + word)
-            self.ids.extend(ids)
-            self.starts.append(len(self.ids))
+                found = self._part(BLANK + word)
+                best = found[0][0]
+                paths = [(best - w, ids) for w, ids in found]
+            for loss, ids in paths:
+                self.losses.append(loss)
+                self.ids.extend(ids)
+                self.starts.append(len(self.ids))
+            self.first.append(len(self.losses))
             self.best.append(best)
-            self.loss.append(loss)
-            self.whole.append(whole)
+            self.loss.append(paths[1][0] if len(paths) > 1 else float("inf"))
             got = self.units[word] = len(self.best) - 1
         return got
 
 
-_pieces: dict[str, Pieces] = {}
+_pieces: dict[tuple[str, int], Pieces] = {}
 
 
-def pieces_of(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+def pieces_of(path: str, n: int = N_BEST) -> Pieces:
+    if (path, n) not in _pieces:
+        _pieces[path, n] = Pieces(path, n)
+    return _pieces[path, n]
 
 
-def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (little-endian 32-bit ids), best_score, second_score (null if there is no second path), round_trip; with ``with_ids`` the ids."""
-    names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "second_score", "round_trip"] + ["ids"] * with_ids
+def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n: int = N_BEST) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (little-endian 32-bit ids), best_score, second_score (null if there is no second path), round_trip; with ``with_ids`` the ids.
+
+    ``nbest`` has the ``n`` best paths, fewer if there are no more, as structs (score, n_pieces, ids_crc32, round_trip, with ``with_ids`` ids).
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    names = ["score", "n_pieces", "ids_crc32", "round_trip"] + ["ids"] * with_ids
+    kinds = [pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    depth = max(n, 2)
 
     def some(pieces: Pieces, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         texts = texts.fill_null("").cast(pa.large_string())
@@ -162,31 +208,65 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True) ->
             pieces.forget()
         slots = np.array([pieces.unit(w) for w in coded.dictionary.to_pylist()], np.int64)
         starts, ids = np.frombuffer(pieces.starts, np.int64), np.frombuffer(pieces.ids, np.int32) if pieces.ids else np.zeros(0, np.int32)
-        best, loss, whole = np.frombuffer(pieces.best), np.frombuffer(pieces.loss), np.frombuffer(pieces.whole, np.int8)
+        paths, losses = np.frombuffer(pieces.first, np.int64), np.frombuffer(pieces.losses) if pieces.losses else np.zeros(0)
+        best, loss = (np.frombuffer(x) if x else np.zeros(0) for x in (pieces.best, pieces.loss))
         each = slots[coded.indices.to_numpy(zero_copy_only=False)]
         at = words.offsets.to_numpy()
         at = at - at[0]
-        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        rows = []
-        for i in range(len(texts)):
-            u = each[at[i] : at[i + 1]]
-            if empty[i]:
-                rows.append((0, zlib.crc32(b""), 0.0, None, True, np.zeros(0, np.int32)))
+        found, second, ends_at = [], [], [0]
+        for i, text in enumerate(texts.to_pylist()):
+            if not text:
+                found.append((0.0, 0, zlib.crc32(b""), True, np.zeros(0, np.int32)))
+                second.append(None)
+                ends_at.append(len(found))
                 continue
-            n = starts[u + 1] - starts[u]
-            ends = np.cumsum(n)
-            got = ids[np.arange(ends[-1]) + np.repeat(starts[u] - ends + n, n)]
-            total, gap = float(best[u].sum()), float(loss[u].min())
-            rows.append((len(got), zlib.crc32(got.astype("<i4").tobytes()), total, total - gap if np.isfinite(gap) else None, bool(whole[u].all()), got))
-        cols = list(zip(*rows))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in list(zip(cols, kinds))[: len(names) - 1])], names=names)
+            u = each[at[i] : at[i + 1]]
+            p = paths[u]
+            size = starts[p + 1] - starts[p]
+            ends = np.cumsum(size)
+            top = ids[np.arange(ends[-1]) + np.repeat(starts[p] - ends + size, size)]
+            total, gaps = float(best[u].sum()), loss[u]
+            where = np.flatnonzero(np.isfinite(gaps))
+            if len(where) > depth - 1:
+                cut = np.partition(gaps[where], depth - 2)[depth - 2]
+                below = where[gaps[where] < cut]
+                where = np.concatenate([below, where[gaps[where] == cut][: depth - 1 - len(below)]])
+            where = sorted(where.tolist(), key=lambda k: (gaps[k], k))
+            sums = least_sums([losses[paths[u[k]] : paths[u[k] + 1]].tolist() for k in where], depth)
+            second.append(total - sums[1][0] if len(sums) > 1 else None)
+            for lost, moves in sums[:n]:
+                got = top
+                for k, rank in sorted(((where[j], rank) for j, rank in moves), reverse=True):
+                    x = p[k] + rank
+                    got = np.concatenate([got[: ends[k] - size[k]], ids[starts[x] : starts[x + 1]], got[ends[k] :]])
+                found.append((total - lost, len(got), zlib.crc32(got.astype("<i4").tobytes()), pieces.decode(got.tolist()) == text, got))
+            ends_at.append(len(found))
+        cols = [pa.array(c, k) for c, k in list(zip(list(zip(*found)) or [()] * 5, kinds))[: len(names)]]
+        heads = pa.array(ends_at[:-1], pa.int64())
+        score, count, crc, again, *top_ids = (c.take(heads) for c in cols)
+        nbest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays(cols, names=names))
+        return pa.RecordBatch.from_arrays([keys, count, crc, score, pa.array(second, pa.float64()), again, *top_ids, nbest], names=["doc_id", "n_pieces", "ids_crc32", "best_score", "second_score", "round_trip"] + ["ids"] * with_ids + ["nbest"])
 
     def apply(batches):
-        pieces = pieces_of(model_path)
+        pieces = pieces_of(model_path, depth)
         for batch in batches:
             for a, b in bw.slices(batch.column(1)):
                 yield some(pieces, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
 
-    schema = "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, round_trip boolean" + ", ids array<int>" * with_ids
+    path = "struct<score: double, n_pieces: long, ids_crc32: long, round_trip: boolean" + ", ids: array<int>" * with_ids + ">"
+    schema = "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, round_trip boolean" + ", ids array<int>" * with_ids + f", nbest array<{path}>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, schema)
+
+
+def decode_documents(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
+    """doc_id and the text of each row's ``ids``; null ids give a null text, a number outside the vocabulary raises."""
+
+    def apply(batches):
+        pieces = pieces_of(model_path)
+        for batch in batches:
+            if pc.any(pc.or_(pc.less(flat := batch.column(1).flatten(), 0), pc.greater_equal(flat, len(pieces.raw)))).as_py():
+                raise ValueError("an id is outside the vocabulary")
+            texts = [None if x is None else pieces.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return coded.select(F.col("doc_id").cast("long"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(apply, "doc_id long, text string")

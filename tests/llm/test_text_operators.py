@@ -217,6 +217,29 @@ def test_documents_equal_the_whole_lattice(spark, docs, pieces):
     assert sn.encode_documents(docs.limit(0), queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_documents_have_n_best_paths_and_decode(spark, pieces):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    texts = ["hello there world", "the the the cat", "one\ntwo three\n\nfour", "日本語 テスト", "a", " x  y ", "Ünïcode\nß 👍🏽", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 3, 12):
+        rows = {r.doc_id: r for r in sn.encode_documents(docs, path, n=n).collect()}
+        for i, text in enumerate(texts):
+            whole, got = pieces.encode(text or "", n), rows[i].nbest
+            assert [x.score for x in got] == pytest.approx([w for w, _ in whole]) and len({tuple(x.ids) for x in got}) == len(got)
+            assert got[0].ids == rows[i].ids == whole[0][1] and all(x.round_trip and pieces.decode(x.ids) == (text or "") for x in got)
+    coded = sn.encode_documents(docs, path, n=12)
+    for k in (0, 1):
+        back = sn.decode_documents(coded.selectExpr("doc_id", f"get(nbest, {k}).ids as ids"), path).collect()
+        assert {r.doc_id: r.text for r in back} == {i: (t or "") if k < len(rows[i].nbest) else None for i, t in enumerate(texts)}
+
+
+def test_round_trip_is_decoded(spark):
+    docs = spark.createDataFrame([(0, "a▁b"), (1, "x\n▁y"), (2, "x\ny z")], "doc_id long, text string")
+    rows = sn.encode_documents(docs, queries.tokenizer_path("piece_bpe_32k.model"), with_ids=False).collect()
+    assert {r.doc_id: r.round_trip for r in rows} == {0: False, 1: False, 2: True}
+    assert all([x.round_trip for x in r.nbest] == [r.round_trip] * len(r.nbest) for r in rows)
+
+
 def test_language_id(spark, sf):
     pages = queries.table(spark, sf, "pages").select("page_id", "url", "html")
     odd = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "no scheme", ""), (10**6 + 2, "http://x.de/", "<html lang='en'><script>never closed"), (None, "http://a.fr/", "x")], "page_id long, url string, html string")
