@@ -116,13 +116,31 @@ def parse_md(md: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def pileup(trimmed: DataFrame, by: list[str]) -> DataFrame:
-    """Per reference base: depth, deletion and insertion counts with mean and largest length, clip count.
+def trim_md(reads: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(all columns but md, idx, kind, cut, at) of the tokens of ``md`` cut to [start, end), from ``ref_start`` on; without a tag there are none.
+
+    Insertions and skips (N) aren't in a tag, so positions after a skip lack its length, as the source of these rules has it.
+    """
+    kept = [c for c in reads.columns if c != "md"]
+    first = F.struct(F.col("ref_start").cast("long").alias("rp"), F.array().cast("array<struct<kind:string,len:bigint,rp:bigint>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["rp"] + x["len"]).alias("rp"), F.concat(acc["out"], F.array(F.struct(x["kind"].alias("kind"), x["len"].alias("len"), acc["rp"].alias("rp")))).alias("out"))
+    tokens = F.aggregate(parse_md(F.col("md")), first, step, lambda acc: acc["out"])
+    rows = reads.select(*kept, F.posexplode(tokens).alias("k", "x")).select(*kept, (F.col("k") + 1).alias("idx"), "x.*")
+    stop = F.col("rp") + F.col("len")
+    rows = rows.where((stop > start) & (F.col("rp") < end))
+    return rows.select(*kept, "idx", "kind", (F.least(stop, end) - F.greatest("rp", start)).alias("cut"), F.greatest("rp", start).alias("at"))
+
+
+def pileup(trimmed: DataFrame, by: list[str], md: DataFrame | None = None) -> DataFrame:
+    """Per reference base: depth, deletion and insertion counts with mean and largest length, clip count; with ``md`` (of ``trim_md``) the mismatches too.
 
     Every base an operation covers becomes a row, combined before the shuffle; lengths are those cut to the region.
     """
     spread = F.when(F.col("op").isin(ON_REFERENCE), F.sequence(F.col("at"), F.col("at") + F.col("cut") - 1)).otherwise(F.array(F.col("at")))
     rows = trimmed.where(~F.col("op").isin(ON_REFERENCE) | (F.col("cut") > 0)).select(*by, "op", F.col("cut").alias("n"), F.explode(spread).alias("pos"))
+    if md is not None:
+        wrong = md.where((F.col("kind") == "X") & (F.col("cut") > 0)).select(*by, F.lit(-1).alias("op"), F.col("cut").alias("n"), F.explode(F.sequence(F.col("at"), F.col("at") + F.col("cut") - 1)).alias("pos"))
+        rows = rows.unionByName(wrong)
     count = lambda ops: F.count_if(F.col("op").isin(ops))
     of = lambda op: F.when(F.col("op") == op, F.col("n"))
     return rows.groupBy(*by, "pos").agg(
@@ -134,6 +152,7 @@ def pileup(trimmed: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.max(of(1)), F.lit(0)).alias("insertion_max"),
         F.coalesce(F.try_divide(F.sum(of(2)).cast("double"), count([2])), F.lit(0.0)).alias("deletion_mean"),
         F.coalesce(F.max(of(2)), F.lit(0)).alias("deletion_max"),
+        *([count([-1]).alias("mismatches")] if md is not None else []),
     )
 
 

@@ -106,11 +106,37 @@ def sv56_parse_md(spark, sf_dir):
     return rows.select("read_id", "part", total(["=", "X", "D"]).alias("on_reference"), total(["D"]).alias("deleted"), total(["X"]).alias("mismatches"))
 
 
+def tagged(spark, sf_dir):
+    """Reads with MD tags: the last base of each M or = run differs, and every base of an X run."""
+    one = lambda x: F.when(x["op"].isin(0, 7), F.concat((x["len"] - 1).cast("string"), F.lit("T"))).when(x["op"] == 8, F.repeat(F.lit("C"), x["len"].cast("int"))).when(x["op"] == 2, F.concat(F.lit("^"), F.repeat(F.lit("A"), x["len"].cast("int")), F.lit("0"))).otherwise("")
+    return v.reads(spark, sf_dir).select("read_id", "contig", "ref_start", F.array_join(F.transform("cigar", one), "").alias("md"))
+
+
+def trimmed_md(spark, sf_dir):
+    return al.trim_md(tagged(spark, sf_dir), lit(START), lit(END))
+
+
+WRONG = f"v_wrong as (select * from (select read_id, contig, cast(unnest(case when op = 8 then range(cast(rp as bigint), cast(rp + len as bigint)) else [cast(rp + len - 1 as bigint)] end) as bigint) as pos from v_steps where op in (0,7,8)) where pos >= {START} and pos < {END})"
+
+
+@query(f"""with {v.STEPS}, {WRONG}, m as (select read_id, 'X' as kind, cast(1 as bigint) as len from v_wrong union all
+select read_id, case when op = 2 then 'D' else '=' end, cast(least(rp + len - case when op = 2 then 0 else 1 end, {END}) - greatest(rp, {START}) as bigint) from v_steps where op in (0,2,7) and rp + len - case when op = 2 then 0 else 1 end > {START} and rp < {END})
+select read_id, kind, cast(sum(len) as bigint) as len from m where len > 0 group by 1, 2""")
+def sv56_trim_md(spark, sf_dir):
+    return trimmed_md(spark, sf_dir).where("cut > 0").groupBy("read_id", "kind").agg(F.sum("cut").alias("len"))
+
+
 @query(f"with {TRIM} select * from v_pile")
 def sv57_pileup(spark, sf_dir):
     return pile(spark, sf_dir)
 
 
+@query(f"with {TRIM}, {WRONG}, m as (select contig, pos, count(*) as n from v_wrong group by 1, 2) select v_pile.*, coalesce(m.n, 0) as mismatches from v_pile left join m using (contig, pos)")
+def sv57_pileup_channels(spark, sf_dir):
+    """All nine channels."""
+    return al.pileup(al.trim(stepped(spark, sf_dir), lit(START), lit(END)), ["contig"], trimmed_md(spark, sf_dir))
+
+
 @query(f"with {TRIM} select contig, pos, ln(1 + depth::double) as depth, -ln(1 + deletion_mean) as minus_deletion_mean from v_pile")
 def sv58_log_normalize(spark, sf_dir):
     return pile(spark, sf_dir).select("contig", "pos", al.log_normalize(F.col("depth").cast("double")).alias("depth"), al.log_normalize(-F.col("deletion_mean")).alias("minus_deletion_mean"))

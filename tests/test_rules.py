@@ -102,6 +102,17 @@ def test_cigar_and_md_rules(spark):
     assert [(x.kind, x.len) for x in md] == [("=", 10), ("X", 1), ("=", 0), ("D", 3), ("=", 5)]
 
 
+def test_mismatches_of_md(spark):
+    reads = spark.createDataFrame([(1, 100, "3A0^ACG0T2G", [(0, 4), (2, 3), (0, 4)]), (2, 103, "0C5", [(0, 6)]), (3, 100, None, [(0, 11)])], "read_id int, ref_start long, md string, cigar array<struct<op:int,len:long>>")
+    lo, hi = F.lit(103).cast("long"), F.lit(108).cast("long")
+    md = al.trim_md(reads.drop("cigar"), lo, hi).withColumn("all", F.lit(1))
+    got = [(r.kind, r.cut, r["at"]) for r in md.where("read_id = 1").orderBy("idx").collect()]
+    assert got == [("X", 1, 103), ("=", 0, 104), ("D", 3, 104), ("=", 0, 107), ("X", 1, 107)]
+    cut = al.trim(al.explode_steps(reads.drop("md")), lo, hi).withColumn("all", F.lit(1))
+    pile = {r.pos: (r.mismatches, r.depth, r.deletions) for r in al.pileup(cut, ["all"], md).collect()}
+    assert pile == {103: (2, 3, 0), 104: (0, 3, 1), 105: (0, 3, 1), 106: (0, 3, 1), 107: (1, 3, 0)}
+
+
 def test_split_signatures_need_two_records(spark):
     seg = [(1, "c", 1, 0, 100, 0, 100, True), (1, "c", 2, 200, 300, 100, 200, True), (2, "c", 1, 0, 100, 0, 100, True), (2, "c", 2, 200, 300, 100, 200, True), (2, "c", 3, 500, 600, 200, 300, True)]
     rows = spark.createDataFrame(seg, "read_id int, contig string, record_no int, r_start long, r_end long, q_start long, q_end long, forward boolean")
