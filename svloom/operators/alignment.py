@@ -60,26 +60,35 @@ def record_score(cigar: Column, nm: Column) -> Column:
     return total([0, 1, 7, 8]) - 3 * F.coalesce(nm, F.lit(0)) - total([4, 5])
 
 
-def assign_reads(scores: DataFrame) -> DataFrame:
-    """Counts of each pair from (pair_id, read_id, score1, score2), null where a read isn't aligned to that haplotype.
+def assigned_reads(scores: DataFrame) -> DataFrame:
+    """(pair_id, read_id, score1, score2, side) of reads with a score on each haplotype, null where it isn't aligned: side 1, 2, or null for neither.
 
     A tie goes to the haplotype with fewer reads so far (the first if equal), in order of read name: each tie
     depends on those before it, so a pair's reads are folded in order within one row.
     """
     rows = F.array_sort(F.collect_list(F.struct("read_id", "score1", "score2"))).alias("reads")
-    names = ["n1", "n2", "hap1_better", "hap2_better", "score_ties", "only_hap1", "only_hap2", "neither_aligned"]
-    start = F.struct(*[F.lit(0).cast("long").alias(x) for x in names])
+    start = F.struct(F.lit(0).cast("long").alias("ahead"), F.lit("").alias("sides"))
 
     def step(acc: Column, x: Column) -> Column:
         a, b = x["score1"], x["score2"]
         one, two = a.isNotNull(), b.isNotNull()
         tie = one & two & (a == b)
-        first = (one & ~two) | (one & two & (a > b)) | (tie & (acc["n1"] <= acc["n2"]))
-        second = (two & ~one) | (one & two & (b > a)) | (tie & (acc["n1"] > acc["n2"]))
-        hits = [first, second, one & two & (a > b), one & two & (b > a), tie, one & ~two, two & ~one, ~one & ~two]
-        return F.struct(*[(acc[n] + F.when(h, 1).otherwise(0)).alias(n) for n, h in zip(names, hits)])
+        first = (one & ~two) | (one & two & (a > b)) | (tie & (acc["ahead"] <= 0))
+        second = (two & ~one) | (one & two & (b > a)) | (tie & (acc["ahead"] > 0))
+        ahead = acc["ahead"] + F.when(first, 1).when(second, -1).otherwise(0)
+        return F.struct(ahead.alias("ahead"), F.concat(acc["sides"], F.when(first, "1").when(second, "2").otherwise("0")).alias("sides"))
+
+    sides = F.split(F.aggregate("reads", start, step, lambda acc: acc["sides"]), "")
+    rows = scores.groupBy("pair_id").agg(rows).select("pair_id", F.explode(F.arrays_zip("reads", sides.alias("side"))).alias("x"))
+    return rows.select("pair_id", "x.reads.*", F.nullif(F.col("x.side").cast("int"), F.lit(0)).alias("side"))
 
-    return scores.groupBy("pair_id").agg(rows).select("pair_id", F.aggregate("reads", start, step).alias("x")).select("pair_id", "x.*")
+
+def assign_reads(scores: DataFrame) -> DataFrame:
+    """Counts of each pair over the rows of ``assigned_reads``."""
+    a, b, side = F.col("score1"), F.col("score2"), F.col("side")
+    one, two = a.isNotNull(), b.isNotNull()
+    counts = {"n1": side == 1, "n2": side == 2, "hap1_better": a > b, "hap2_better": b > a, "score_ties": a == b, "only_hap1": one & ~two, "only_hap2": two & ~one, "neither_aligned": ~one & ~two}
+    return assigned_reads(scores).groupBy("pair_id").agg(*[F.count_if(x).alias(n) for n, x in counts.items()])
 
 
 def depth_scales(n1: Column, n2: Column) -> tuple[Column, Column]:

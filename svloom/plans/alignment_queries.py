@@ -64,6 +64,16 @@ def sv48_assign_reads(spark, sf_dir):
     return al.assign_reads(pair_scores(spark, sf_dir))
 
 
+ASSIGNED = PAIR_SCORES + """, v_walk as (select pair_id, list(read_id order by read_id) as ids, list_reduce(list_prepend({'d': 0::bigint, 's': ''}, list({'d': case when s1 is null and s2 is null then 0::bigint when s2 is null or s1 > s2 then 1::bigint when s1 is null or s2 > s1 then 2::bigint else 3::bigint end, 's': ''} order by read_id)),
+ lambda a, x: {'d': a.d + case when x.d = 1 or (x.d = 3 and a.d <= 0) then 1 when x.d = 0 then 0 else -1 end, 's': a.s || case when x.d = 1 or (x.d = 3 and a.d <= 0) then '1' when x.d = 0 then '0' else '2' end}) as walk from v_ps group by 1),
+v_side as (select pair_id, unnest(ids) as read_id, unnest(string_split(walk.s, '')) as c from v_walk), v_assigned as (select pair_id, read_id, cast(nullif(cast(c as int), 0) as int) as side from v_side)"""
+
+
+@query(f"with {ASSIGNED} select * from v_assigned")
+def sv48_assigned_reads(spark, sf_dir):
+    return al.assigned_reads(pair_scores(spark, sf_dir)).select("pair_id", "read_id", "side")
+
+
 @query(f"with {SCORES} select read_id % 5 as pair_id, count(*) as records, cast(null as bigint) as n1, cast(null as bigint) as n2 from v_score group by 1")
 def sv49_self_pair_branch(spark, sf_dir):
     none = F.lit(None).cast("long")
@@ -147,6 +157,14 @@ def sv59_tile_windows(spark, sf_dir):
     return iv.tile(pile(spark, sf_dir), ["contig"], 300, lit(END), F.col("depth") > 0)
 
 
+@query(f"with {ASSIGNED}, {TRIM.removeprefix(v.CIGARS + ', ')}, b as (select a.pair_id, a.side, cast(unnest(range(cast(first_ as bigint), cast(first_ + cut as bigint))) as bigint) as pos, op from v_trim t join v_assigned a on a.read_id = t.read_id where a.side is not null and op in (0,2,3,7,8) and cut > 0) select pair_id, side, pos, count(*) as depth, count(*) filter (where op = 2) as deletions from b group by 1, 2, 3")
+def sv57_assigned_pileup(spark, sf_dir):
+    """Depth and deletions of each haplotype of a pair, from the reads assigned to it."""
+    sides = al.assigned_reads(pair_scores(spark, sf_dir)).where("side is not null").select("read_id", "pair_id", "side")
+    rows = al.trim(stepped(spark, sf_dir), lit(START), lit(END)).join(sides, "read_id")
+    return al.pileup(rows, ["pair_id", "side"]).where("depth > 0").select("pair_id", "side", "pos", "depth", "deletions")
+
+
 PATCHES = v.STEPS + """, v_end as (select read_id, contig, ref_start, max(rp + case when op in (0,2,3,7,8) then len else 0 end) as ref_end from v_steps group by 1, 2, 3),
 v_patch as (select concat('ctg', c.i) as contig, cast(p.i * 200 as bigint) as pos from range(0, 5) c(i), range(0, 110) p(i)),
 v_sig as (select p.contig, p.pos, e.read_id, max(case when (e.read_id % 4 = 0 and ((e.ref_start >= pos and e.ref_start < pos + 200) or (e.ref_end >= pos and e.ref_end < pos + 200))) or (s.len >= 40 and ((s.op = 1 and s.rp >= pos and s.rp < pos + 200) or (s.op = 2 and greatest(pos, s.rp) < least(pos + 200, s.rp + s.len)))) then 1 else 0 end) as suspicious

@@ -91,6 +91,13 @@ def test_ties_balance_in_read_order(spark):
     assert (r.n1, r.n2, r.hap1_better, r.score_ties, r.only_hap2, r.neither_aligned) == (2, 3, 1, 3, 1, 1) and r.n1 + r.n2 + r.neither_aligned == 6
 
 
+def test_each_read_has_its_side(spark):
+    scores = [("1", 5, 5), ("2", 5, 5), ("3", 9, 5), ("4", None, None), ("5", 1, 1), ("6", None, 2), ("7", 3, 3)]
+    rows = spark.createDataFrame([(p, r, a, b) for p in "pq" for r, a, b in scores], "pair_id string, read_id string, score1 long, score2 long")
+    got = al.assigned_reads(rows).orderBy("pair_id", "read_id").collect()
+    assert [(r.pair_id, r.read_id, r.score1, r.score2, r.side) for r in got] == [(p, *s, side) for p in "pq" for s, side in zip(scores, [1, 2, 1, None, 2, 2, 1])]
+
+
 def test_cigar_and_md_rules(spark):
     reads = spark.createDataFrame([(1, "c", 100, [(5, 3), (0, 10), (1, 4), (2, 5), (7, 10), (4, 6)])], "read_id int, contig string, ref_start long, cigar array<struct<op:int,len:long>>")
     steps = al.explode_steps(reads)
