@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from svloom.operators import intervals as iv
+
 ON_REFERENCE, ON_QUERY, ALIGNED, ONLY_QUERY = [0, 2, 3, 7, 8], [0, 1, 4, 5, 7, 8], [0, 7, 8], [1, 4, 5]
 
 
@@ -201,6 +203,38 @@ def intra_steps(reads: DataFrame, kind: str, compat: bool = True) -> DataFrame:
     return reads.select("read_id", "contig", F.explode(found).alias("x")).select("read_id", "contig", "x.s", "x.e")
 
 
+def variant_signatures(signatures: DataFrame, variants: DataFrame, inter: bool, widen: int = 50, size: int = 256) -> DataFrame:
+    """(variant_id, read_id, s, e, lo, hi, inter) of signatures (read_id, contig, s, e) that meet, ends included, a variant (variant_id, contig, start_pos, end_pos) widened on both sides."""
+    left = signatures.select("contig", "read_id", "s", "e", F.col("s").alias("l_start"), (F.col("e") + 1).alias("l_end"))
+    right = variants.select("contig", "variant_id", (F.col("start_pos") - widen).alias("lo"), (F.col("end_pos") + widen).alias("hi")).withColumn("r_start", F.col("lo")).withColumn("r_end", F.col("hi") + 1)
+    return iv.overlap_join(left, right, "contig", size).select("variant_id", "read_id", "s", "e", "lo", "hi", F.lit(inter).alias("inter"))
+
+
+def inter_signatures(segments: DataFrame, variants: DataFrame, kind: str, widen: int = 50) -> DataFrame:
+    """Split-read signatures of ``kind`` (DEL or INS) at each variant, as ``variant_signatures``."""
+    found = split_signatures(segments, kind).select("read_id", "contig", F.col("pos").alias("s"), (F.col("pos") + F.col("size")).alias("e"))
+    return variant_signatures(found, variants, True, widen)
+
+
+def centred_matrix(signatures: DataFrame, height: int = 60, width: int = 10_000) -> DataFrame:
+    """(variant_id, row, col, code) without zeros: each variant's matrix padded or cropped around its centre to ``height`` reads and ``width`` bases.
+
+    Rows are the variant's reads, those with intra signatures first, then by first start and read; a read whose
+    signatures only touch the window has a row of zeros. Of an odd difference the larger half pads below and on the right
+    and the smaller one is cut off above and on the left.
+    """
+    reads = signatures.groupBy("variant_id", "read_id").agg(F.min(F.struct("inter", "s")).alias("first"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    of = Window.partitionBy("variant_id")
+    reads = reads.withColumn("r", F.row_number().over(of.orderBy("first", "read_id")) - 1).withColumn("n", F.count(F.lit(1)).over(of))
+
+    def shift(room: Column) -> Column:
+        return F.when(room >= 0, F.floor(room / 2)).otherwise(-F.floor(-room / 2)).cast("long")
+
+    at = reads.select("variant_id", "read_id", (F.col("r") + shift(height - F.col("n"))).alias("row"), (shift(width - (F.col("hi") - F.col("lo"))) - F.col("lo")).alias("move"))
+    rows = signature_codes(signatures).join(at, ["variant_id", "read_id"]).select("variant_id", "row", (F.col("pos") + F.col("move")).alias("col"), "code")
+    return rows.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+
+
 def signature_codes(signatures: DataFrame) -> DataFrame:
     """(variant_id, read_id, pos, code): bit 1 where an intra, bit 2 where an inter signature covers a base of the variant's window [lo, hi)."""
     s, e = F.greatest("lo", "s"), F.least("hi", "e")

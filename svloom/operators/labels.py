@@ -79,3 +79,14 @@ def parse_sfs(lines: DataFrame) -> DataFrame:
     part = F.transform(F.split("t", ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
     rows = rows.select("line_no", "read_id", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("start_pos"), F.get(part, F.lit(2)).cast("long").alias("end_pos"))
     return rows.where("contig <> '' and start_pos <> 0 and end_pos <> 0")
+
+
+def gather_sfs(strings: DataFrame, variants: DataFrame, reads: DataFrame, widen: int = 50) -> DataFrame:
+    """(variant_id, read_id, contig, start_pos, end_pos) of strings (of ``parse_sfs``) at each variant (variant_id, contig, start_pos, end_pos).
+
+    A variant takes the strings of its own ``reads`` (variant_id, read_id: those with a signature there) that lie on its
+    contig and meet it, ends included, when it is widened on both sides; a read with several signatures counts once.
+    """
+    wanted = reads.select("variant_id", "read_id").distinct().join(variants.select("variant_id", "contig", (F.col("start_pos") - widen).alias("lo"), (F.col("end_pos") + widen).alias("hi")), "variant_id")
+    met = strings.select("read_id", "contig", "start_pos", "end_pos").join(wanted, ["read_id", "contig"])
+    return met.where(F.greatest("start_pos", "lo") <= F.least("end_pos", "hi")).select("variant_id", "read_id", "contig", "start_pos", "end_pos")

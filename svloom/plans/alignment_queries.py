@@ -237,3 +237,38 @@ c as (select variant_id, read_id, pos, bit_or(bit) as code from p group by 1, 2,
 def sv77_signature_matrix(spark, sf_dir):
     rows = intra(spark, sf_dir).withColumn("inter", F.col("read_id") % 3 == 0)
     return al.signature_counts(al.signature_codes(rows))
+
+
+BOTH = SEGMENTS + ", " + INTRA + """, v_split as (select read_id, contig, r_end as s, r_end + distance as e from v_dist where distance between 30 and 100000),
+v_inter as (select variant_id, read_id, cast(s as bigint) as s, cast(e as bigint) as e, lo, hi from v_split join v_var on v_split.contig = v_var.contig and greatest(s, lo) <= least(e, hi)),
+v_both as (select *, false as inter from v_sigs union all select *, true from v_inter), v_px as (select variant_id, read_id, case when inter then 2 else 1 end as bit, cast(unnest(range(greatest(s, lo), least(e, hi))) as bigint) as pos from v_both where greatest(s, lo) < least(e, hi)),
+v_code as (select variant_id, read_id, pos, bit_or(bit) as code from v_px group by 1, 2, 3)"""
+
+
+def both(spark, sf_dir):
+    """Deletions within reads and between the records of split reads, at each variant."""
+    var = v.table(spark, sf_dir, "part").selectExpr("p_partkey as variant_id", "concat('ctg', cast(p_partkey % 5 as string)) as contig", "(p_partkey * 53) % 20000 as start_pos", "(p_partkey * 53) % 20000 + p_size as end_pos")
+    dels = al.variant_signatures(al.intra_steps(v.reads(spark, sf_dir), "DEL"), var, False)
+    return dels.unionByName(al.inter_signatures(segments(spark, sf_dir), var, "DEL"))
+
+
+@query(f"with {BOTH} select variant_id, read_id, s, e from v_inter")
+def sv77_inter_signatures(spark, sf_dir):
+    return both(spark, sf_dir).where("inter").select("variant_id", "read_id", "s", "e")
+
+
+@query(f"with {BOTH} select variant_id, pos, count(*) filter (where code = 1) as intra, 2 * count(*) filter (where code = 2) as inter from v_code group by 1, 2")
+def sv77_split_read_matrix(spark, sf_dir):
+    return al.signature_counts(al.signature_codes(both(spark, sf_dir)))
+
+
+HEIGHT, WIDTH = 4, 121
+
+
+@query(f"""with {BOTH}, v_first as (select variant_id, read_id, min((case when inter then 1 else 0 end) * 1000000000 + s) as f, min(lo) as lo, min(hi) as hi from v_both group by 1, 2),
+v_row as (select *, row_number() over (partition by variant_id order by f, read_id) - 1 as r, {HEIGHT} - count(*) over (partition by variant_id) as dh, {WIDTH} - (hi - lo) as dw from v_first),
+v_put as (select variant_id, cast(r + trunc(dh / 2.0::double) as bigint) as "row", cast(pos - lo + trunc(dw / 2.0::double) as bigint) as col, cast(code as int) as code from v_code join v_row using (variant_id, read_id))
+select * from v_put where "row" between 0 and {HEIGHT - 1} and col between 0 and {WIDTH - 1}""")
+def sv77_centred_matrix(spark, sf_dir):
+    """Padded and cropped to a small size, so that both happen."""
+    return al.centred_matrix(both(spark, sf_dir), HEIGHT, WIDTH)

@@ -127,6 +127,26 @@ def test_split_signatures_need_two_records(spark):
     assert al.split_signatures(rows, "INS").count() == 0
 
 
+def test_split_reads_reach_the_matrix(spark):
+    seg = [(1, "c", 1, 0, 100, 0, 100, True), (1, "c", 2, 200, 300, 100, 200, True)]
+    segments = spark.createDataFrame(seg, "read_id int, contig string, record_no int, r_start long, r_end long, q_start long, q_end long, forward boolean")
+    var = spark.createDataFrame([(7, "c", 250, 260), (8, "c", 251, 260), (9, "d", 120, 130)], "variant_id int, contig string, start_pos long, end_pos long")
+    inter = al.inter_signatures(segments, var, "DEL")
+    assert [tuple(r) for r in inter.collect()] == [(7, 1, 100, 200, 200, 310, True)]
+    intra = al.variant_signatures(spark.createDataFrame([(1, "c", 205, 208), (2, "c", 203, 206)], "read_id int, contig string, s long, e long"), var.where("variant_id = 7"), False)
+    both = intra.unionByName(inter)
+    cells = lambda h, w: sorted((r["row"], r["col"], r.code) for r in al.centred_matrix(both, h, w).collect())
+    assert cells(5, 113) == [(1, 4, 1), (1, 5, 1), (1, 6, 1), (2, 6, 1), (2, 7, 1), (2, 8, 1)]
+    assert cells(1, 103) == [(0, 0, 1), (0, 1, 1), (0, 2, 1)]
+
+
+def test_strings_of_a_variants_reads(spark):
+    strings = spark.createDataFrame([(0, "a", "c", 10, 50), (1, "a", "c", 10, 49), (2, "a", "d", 90, 120), (3, "b", "c", 100, 110), (4, "a", "c", 160, 170)], "line_no int, read_id string, contig string, start_pos long, end_pos long")
+    var = spark.createDataFrame([(1, "c", 100, 110)], "variant_id int, contig string, start_pos long, end_pos long")
+    reads = spark.createDataFrame([(1, "a"), (1, "a")], "variant_id int, read_id string")
+    assert sorted(map(tuple, lb.gather_sfs(strings, var, reads).collect())) == [(1, "a", "c", 10, 50), (1, "a", "c", 160, 170)]
+
+
 def test_gates_and_metrics(spark):
     rows = spark.createDataFrame([("x.INS.1", 1, 0.61), ("x.INS.1", 1, 0.6), ("x.DEL.1", 0, 0.95), ("x.DUP.1", 0, 1.0), ("x.DUP.1", 1, 1.0)], "sv string, s int, p double")
     got = rows.select(sc.gate_rescue(F.col("s"), F.col("p"), F.col("sv"), 0.6, 0.7, 0.9, 0.95).alias("g")).collect()
