@@ -2,44 +2,139 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 POSITIONS, CHANNELS, SUBWINDOWS = 2000, 9, 10
+_erf = np.frompyfunc(math.erf, 1, 1)
+
+
+def _shapes(embedding: int = 100, heads: int = 4, key: int = 32, blocks: int = 3, hidden: int = 128) -> dict[str, tuple[int, ...]]:
+    """Names and shapes of all weights, as in the source's state dictionary."""
+    out: dict[str, tuple[int, ...]] = {"position_embedding": (1, SUBWINDOWS, embedding)}
+
+    def layer(name: str, *shape: int) -> None:
+        out[f"{name}.weight"], out[f"{name}.bias"] = shape, shape[:1]
+
+    layer("encoder.layers.0", 128, 1, 1, CHANNELS)
+    for k, (wide, high) in {2: (128, 3), 5: (64, 2), 7: (64, 3), 10: (64, 2), 12: (64, 2), 14: (64, 2)}.items():
+        layer(f"encoder.layers.{k}", 64, wide, high, 1)
+    layer("patch_projection", embedding, 64)
+    for b in range(blocks):
+        at = f"transformer_blocks.{b}."
+        layer(at + "layer_normalization_1", embedding)
+        for x in ("query", "key", "value"):
+            layer(at + f"attention.{x}_projection", heads * key, embedding)
+        layer(at + "attention.output_projection", embedding, heads * key)
+        layer(at + "layer_normalization_2", embedding)
+        layer(at + "feed_forward_network.0", embedding, embedding)
+        layer(at + "feed_forward_network.3", embedding, embedding)
+    layer("sequence_normalization", embedding)
+    layer("classifier.0", hidden, embedding)
+    layer("classifier.3", hidden, hidden)
+    layer("classifier.6", 1, hidden)
+    return out
 
 
 class WindowModel:
-    """Convolutional encoder in numpy with weights that the user supplies: per layer (kernel, channels in, channels out) and biases, then a dense layer a subwindow."""
+    """The source's CNN-Transformer in numpy, without dropout: an encoder of each subwindow, attention blocks over the subwindows, a head.
+
+    ``weights`` holds the arrays of its state dictionary by name, all of them and no others (the user exports a
+    checkpoint's ``model_state_dict`` to arrays, such as an npz file, which ``load`` reads).
+    """
+
+    HEADS, KEY, BLOCKS = 4, 32, 3
 
-    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]], dense: tuple[np.ndarray, float]):
-        self.layers, self.dense = layers, dense
+    def __init__(self, weights: dict[str, np.ndarray]):
+        wanted, given = _shapes(), {k: np.shape(w) for k, w in weights.items()}
+        if given != wanted:
+            raise ValueError(f"weights that are missing, unknown or of another shape: {sorted(k for k in wanted.keys() | given.keys() if wanted.get(k) != given.get(k))}")
+        self.weights = {k: np.asarray(w, float) for k, w in weights.items()}
+
+    @classmethod
+    def load(cls, path: str) -> WindowModel:
+        with np.load(path) as arrays:
+            return cls({k: arrays[k] for k in arrays.files})
 
     @classmethod
-    def seeded(cls, seed: int = 0, width: int = 8) -> WindowModel:
-        rng = np.random.default_rng(seed)
-        first = (rng.normal(0, 0.2, (5, CHANNELS, width)), np.zeros(width))
-        return cls([first, (rng.normal(0, 0.2, (5, width, width)), np.zeros(width))], (rng.normal(0, 0.5, width), 0.0))
+    def seeded(cls, seed: int = 0) -> WindowModel:
+        """Random weights at the usual scale of each layer; norms start as the identity."""
+        rng, out, fan = np.random.default_rng(seed), {}, 1
+        for name, shape in _shapes().items():
+            if name == "position_embedding":
+                out[name] = rng.normal(0, 0.1, shape)
+            elif "normalization" in name:
+                out[name] = np.ones(shape) if name.endswith("weight") else np.zeros(shape)
+            else:
+                fan = int(np.prod(shape[1:])) if name.endswith("weight") else fan
+                out[name] = rng.uniform(-1, 1, shape) / np.sqrt(fan)
+        return cls(out)
+
+    def _linear(self, x: np.ndarray, name: str) -> np.ndarray:
+        return x @ self.weights[f"{name}.weight"].T + self.weights[f"{name}.bias"]
+
+    def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
+        x = x - x.mean(-1, keepdims=True)
+        return x / np.sqrt((x * x).mean(-1, keepdims=True) + 1e-5) * self.weights[f"{name}.weight"] + self.weights[f"{name}.bias"]
+
+    def _conv(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Along positions, of (subwindows, positions, channels), without padding."""
+        w = self.weights[f"encoder.layers.{k}.weight"][..., 0]
+        n = x.shape[1] - w.shape[2] + 1
+        return sum(x[:, i : i + n] @ w[:, :, i].T for i in range(w.shape[2])) + self.weights[f"encoder.layers.{k}.bias"]
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """(subwindows, 64) of (subwindows, 200, channels)."""
+        pool = lambda x: np.maximum(x[:, 0 : x.shape[1] // 2 * 2 : 2], x[:, 1::2])
+        x = pool(x @ self.weights["encoder.layers.0.weight"][:, 0, 0].T + self.weights["encoder.layers.0.bias"])
+        x = np.maximum(pool(self._conv(x, 2)), 0)
+        x = np.maximum(pool(self._conv(pool(self._conv(x, 5)), 7)), 0)
+        return self._conv(pool(self._conv(pool(self._conv(x, 10)), 12)), 14)[:, 0]
+
+    def attend(self, x: np.ndarray, name: str) -> np.ndarray:
+        q, k, v = (self._linear(x, f"{name}.{p}_projection").reshape(*x.shape[:2], self.HEADS, self.KEY).transpose(0, 2, 1, 3) for p in ("query", "key", "value"))
+        w = q @ k.transpose(0, 1, 3, 2) / np.sqrt(self.KEY)
+        w = np.exp(w - w.max(-1, keepdims=True))
+        mixed = (w / w.sum(-1, keepdims=True)) @ v
+        return self._linear(mixed.transpose(0, 2, 1, 3).reshape(*x.shape[:2], -1), f"{name}.output_projection")
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """(windows, SUBWINDOWS) probabilities of (windows, positions, channels) features."""
-        for kernel, bias in self.layers:
-            half = len(kernel) // 2
-            padded = np.pad(x, ((0, 0), (half, half), (0, 0)))
-            x = np.maximum(sum(padded[:, k : k + x.shape[1]] @ kernel[k] for k in range(len(kernel))) + bias, 0)
-        pooled = x.reshape(len(x), SUBWINDOWS, -1, x.shape[2]).mean(2)
-        return 1 / (1 + np.exp(-(pooled @ self.dense[0] + self.dense[1])))
+        """(windows, SUBWINDOWS) probabilities of (windows, POSITIONS, CHANNELS) features."""
+        if x.shape[1:] != (POSITIONS, CHANNELS):
+            raise ValueError(f"windows must be {POSITIONS} positions of {CHANNELS} channels")
+        gelu = lambda x: x * 0.5 * (1 + _erf(x / np.sqrt(2)).astype(float))
+        x = self.encode(np.asarray(x, float).reshape(len(x) * SUBWINDOWS, POSITIONS // SUBWINDOWS, CHANNELS)).reshape(len(x), SUBWINDOWS, -1)
+        x = self._linear(x, "patch_projection") + self.weights["position_embedding"]
+        for b in range(self.BLOCKS):
+            at = f"transformer_blocks.{b}."
+            x = x + self.attend(self._norm(x, at + "layer_normalization_1"), at + "attention")
+            y = self._norm(x, at + "layer_normalization_2")
+            for k in (0, 3):
+                y = gelu(self._linear(y, at + f"feed_forward_network.{k}"))
+            x = x + y
+        x = self._norm(x, "sequence_normalization")
+        for k in (0, 3):
+            x = np.maximum(self._linear(x, f"classifier.{k}"), 0)
+        return 1 / (1 + np.exp(-self._linear(x, "classifier.6")[..., 0]))
 
 
 def model_scores(windows: DataFrame, model: WindowModel, key: str, features: str) -> DataFrame:
-    """(key, probs) of windows whose ``features`` array holds positions * channels numbers, in Arrow batches; other sizes raise."""
+    """(key, probs) of windows whose ``features`` array holds POSITIONS * CHANNELS numbers, in Arrow batches; other sizes, and nulls, raise."""
 
     def apply(batches):
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            if len(sizes) and (sizes % (SUBWINDOWS * CHANNELS)).any():
-                raise ValueError("a window's features must be whole positions of nine channels, a multiple of ten")
-            rows = [model.predict(np.array(x, float).reshape(1, -1, CHANNELS))[0].tolist() for x in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            if column.null_count or (np.diff(column.offsets.to_numpy()) != POSITIONS * CHANNELS).any():
+                raise ValueError(f"a window's features must be {POSITIONS} positions of {CHANNELS} channels")
+            flat = column.flatten()
+            if flat.null_count:
+                raise ValueError("a window's features can't be null")
+            x = flat.to_numpy().reshape(-1, POSITIONS, CHANNELS)
+            # One by one: results don't depend on how rows are dealt to batches.
+            rows = [model.predict(x[i : i + 1])[0].tolist() for i in range(len(x))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[key, "probs"])
 
     kind = windows.schema[key].dataType.simpleString()

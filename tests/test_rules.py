@@ -1,5 +1,8 @@
 """Rules of the operators on rows written by hand."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +158,54 @@ def test_gates_and_metrics(spark):
     assert tuple(sc.epoch_metrics(zero).first()) == (0.0,) * 6 + (1.0, 1.0)
 
 
+def test_window_model_is_the_cnn_transformer(spark):
+    rng, model = np.random.default_rng(3), sc.WindowModel.seeded(1)
+    w = {k: rng.normal(1 if "normalization" in k and "weight" in k else 0, 0.1, a.shape) for k, a in model.weights.items()}
+    x = rng.normal(0, 1, (sc.POSITIONS, sc.CHANNELS))
+
+    def linear(v, name):
+        return np.array([sum(a * b for a, b in zip(row, v)) + c for row, c in zip(w[name + ".weight"], w[name + ".bias"])])
+
+    def norm(v, name):
+        return (v - v.mean()) / (v.var() + 1e-5) ** 0.5 * w[name + ".weight"] + w[name + ".bias"]
+
+    def encode(part):
+        seq = [w["encoder.layers.0.weight"].reshape(128, 9) @ row + w["encoder.layers.0.bias"] for row in part]
+        for layer in ("pool", 2, "pool", "relu", 5, "pool", 7, "pool", "relu", 10, "pool", 12, "pool", 14):
+            if layer == "pool":
+                seq = [np.maximum(a, b) for a, b in zip(seq[::2], seq[1::2])]
+            elif layer == "relu":
+                seq = [np.maximum(a, 0) for a in seq]
+            else:
+                kernel = w[f"encoder.layers.{layer}.weight"]
+                seq = [np.einsum("oik,ki->o", kernel[..., 0], np.array(seq[i : i + kernel.shape[2]])) + w[f"encoder.layers.{layer}.bias"] for i in range(len(seq) - kernel.shape[2] + 1)]
+        assert len(seq) == 1
+        return seq[0]
+
+    def gelu(v):
+        return np.array([a * 0.5 * (1 + math.erf(a / 2**0.5)) for a in v])
+
+    seq = [linear(encode(x[i * 200 : i * 200 + 200]), "patch_projection") + w["position_embedding"][0, i] for i in range(10)]
+    for b in range(3):
+        at = f"transformer_blocks.{b}."
+        q, k, v = ([linear(norm(s, at + "layer_normalization_1"), f"{at}attention.{p}_projection") for s in seq] for p in ("query", "key", "value"))
+        for i, s in enumerate(list(seq)):
+            heads = []
+            for h in range(0, 128, 32):
+                e = np.exp([q[i][h : h + 32] @ k[j][h : h + 32] / 32**0.5 for j in range(10)])
+                heads += list(sum(a * v[j][h : h + 32] for j, a in enumerate(e / e.sum())))
+            s = s + linear(heads, at + "attention.output_projection")
+            seq[i] = s + gelu(linear(gelu(linear(norm(s, at + "layer_normalization_2"), at + "feed_forward_network.0")), at + "feed_forward_network.3"))
+    relu = lambda v: np.maximum(v, 0)
+    logits = [linear(relu(linear(relu(linear(norm(s, "sequence_normalization"), "classifier.0")), "classifier.3")), "classifier.6")[0] for s in seq]
+    assert sc.WindowModel(w).predict(x[None])[0] == pytest.approx(1 / (1 + np.exp(-np.array(logits))), abs=1e-12)
+    with pytest.raises(ValueError, match="classifier.6.bias"):
+        sc.WindowModel({k: a for k, a in w.items() if k != "classifier.6.bias"})
+    short = spark.range(1).select("id", F.array_repeat(F.lit(0.5), 180).alias("features"))
+    with pytest.raises(Exception, match="2000 positions"):
+        sc.model_scores(short, model, "id", "features").collect()
+
+
 def test_labels(spark):
     lines = spark.createDataFrame([("d/a.npy\t0,1,0,0,0,0,0,0,0,0",), ("e/a.npy\t0,1,0,0,0,0,0,0,0,0",), ("",)], "value string")
     assert lb.parse_label_lines(lines).count() == 1
