@@ -200,6 +200,19 @@ def sv73_label_patches(spark, sf_dir):
     return lb.patch_labels(windows, sites, noise(spark, sf_dir).where("noisy"), "contig", 2000, 200, 50)
 
 
+ALL_SITES = """v_sites as (select concat('ctg', p_partkey % 5) as contig, (p_partkey * 5309) % 2000000 as s, (p_partkey * 5309) % 2000000 + case when p_partkey % 3 = 0 then 1 else p_size * 6 end as e, case when p_partkey % 3 = 0 then 'INS' when p_partkey % 3 = 1 then 'DEL' end as t from part)"""
+
+
+@query(f"""with {PATCHES}, {ALL_SITES}, w as (select concat('ctg', c.i) as contig, cast(k.i * 2000 as bigint) as window_start, cast(j.i as int) as patch_index from range(0, 5) c(i), range(0, 1001) k(i), range(0, 10) j(i)),
+h as (select distinct w.* from w join v_sites x on x.contig = w.contig and case when t = 'INS' then s >= window_start + patch_index * 200 and s < window_start + patch_index * 200 + 200 else least(window_start + patch_index * 200 + 200, e) - greatest(window_start + patch_index * 200, s) >= 50 end)
+select w.contig, w.window_start, w.patch_index, cast(case when h.contig is not null or n.noisy then 1 else 0 end as int) as label from w left join h on h.contig = w.contig and h.window_start = w.window_start and h.patch_index = w.patch_index left join v_noise n on n.contig = w.contig and n.pos = w.window_start + w.patch_index * 200 and n.noisy""")
+def sv73_label_all_patches(spark, sf_dir):
+    """All parts as sites, on contigs so long that both labels occur; deletions and other types reach the overlap of 50."""
+    windows = spark.range(5).select(F.concat(F.lit("ctg"), F.col("id").cast("string")).alias("contig"), F.explode(F.sequence(lit(0), lit(1000))).alias("k")).select("contig", (F.col("k") * 2000).alias("window_start"))
+    sites = v.table(spark, sf_dir, "part").selectExpr("concat('ctg', cast(p_partkey % 5 as string)) as contig", "(p_partkey * 5309) % 2000000 as start_pos", "(p_partkey * 5309) % 2000000 + case when p_partkey % 3 = 0 then 1 else p_size * 6 end as end_pos", "case when p_partkey % 3 = 0 then 'INS' when p_partkey % 3 = 1 then 'DEL' end as sv_type")
+    return lb.patch_labels(windows, sites, noise(spark, sf_dir).where("noisy"), "contig", 2000, 200, 50)
+
+
 SEGMENTS = """v_seg as (select l_orderkey as read_id, concat('ctg', l_suppkey % 2) as contig, l_orderkey * 1000000 + l_partkey * 8 + l_linenumber as record_no, l_partkey * 10 as r_start, cast(l_partkey * 10 + floor(l_quantity) as bigint) as r_end, cast(l_suppkey * 3 as bigint) as q_start, cast(l_suppkey * 3 + floor(l_quantity) as bigint) as q_end, l_returnflag <> 'R' as forward from lineitem),
 v_two as (select *, count(*) over (partition by read_id, contig) as n from v_seg), v_next as (select *, lead(contig) over w as nc, lead(r_start) over w as nr, lead(q_start) over w as nq, lead(forward) over w as nf from v_two where n = 2 window w as (partition by read_id order by record_no)),
 v_dist as (select *, (nr - r_end) - (nq - q_end) as distance from v_next where forward = nf and contig = nc and r_end - nr < 30)"""

@@ -206,6 +206,19 @@ def test_window_model_is_the_cnn_transformer(spark):
         sc.model_scores(short, model, "id", "features").collect()
 
 
+def test_patches_of_wide_sites(spark, sf):
+    from svloom.plans.alignment_queries import sv73_label_all_patches
+
+    label = {(r.contig, r.window_start, r.patch_index): r.label for r in sv73_label_all_patches(spark, sf).where("window_start > 30000").collect()}
+    seen = set()
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        start = r.p_partkey * 5309 % 2_000_000
+        end, first = start + r.p_size * 6, start // 200
+        if r.p_partkey % 3 and start > 40_000 and min(first * 200 + 200, end) - start >= 50:
+            seen.add((f"ctg{r.p_partkey % 5}", first // 10 * 2000, first % 10))
+    assert seen and all(label[x] == 1 for x in seen) and set(label.values()) == {0, 1}
+
+
 def test_labels(spark):
     lines = spark.createDataFrame([("d/a.npy\t0,1,0,0,0,0,0,0,0,0",), ("e/a.npy\t0,1,0,0,0,0,0,0,0,0",), ("",)], "value string")
     assert lb.parse_label_lines(lines).count() == 1
