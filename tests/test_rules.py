@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from svloom.functions import dna
-from svloom.operators import alignment as al, evidence as ev, haplotypes as hp, intervals as iv, labels as lb, scoring as sc, variants as vs
+from svloom.operators import aligner as ar, alignment as al, evidence as ev, haplotypes as hp, intervals as iv, labels as lb, scoring as sc, variants as vs
 from svloom.sources import fasta, vcf
 
 
@@ -94,6 +94,40 @@ def test_ties_balance_in_read_order(spark):
     assert (r.n1, r.n2, r.hap1_better, r.score_ties, r.only_hap2, r.neither_aligned) == (2, 3, 1, 3, 1, 1) and r.n1 + r.n2 + r.neither_aligned == 6
 
 
+def test_reads_align_with_gaps_on_both_strands(spark):
+    rng = np.random.default_rng(5)
+    dna_of = lambda n: "".join(rng.choice(list("ACGT"), n))
+    target = dna_of(900)
+    read = target[50:350] + target[380:600] + dna_of(25) + target[600:850]
+    for forward in (True, False):
+        x = read if forward else read.encode().translate(ar.COMPLEMENT)[::-1].decode()
+        score, strand, start, end, cigar, aligned, mismatches, nm = ar.align(x, target)
+        assert strand == forward and aligned >= 765 and sum(n for o, n in cigar if o != 2) == len(read) and sum(n for o, n in cigar if o in (0, 2)) == end - start
+        assert {(o, n) for o, n in cigar if o in (1, 2)} == {(2, 30), (1, 25)} and nm == 55 + mismatches and score == 2 * (aligned - mismatches) - 4 * mismatches - 2 * 8 - 55
+    assert ar.align("A" * 30, "C" * 30) is None and ar.align("", target) is None
+
+    def best(a, b):
+        top, h, e = 0, [0] * (len(b) + 1), [-(10**6)] * (len(b) + 1)
+        for x in a:
+            slant, f, h[0] = h[0], -(10**6), 0
+            for j, y in enumerate(b, 1):
+                e[j] = max(e[j] - 1, h[j] - 9)
+                f = max(f - 1, h[j - 1] - 9)
+                slant, h[j] = h[j], max(0, e[j], f, slant + (2 if x == y else -4))
+                top = max(top, h[j])
+        return top
+
+    for _ in range(12):
+        target = dna_of(300)
+        read = "".join("" if p < 0.01 else c + dna_of(2) if p < 0.02 else dna_of(1) if p < 0.05 else c for c, p in zip(target[20:280], rng.random(260)))
+        score, _, start, end, cigar, aligned, mismatches, nm = ar.align(read, target)
+        gaps = [n for o, n in cigar if o in (1, 2)]
+        assert score == best(read, target) == 2 * (aligned - mismatches) - 4 * mismatches - 8 * len(gaps) - sum(gaps) and nm == mismatches + sum(gaps)
+    reads = spark.createDataFrame([(1, "a", read), (1, "b", "CCCC"), (1, "c", None)], "cluster int, read_id string, seq string")
+    rows = ar.align_reads(reads, spark.createDataFrame([(1, "h", target)], "cluster int, hap_id string, seq string")).collect()
+    assert [(r.read_id, r.score, r.forward, [tuple(x) for x in r.cigar], r.nm) for r in rows] == [("a", score, True, cigar, nm)]
+
+
 def test_each_read_has_its_side(spark):
     scores = [("1", 5, 5), ("2", 5, 5), ("3", 9, 5), ("4", None, None), ("5", 1, 1), ("6", None, 2), ("7", 3, 3)]
     rows = spark.createDataFrame([(p, r, a, b) for p in "pq" for r, a, b in scores], "pair_id string, read_id string, score1 long, score2 long")
