@@ -8,8 +8,8 @@ Characters that no piece covers become UTF-8 byte pieces at a score below all ot
 
 Before that, as the model's normalizer says, one blank is put in front of a non-empty text and blanks become ▁.
 No piece holds a ▁ but as its first character (pieces of several ▁ aren't used), nor a line feed; so a text's
-lattice falls into units between those, and a text's best path is that of its units. Each worker remembers the N best
-paths of the units it has met, as units repeat much. A text's N best paths are merged from them by a lazy heap over
+lattice falls into units between those, and a text's best path is that of its units. Each worker remembers the best path
+of the units it has met and what the second loses, as units repeat much, and all N paths of those that needed them. A text's N best paths are merged from them by a lazy heap over
 what its units lose: only the N - 1 units whose second path loses least can differ from their best one (of equal
 losses, the earlier units). Each of a text's paths is decoded as a whole to tell whether it gives the text again.
 
@@ -34,6 +34,7 @@ BLANK = "▁"
 #: Below the worst piece by so much: a character spelled in bytes.
 BYTE_LOSS = 10.0
 CACHED_UNITS = 1_500_000
+CACHED_DEEP = 100_000
 #: Paths of a document.
 N_BEST = 4
 
@@ -80,9 +81,11 @@ class Pieces:
 
     def forget(self) -> None:
         self.units.clear()
-        #: Of each unit its first path, best score and what the second path loses; of each path its loss and first id.
-        self.first, self.best, self.loss = array("q", [0]), array("d"), array("d")
-        self.losses, self.starts, self.ids = array("d"), array("q", [0]), array("i")
+        #: Of each unit the ids and score of its best path, and what the second path loses.
+        self.starts, self.ids = array("q", [0]), array("i")
+        self.best, self.loss = array("d"), array("d")
+        #: By unit, all N paths.
+        self.more: dict[str, list[tuple[float, np.ndarray]]] = {}
 
     def lattice(self, text: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
         """(best score from the start to each position, edges (start, score, piece or -1) that end at each position)."""
@@ -144,15 +147,19 @@ class Pieces:
         text = BLANK + text.replace(" ", BLANK) if text else ""
         return [(w, self.spell(text, path)) for w, path in self.nbest(text, n)] if text else [(0.0, [])]
 
-    def _part(self, part: str) -> list[tuple[float, list[int]]]:
-        return [(w, self.spell(part, path)) for w, path in self.nbest(part, self.n)]
+    def _part(self, part: str, n: int) -> list[tuple[float, list[int]]]:
+        return [(w, self.spell(part, path)) for w, path in self.nbest(part, n)]
 
-    def _lines(self, word: str) -> tuple[float, list[tuple[float, list[int]]]]:
-        """(best score, [(loss, ids)]) of a unit with line feeds."""
+    def _paths(self, word: str, n: int) -> tuple[float, list[tuple[float, list[int]]]]:
+        """(best score, [(loss, ids)] of the ``n`` best paths) of the unit ▁ + ``word``."""
+        word = BLANK + word
+        if "\n" not in word:
+            found = self._part(word, n)
+            return found[0][0], [(found[0][0] - w, ids) for w, ids in found]
         lines = word.split("\n")
-        parts = [self._part(p) for p in [lines[0]] + [x for line in lines[1:] for x in ("\n", line) if x]]
-        open_ = sorted((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1)[: self.n - 1]
-        found = least_sums([[parts[k][0][0] - w for w, _ in parts[k]] for _, k in open_], self.n)
+        parts = [self._part(p, n) for p in [lines[0]] + [x for line in lines[1:] for x in ("\n", line) if x]]
+        open_ = sorted((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1)[: n - 1]
+        found = least_sums([[parts[k][0][0] - w for w, _ in parts[k]] for _, k in open_], n)
         paths = []
         for loss, moves in found:
             place = {open_[j][1]: k for j, k in moves}
@@ -163,22 +170,23 @@ class Pieces:
         """Number of the remembered unit ▁ + ``word``."""
         got = self.units.get(word)
         if got is None:
-            if "\n" in word:
-                best, paths = self._lines(BLANK + word)
-            else:
-                found = self._part(BLANK + word)
-                best = found[0][0]
-                paths = [(best - w, ids) for w, ids in found]
-            for loss, ids in paths:
-                self.losses.append(loss)
-                self.ids.extend(ids)
-                self.starts.append(len(self.ids))
-            self.first.append(len(self.losses))
+            best, paths = self._paths(word, 2)
+            self.ids.extend(paths[0][1])
+            self.starts.append(len(self.ids))
             self.best.append(best)
             self.loss.append(paths[1][0] if len(paths) > 1 else float("inf"))
             got = self.units[word] = len(self.best) - 1
         return got
 
+    def deep(self, word: str) -> list[tuple[float, np.ndarray]]:
+        """(loss, ids) of all N paths of a unit."""
+        got = self.more.get(word)
+        if got is None:
+            if len(self.more) >= CACHED_DEEP:
+                self.more.clear()
+            got = self.more[word] = [(loss, np.array(ids, np.int32)) for loss, ids in self._paths(word, self.n)[1]]
+        return got
+
 
 _pieces: dict[tuple[str, int], Pieces] = {}
 
@@ -206,11 +214,11 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
         coded = words.flatten().dictionary_encode()
         if len(pieces.units) > CACHED_UNITS:
             pieces.forget()
-        slots = np.array([pieces.unit(w) for w in coded.dictionary.to_pylist()], np.int64)
+        known, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        slots = np.array([pieces.unit(w) for w in known], np.int64)
         starts, ids = np.frombuffer(pieces.starts, np.int64), np.frombuffer(pieces.ids, np.int32) if pieces.ids else np.zeros(0, np.int32)
-        paths, losses = np.frombuffer(pieces.first, np.int64), np.frombuffer(pieces.losses) if pieces.losses else np.zeros(0)
         best, loss = (np.frombuffer(x) if x else np.zeros(0) for x in (pieces.best, pieces.loss))
-        each = slots[coded.indices.to_numpy(zero_copy_only=False)]
+        each = slots[which]
         at = words.offsets.to_numpy()
         at = at - at[0]
         found, second, ends_at = [], [], [0]
@@ -221,10 +229,9 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
                 ends_at.append(len(found))
                 continue
             u = each[at[i] : at[i + 1]]
-            p = paths[u]
-            size = starts[p + 1] - starts[p]
+            size = starts[u + 1] - starts[u]
             ends = np.cumsum(size)
-            top = ids[np.arange(ends[-1]) + np.repeat(starts[p] - ends + size, size)]
+            top = ids[np.arange(ends[-1]) + np.repeat(starts[u] - ends + size, size)]
             total, gaps = float(best[u].sum()), loss[u]
             where = np.flatnonzero(np.isfinite(gaps))
             if len(where) > depth - 1:
@@ -232,13 +239,13 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
                 below = where[gaps[where] < cut]
                 where = np.concatenate([below, where[gaps[where] == cut][: depth - 1 - len(below)]])
             where = sorted(where.tolist(), key=lambda k: (gaps[k], k))
-            sums = least_sums([losses[paths[u[k]] : paths[u[k] + 1]].tolist() for k in where], depth)
+            deep = [pieces.deep(known[which[at[i] + k]]) for k in where]
+            sums = least_sums([[lost for lost, _ in x] for x in deep], depth)
             second.append(total - sums[1][0] if len(sums) > 1 else None)
             for lost, moves in sums[:n]:
                 got = top
-                for k, rank in sorted(((where[j], rank) for j, rank in moves), reverse=True):
-                    x = p[k] + rank
-                    got = np.concatenate([got[: ends[k] - size[k]], ids[starts[x] : starts[x + 1]], got[ends[k] :]])
+                for k, j, rank in sorted(((where[j], j, rank) for j, rank in moves), reverse=True):
+                    got = np.concatenate([got[: ends[k] - size[k]], deep[j][rank][1], got[ends[k] :]])
                 found.append((total - lost, len(got), zlib.crc32(got.astype("<i4").tobytes()), pieces.decode(got.tolist()) == text, got))
             ends_at.append(len(found))
         cols = [pa.array(c, k) for c, k in list(zip(list(zip(*found)) or [()] * 5, kinds))[: len(names)]]
