@@ -1,27 +1,37 @@
 """SentencePiece encoding and decoding by N-best search over the piece lattice.
 
-The lattice of a text has an edge for each vocabulary piece that matches somewhere; an edge weighs the piece's
-score in the model. A forward Viterbi pass gives each position the best score from the start; a backward A-star
-search from the end uses these as its exact heuristic, so complete paths leave its queue in order of score, and
-no partial path is expanded that isn't on one of the N best. Ties go to the path whose last pieces are longer.
-Characters that no piece covers become UTF-8 byte pieces at a score below all others.
+The lattice of a text has an edge for each vocabulary piece that matches somewhere. A forward Viterbi pass gives
+each position the best score from the start; a backward A-star search from the end uses these as its exact
+heuristic, so complete paths leave its queue in order of score. Each queued partial path completes at exactly the
+score it is queued with, and no two of them share a path; so only the n best have to stay in the queue, and of
+equal ones that which has come nearest to the start goes on. A search therefore takes n steps a piece at most,
+however many paths tie, and remembers 8 bytes a character and the n paths. Ties go to the path whose last piece is
+longer. Characters that no piece covers become UTF-8 byte pieces at a score below all others.
+
+Weights are whole numbers (units of 1 / SCALE), so sums are exact in any order. A model whose scores are whole
+numbers is a BPE model, which orders its pieces by rank; by Zipf's law the piece of rank r weighs -log(r + ZIPF).
+Other models' scores are log-probabilities already.
 
 Before that, as the model's normalizer says, one blank is put in front of a non-empty text and blanks become ▁.
-No piece holds a ▁ but as its first character (pieces of several ▁ aren't used), nor a line feed; so a text's
-lattice falls into units between those, and a text's best path is that of its units. Each worker remembers the best path
-of the units it has met and what the second loses, as units repeat much, and all N paths of those that needed them. A text's N best paths are merged from them by a lazy heap over
-what its units lose: only the N - 1 units whose second path loses least can differ from their best one (of equal
-losses, the earlier units). Each of a text's paths is decoded as a whole to tell whether it gives the text again.
+A piece has ▁ at its beginning only, so no piece spans the place before a run of ▁, and a text's lattice falls
+into units there; a text's best path is that of its units. Each worker remembers the best path of the units it has
+met and what the second loses, as units repeat much, and all N paths of those that needed them. A text's N best
+paths are merged from them by a lazy heap over what its units lose: only the N - 1 units whose second path loses
+least can differ from their best one (of equal losses, the earlier units). Each of a text's paths is decoded as a
+whole to tell whether it gives the text again.
 
 Null counts as empty; an empty text has no pieces, scores 0 and no second path. A literal ▁ decodes as a blank:
-round_trip tells. ``decode_documents`` turns ids into texts. Rows are encoded one by one; repeated rows repeat; other columns are not read.
+round_trip tells. A long text, or a long run without blanks, is searched whole. ``decode_documents`` turns ids into
+texts. Rows are encoded one by one; repeated rows repeat; other columns are not read; an empty table is empty.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from array import array
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +41,24 @@ from pyspark.sql import DataFrame, functions as F
 from svloom.llm import bytewords as bw
 
 BLANK = "▁"
+#: Units of a weight in the lattice, and what is added to the rank of a BPE piece.
+SCALE, ZIPF = 1 << 20, 100.0
 #: Below the worst piece by so much: a character spelled in bytes.
 BYTE_LOSS = 10.0
-CACHED_UNITS = 1_500_000
-CACHED_DEEP = 100_000
+#: What a worker remembers at most: units, and ids of their paths.
+CACHED_UNITS, CACHED_IDS = 1_500_000, 12_000_000
+CACHED_DEEP = 2_000_000
 #: Paths of a document.
 N_BEST = 4
+LOW, NO_LOSS = -(1 << 62), 1 << 62
 
 
-def least_sums(losses: list[list[float]], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
+def least_sums(losses: list[list[int]], n: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """The ``n`` smallest (sum, [(list, place)]) of one value from each list, as far as places aren't 0.
 
-    Each list ascends from 0.0 and has two values or more; the lists ascend by their second value.
+    Each list ascends from 0 and has two values or more; the lists ascend by their second value.
     """
-    out, tick, queue = [(0.0, [])], 0, [(losses[0][1], 0, [(0, 1)])] if losses else []
+    out, tick, queue = [(0, [])], 0, [(losses[0][1], 0, [(0, 1)])] if losses else []
     while queue and len(out) < n:
         got = heapq.heappop(queue)
         out.append((got[0], got[2]))
@@ -66,58 +80,72 @@ class Pieces:
 
         self.n = n
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.bytes = {int(self.text[i][3:5], 16): i for i in range(len(self.text)) if model.is_byte(i)}
-        self.raw = [x.encode() for x in self.text]
+        ids = range(model.get_piece_size())
+        self.text = [model.id_to_piece(i) for i in ids]
+        self.bytes = {int(self.text[i][3:5], 16): i for i in ids if model.is_byte(i)}
+        #: What each id decodes to; control pieces to nothing.
+        self.raw = [b"" if model.is_control(i) else self.text[i].replace(BLANK, " ").encode() for i in ids]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        plain = [i for i in range(len(self.text)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or BLANK in self.text[i][1:])]
-        self.score = {self.text[i]: (model.get_score(i), i) for i in plain}
-        #: All pieces with (score, number), and all their beginnings that are no pieces with None.
+        self.spelled = pa.array(self.raw, pa.large_binary())
+        plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        if any(BLANK in self.text[i].lstrip(BLANK) for i in plain):
+            raise ValueError(f"{path} has pieces with {BLANK} behind other characters")
+        weight = [model.get_score(i) for i in plain]
+        if all(w.is_integer() for w in weight):
+            weight = [-math.log(rank + ZIPF) for rank in range(len(plain))]
+        self.score = {self.text[i]: (round(w * SCALE), i) for i, w in zip(plain, weight)}
+        #: All pieces with (weight, number), and all their beginnings that are no pieces with None.
         self.known = {p[:k]: None for p in self.score for k in range(1, len(p) + 1)} | self.score
-        self.unknown = min(s for s, _ in self.score.values()) - BYTE_LOSS
-        self.units: dict[str, int] = {}
+        self.endings = {p[k:] for p in self.score for k in range(len(p))}
+        self.unknown = min(w for w, _ in self.score.values()) - round(BYTE_LOSS * SCALE)
         self.forget()
 
     def forget(self) -> None:
-        self.units.clear()
+        self.units: dict[str, int] = {}
         #: Of each unit the ids and score of its best path, and what the second path loses.
         self.starts, self.ids = array("q", [0]), array("i")
-        self.best, self.loss = array("d"), array("d")
+        self.best, self.loss = array("q"), array("q")
         #: By unit, all N paths.
-        self.more: dict[str, list[tuple[float, np.ndarray]]] = {}
-
-    def lattice(self, text: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
-        """(best score from the start to each position, edges (start, score, piece or -1) that end at each position)."""
-        n, known = len(text), self.known
-        alpha = [float("-inf")] * (n + 1)
-        alpha[0] = 0.0
-        edges: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
+        self.more: dict[str, list[tuple[int, np.ndarray]]] = {}
+        self.held = 0
+
+    def forward(self, text: str) -> array:
+        """Best score from the start to each position."""
+        n, known, unknown = len(text), self.known, self.unknown
+        alpha = array("q", [LOW]) * (n + 1)
+        alpha[0] = 0
         for s in range(n):
-            at, single = alpha[s], False
-            for e in range(s + 1, n + 1):
-                got = known.get(text[s:e], 0)
-                if got:
-                    w, i = got
-                    edges[e].append((s, w, i))
-                    if e == s + 1:
-                        single = True
-                    if at + w > alpha[e]:
-                        alpha[e] = at + w
-                elif got == 0:
+            at, e = alpha[s], s + 1
+            got = known.get(text[s:e], 0)
+            if not got and at + unknown > alpha[e]:
+                alpha[e] = at + unknown
+            while got != 0:
+                if got and at + got[0] > alpha[e]:
+                    alpha[e] = at + got[0]
+                e += 1
+                if e > n:
                     break
-            if not single:
-                edges[s + 1].append((s, self.unknown, -1))
-                alpha[s + 1] = max(alpha[s + 1], at + self.unknown)
-        return alpha, edges
+                got = known.get(text[s:e], 0)
+        return alpha
+
+    def backward(self, text: str, e: int) -> list[tuple[int, int, int]]:
+        """Edges (start, weight, piece or -1) that end at ``e``."""
+        out, s = [], e - 1
+        while s >= 0 and (part := text[s:e]) in self.endings:
+            if got := self.score.get(part):
+                out.append((s, *got))
+            s -= 1
+        if not out or out[0][0] != e - 1:
+            out.append((e - 1, self.unknown, -1))
+        return out
 
-    def nbest(self, text: str, n: int) -> list[tuple[float, list[tuple[int, int, int]]]]:
+    def nbest(self, text: str, n: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """The ``n`` best (score, path) of a text whose blanks are ▁; a path has (start, end, piece or -1) from left to right."""
-        alpha, edges = self.lattice(text)
-        queue, out, tick = [(-alpha[-1], 0, len(text), 0.0, None)], [], 0
-        push, pop = heapq.heappush, heapq.heappop
+        alpha, out, tick = self.forward(text), [], 0
+        queue = [(-alpha[-1], len(text), 0, 0, None)]
         while queue and len(out) < n:
-            _, _, at, after, path = pop(queue)
+            _, at, _, after, path = queue.pop(0)
             if at == 0:
                 steps = []
                 while path:
@@ -125,9 +153,14 @@ class Pieces:
                     steps.append(step)
                 out.append((after, steps))
                 continue
-            for s, w, i in edges[at]:
+            for s, w, i in self.backward(text, at):
                 tick += 1
-                push(queue, (-(alpha[s] + w + after), tick, s, after + w, ((s, at, i), path)))
+                entry = (-(alpha[s] + w + after), s, tick, after + w, ((s, at, i), path))
+                if len(queue) >= n - len(out):
+                    if entry > queue[-1]:
+                        continue
+                    queue.pop()
+                insort(queue, entry)
         return out
 
     def spell(self, text: str, path: list[tuple[int, int, int]]) -> list[int]:
@@ -139,52 +172,39 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; the blank in front is taken away."""
         raw = self.raw
-        out = b"".join([raw[i] for i in ids])
-        return out.decode(errors="replace").replace(BLANK, " ").removeprefix(" ")
-
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The ``n`` best (score, ids) of a whole text."""
-        text = BLANK + text.replace(" ", BLANK) if text else ""
-        return [(w, self.spell(text, path)) for w, path in self.nbest(text, n)] if text else [(0.0, [])]
-
-    def _part(self, part: str, n: int) -> list[tuple[float, list[int]]]:
-        return [(w, self.spell(part, path)) for w, path in self.nbest(part, n)]
-
-    def _paths(self, word: str, n: int) -> tuple[float, list[tuple[float, list[int]]]]:
-        """(best score, [(loss, ids)] of the ``n`` best paths) of the unit ▁ + ``word``."""
-        word = BLANK + word
-        if "\n" not in word:
-            found = self._part(word, n)
-            return found[0][0], [(found[0][0] - w, ids) for w, ids in found]
-        lines = word.split("\n")
-        parts = [self._part(p, n) for p in [lines[0]] + [x for line in lines[1:] for x in ("\n", line) if x]]
-        open_ = sorted((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1)[: n - 1]
-        found = least_sums([[parts[k][0][0] - w for w, _ in parts[k]] for _, k in open_], n)
-        paths = []
-        for loss, moves in found:
-            place = {open_[j][1]: k for j, k in moves}
-            paths.append((loss, [i for k, p in enumerate(parts) for i in p[place.get(k, 0)][1]]))
-        return sum(p[0][0] for p in parts), paths
+        return b"".join([raw[i] for i in ids]).decode(errors="replace").removeprefix(" ")
+
+    def encode(self, text: str, n: int = 1) -> list[tuple[int, list[int]]]:
+        """The ``n`` best (score, ids) of a whole text, without units."""
+        if not text:
+            return [(0, [])]
+        text = BLANK + text.replace(" ", BLANK)
+        return [(w, self.spell(text, path)) for w, path in self.nbest(text, n)]
 
     def unit(self, word: str) -> int:
         """Number of the remembered unit ▁ + ``word``."""
         got = self.units.get(word)
         if got is None:
-            best, paths = self._paths(word, 2)
-            self.ids.extend(paths[0][1])
+            text = BLANK + word
+            paths = self.nbest(text, 2)
+            self.ids.extend(self.spell(text, paths[0][1]))
             self.starts.append(len(self.ids))
-            self.best.append(best)
-            self.loss.append(paths[1][0] if len(paths) > 1 else float("inf"))
+            self.best.append(paths[0][0])
+            self.loss.append(paths[0][0] - paths[1][0] if len(paths) > 1 else NO_LOSS)
             got = self.units[word] = len(self.best) - 1
         return got
 
-    def deep(self, word: str) -> list[tuple[float, np.ndarray]]:
+    def deep(self, word: str) -> list[tuple[int, np.ndarray]]:
         """(loss, ids) of all N paths of a unit."""
         got = self.more.get(word)
         if got is None:
-            if len(self.more) >= CACHED_DEEP:
+            if self.held >= CACHED_DEEP:
                 self.more.clear()
-            got = self.more[word] = [(loss, np.array(ids, np.int32)) for loss, ids in self._paths(word, self.n)[1]]
+                self.held = 0
+            text = BLANK + word
+            paths = self.nbest(text, self.n)
+            got = self.more[word] = [(paths[0][0] - w, np.array(self.spell(text, path), np.int32)) for w, path in paths]
+            self.held += 8 + sum(len(ids) for _, ids in got)
         return got
 
 
@@ -204,55 +224,82 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
     """
     if n < 1:
         raise ValueError("n must be 1 or more")
-    names = ["score", "n_pieces", "ids_crc32", "round_trip"] + ["ids"] * with_ids
-    kinds = [pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    names_of = ["score", "n_pieces", "ids_crc32", "round_trip"] + ["ids"] * with_ids
     depth = max(n, 2)
 
     def some(pieces: Pieces, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         texts = texts.fill_null("").cast(pa.large_string())
-        words = pc.split_pattern(texts, " ")
+        # in the lattice a literal blank mark is a blank
+        words = pc.split_pattern(pc.replace_substring(texts, BLANK, " "), " ")
         coded = words.flatten().dictionary_encode()
-        if len(pieces.units) > CACHED_UNITS:
+        if len(pieces.units) > CACHED_UNITS or len(pieces.ids) > CACHED_IDS:
             pieces.forget()
         known, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        slots = np.array([pieces.unit(w) for w in known], np.int64)
-        starts, ids = np.frombuffer(pieces.starts, np.int64), np.frombuffer(pieces.ids, np.int32) if pieces.ids else np.zeros(0, np.int32)
-        best, loss = (np.frombuffer(x) if x else np.zeros(0) for x in (pieces.best, pieces.loss))
-        each = slots[which]
         at = words.offsets.to_numpy()
         at = at - at[0]
-        found, second, ends_at = [], [], [0]
-        for i, text in enumerate(texts.to_pylist()):
-            if not text:
-                found.append((0.0, 0, zlib.crc32(b""), True, np.zeros(0, np.int32)))
+        # an empty word is one more blank in front of the next one; only at a text's end it stands alone
+        ends_unit = np.ones(len(which), bool)
+        if "" in known:
+            ends_unit = which != known.index("")
+            ends_unit[at[1:] - 1] = True
+        place = np.flatnonzero(ends_unit)
+        blanks = np.diff(place, prepend=-1)
+        names = [known[c] for c in which[place].tolist()]
+        for k in np.flatnonzero(blanks > 1).tolist():
+            names[k] = BLANK * (int(blanks[k]) - 1) + names[k]
+        at = np.searchsorted(place, at)
+        known_units, unit = pieces.units, pieces.unit
+        u = np.fromiter((known_units[w] if w in known_units else unit(w) for w in names), np.int64, len(names))
+        starts, ids = np.frombuffer(pieces.starts, np.int64), np.frombuffer(pieces.ids, np.int32) if pieces.ids else np.zeros(0, np.int32)
+        best, loss = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in (pieces.best, pieces.loss))
+        size = starts[u + 1] - starts[u]
+        ends = np.cumsum(size)
+        every = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[u] - ends + size, size)]
+        total, gaps = np.concatenate([[0], np.cumsum(best[u])]), loss[u]
+        paths, score, second, ends_at = [], [], [], [0]
+        _, bounds = bw.column(texts)
+        for i in range(len(texts)):
+            if bounds[i] == bounds[i + 1]:  # empty: one path without pieces
+                paths.append(every[:0])
+                score.append(0)
                 second.append(None)
-                ends_at.append(len(found))
+                ends_at.append(len(paths))
                 continue
-            u = each[at[i] : at[i + 1]]
-            size = starts[u + 1] - starts[u]
-            ends = np.cumsum(size)
-            top = ids[np.arange(ends[-1]) + np.repeat(starts[u] - ends + size, size)]
-            total, gaps = float(best[u].sum()), loss[u]
-            where = np.flatnonzero(np.isfinite(gaps))
+            a, b = int(at[i]), int(at[i + 1])
+            first = int(ends[a] - size[a])
+            top, whole, mine = every[first : ends[b - 1]], int(total[b] - total[a]), gaps[a:b]
+            where = np.flatnonzero(mine < NO_LOSS)
             if len(where) > depth - 1:
-                cut = np.partition(gaps[where], depth - 2)[depth - 2]
-                below = where[gaps[where] < cut]
-                where = np.concatenate([below, where[gaps[where] == cut][: depth - 1 - len(below)]])
-            where = sorted(where.tolist(), key=lambda k: (gaps[k], k))
-            deep = [pieces.deep(known[which[at[i] + k]]) for k in where]
+                cut = np.partition(mine[where], depth - 2)[depth - 2]
+                below = where[mine[where] < cut]
+                where = np.concatenate([below, where[mine[where] == cut][: depth - 1 - len(below)]])
+            where = sorted(where.tolist(), key=lambda k: (mine[k], k))
+            deep = [pieces.deep(names[a + k]) for k in where]
             sums = least_sums([[lost for lost, _ in x] for x in deep], depth)
-            second.append(total - sums[1][0] if len(sums) > 1 else None)
+            second.append(whole - sums[1][0] if len(sums) > 1 else None)
             for lost, moves in sums[:n]:
-                got = top
-                for k, j, rank in sorted(((where[j], j, rank) for j, rank in moves), reverse=True):
-                    got = np.concatenate([got[: ends[k] - size[k]], deep[j][rank][1], got[ends[k] :]])
-                found.append((total - lost, len(got), zlib.crc32(got.astype("<i4").tobytes()), pieces.decode(got.tolist()) == text, got))
-            ends_at.append(len(found))
-        cols = [pa.array(c, k) for c, k in list(zip(list(zip(*found)) or [()] * 5, kinds))[: len(names)]]
+                parts, done = [], 0
+                for k, j, rank in sorted((where[j], j, rank) for j, rank in moves):
+                    parts += [top[done : ends[a + k] - size[a + k] - first], deep[j][rank][1]]
+                    done = ends[a + k] - first
+                paths.append(np.concatenate([*parts, top[done:]]) if parts else top)
+                score.append(whole - lost)
+            ends_at.append(len(paths))
+        # every path is decoded as a whole and compared with its text
+        flat = np.concatenate([np.zeros(0, np.int32), *paths])
+        stops = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int64)
+        _, spelled, raw = pieces.spelled.take(pa.array(flat)).buffers()
+        raw, cuts = memoryview(raw) if raw else b"", np.frombuffer(spelled, np.int64)[stops]
+        data, of = memoryview(bw.column(texts)[0]), np.repeat(np.arange(len(texts)), np.diff(ends_at))
+        again = [bytes(raw[x : y]).removeprefix(b" ") == bytes(data[bounds[t] : bounds[t + 1]]) for x, y, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), of.tolist())]
+        crcs = [zlib.crc32(p.astype("<i4", copy=False).tobytes()) for p in paths]
+        cols = [pa.array(np.array(score, np.int64) / SCALE), pa.array(np.diff(stops)), pa.array(crcs, pa.int64()), pa.array(again, pa.bool_())]
+        cols += [pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat))] * with_ids
         heads = pa.array(ends_at[:-1], pa.int64())
-        score, count, crc, again, *top_ids = (c.take(heads) for c in cols)
-        nbest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays(cols, names=names))
-        return pa.RecordBatch.from_arrays([keys, count, crc, score, pa.array(second, pa.float64()), again, *top_ids, nbest], names=["doc_id", "n_pieces", "ids_crc32", "best_score", "second_score", "round_trip"] + ["ids"] * with_ids + ["nbest"])
+        top_score, count, crc, whole_again, *top_ids = (c.take(heads) for c in cols)
+        nbest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays(cols, names=names_of))
+        seconds = pa.array([None if x is None else x / SCALE for x in second], pa.float64())
+        return pa.RecordBatch.from_arrays([keys, count, crc, top_score, seconds, whole_again, *top_ids, nbest], names=["doc_id", "n_pieces", "ids_crc32", "best_score", "second_score", "round_trip"] + ["ids"] * with_ids + ["nbest"])
 
     def apply(batches):
         pieces = pieces_of(model_path, depth)

@@ -198,22 +198,45 @@ def test_nbest_against_all_paths(pieces):
             if not single:
                 walk(s + 1, score + pieces.unknown)
 
-        walk(0, 0.0)
+        walk(0, 0)
         return sorted(out, reverse=True)
 
-    for text in ("hello", "a  b", "日本𝒳x", "x\ny", "the cat"):
+    for text in ("hello", "a  b", "日本𝒳x", "x\ny", "the cat", ".......=", "-----------", "a" + " " * 9 + "b", "   "):
         scores = every(sn.BLANK + text.replace(" ", sn.BLANK))
         found = pieces.encode(text, 6)
-        assert [w for w, _ in found] == scores[:6]
+        assert [w for w, _ in found] == scores[:6] and len({tuple(ids) for _, ids in found}) == len(found)
         assert all(pieces.decode(ids) == text for _, ids in found)
 
 
+def test_ties_and_long_units_take_linear_time(spark, pieces, monkeypatch):
+    steps = 0
+    real = pieces.backward
+
+    def counted(text, e):
+        nonlocal steps
+        steps += 1
+        return real(text, e)
+
+    monkeypatch.setattr(pieces, "backward", counted)
+    texts = ["......." + "=", ("......." + "=") * 1000, "-" * 10_000, "a" + " " * 16 + "b", " " * 5000, "ab" * 20_000, "line\n" * 4000]
+    for text in texts:
+        steps = 0
+        found = pieces.encode(text, 4)
+        assert steps <= 4 * (len(text) + 1) and all(pieces.decode(ids) == text for _, ids in found)
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = sn.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for r in rows:
+        whole = pieces.encode(texts[r.doc_id], 4)
+        assert [x.score for x in r.nbest] == [w / sn.SCALE for w, _ in whole] and r.ids == whole[0][1] and r.round_trip
+    assert rows[3].n_pieces == 4  # a run of blanks is one piece, as in the model's own segmentation
+
+
 def test_documents_equal_the_whole_lattice(spark, docs, pieces):
     rows = sn.encode_documents(docs, queries.tokenizer_path("piece_bpe_32k.model")).collect()
     for text, r in zip(ODD, [next(x for x in rows if x.doc_id == i) for i in range(len(ODD))]):
         two = pieces.encode(text or "", 2)
-        assert r.best_score == two[0][0] and r.n_pieces == len(r.ids) and r.round_trip
-        assert pieces.decode(r.ids) == (text or "") and r.second_score == (two[1][0] if len(two) > 1 else None)
+        assert r.best_score == two[0][0] / sn.SCALE and r.n_pieces == len(r.ids) and r.round_trip
+        assert pieces.decode(r.ids) == (text or "") and r.second_score == (two[1][0] / sn.SCALE if len(two) > 1 else None)
     assert sn.encode_documents(docs.limit(0), queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
@@ -225,7 +248,7 @@ def test_documents_have_n_best_paths_and_decode(spark, pieces):
         rows = {r.doc_id: r for r in sn.encode_documents(docs, path, n=n).collect()}
         for i, text in enumerate(texts):
             whole, got = pieces.encode(text or "", n), rows[i].nbest
-            assert [x.score for x in got] == pytest.approx([w for w, _ in whole]) and len({tuple(x.ids) for x in got}) == len(got)
+            assert [x.score for x in got] == [w / sn.SCALE for w, _ in whole] and len({tuple(x.ids) for x in got}) == len(got)
             assert got[0].ids == rows[i].ids == whole[0][1] and all(x.round_trip and pieces.decode(x.ids) == (text or "") for x in got)
     coded = sn.encode_documents(docs, path, n=12)
     for k in (0, 1):
