@@ -9,6 +9,7 @@
   that towards its last label, that towards all pages; counted by grouped aggregation of the pages' text votes.
   A page's own vote is taken out of all its counts.
 
+A declared language counts by its primary code (three-letter codes of known languages become two letters).
 The posterior is the normalised product. Ties go to the language first in order. Null html or url count as empty:
 the page then has no evidence of that kind; a page without any gets the prior of all pages. Repeated rows vote
 repeatedly. Other columns are not read. Without any training document every language is null.
@@ -24,33 +25,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from svloom.llm import bytewords as bw
-from svloom.llm.shared import Workspace
+from svloom.llm.shared import Workspace, sample_ids
 
 BITS = 16
-#: Bound of the training sample.
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 4_000, 16_000_000
+#: Bound of the training sample; its texts are counted whole.
+MAX_TRAIN_DOCS = 4_000
 DECLARED, SUFFIX = 0.9, 0.8
 #: Weight of the level above, in pages, when a level's counts are smoothed.
 SMOOTH = 5.0
 #: Fixed: country suffixes and their languages.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
-TAG = re.compile(r"<[^>]*>")
-LANG = re.compile(r"<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: Fixed: three-letter codes of languages that have two-letter ones here.
+CODES = {"deu": "de", "ger": "de", "eng": "en", "fra": "fr", "fre": "fr", "spa": "es"}
+TAG = re.compile(r"<[^<>]*>")
+HIDDEN = re.compile(r"<(script|style)(?=[\s/>])|<!--", re.I | re.A)
+CLOSED = {None: re.compile("-->"), "script": re.compile(r"</script", re.I | re.A), "style": re.compile(r"</style", re.I | re.A)}
+ROOT = re.compile(r"<html(?=[\s/>])", re.I | re.A)
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+
+
+def shown(html: str) -> str:
+    """The page without comments, scripts and styles; what is never closed goes to the end."""
+    out, at = [], 0
+    while found := HIDDEN.search(html, at):
+        out.append(html[at : found.start()])
+        kind = found[1] and found[1].lower()
+        stop = CLOSED[kind].search(html, found.end())
+        at = len(html) if stop is None else stop.start() if kind else stop.end()
+    return "".join(out) + html[at:]
 
 
 def visible(html: str) -> str:
     """Text outside of tags, comments, scripts and styles."""
-    out, at = [], 0
-    low = html.lower()
-    while True:
-        found = [(k, end) for start, end in (("<script", "</script"), ("<style", "</style"), ("<!--", "-->")) if (k := low.find(start, at)) >= 0]
-        if not found:
-            break
-        k, end = min(found)
-        stop = low.find(end, k)
-        out.append(html[at:k])
-        at = len(html) if stop < 0 else stop + (3 if end == "-->" else 0)
-    return htmllib.unescape(TAG.sub(" ", "".join(out) + html[at:])) if "<" in html or "&" in html else html
+    return htmllib.unescape(TAG.sub(" ", shown(html))) if "<" in html or "&" in html else html
+
+
+def declared(html: str) -> str | None:
+    """Primary language of the lang attribute of the first html element, two letters where there are such."""
+    html = shown(html)
+    root = ROOT.search(html)
+    at = root.end() if root else len(html)
+    while found := ATTRIBUTE.match(html, at):
+        at = found.end()
+        if found[1].lower() == "lang":
+            code = re.match(r"\s*([A-Za-z]+)", found[2] or found[3] or found[4] or "")
+            return CODES.get(code[1].lower(), code[1].lower()) if code else None
+    return None
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -61,21 +81,36 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihood of each bucket under each) from ``docs`` (doc_id, text, lang), at most ``max_docs`` of them."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", F.lit(10)).alias("at"))
-    rows = rows.orderBy("at", "lang", F.xxhash64("text")).limit(max_docs)
-    counts: dict[str, np.ndarray] = {}
-    room = MAX_TRAIN_BYTES
-    for row in rows.select("lang", "text").toLocalIterator():
-        room -= len(row.text)
-        if room < 0:
-            break
-        mine = counts.setdefault(row.lang, np.zeros(1 << BITS))
-        mine += np.bincount(trigrams(row.text), minlength=1 << BITS)
-    langs = sorted(counts)
+    """(languages, log-likelihood of each bucket under each) from ``docs`` (doc_id, text, lang), at most ``max_docs`` of them.
+
+    Ids are chosen first, without texts; the executors count the chosen texts, and the driver gets sums. Of several
+    documents with one id the least language and text count.
+    """
+    spark = docs.sparkSession
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "lang", "text")
+    ws = Workspace(spark, "language")
+    chosen = sample_ids(ws.table(usable.select("id").distinct(), "ids"), max_docs, 10)
+
+    def apply(batches):
+        for batch in batches:
+            counts: dict[str, np.ndarray] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at, n = np.unique(trigrams(text), return_counts=True)
+                counts.setdefault(lang, np.zeros(1 << BITS, np.int64))[at] += n
+            for lang, c in counts.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["lang", "bucket", "n"])
+
+    few = usable.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("x"))
+    few = ws.table(few.select("x.lang", "x.text"), "sample")
+    seen = few.select("lang").distinct().toArrow().column("lang").to_pylist()
+    langs = sorted(seen)
     if not langs:
         return [], np.zeros((0, 1 << BITS))
-    c = np.stack([counts[x] for x in langs]) + 0.5
+    sums = few.mapInArrow(apply, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    c = np.full((len(langs), 1 << BITS), 0.5)
+    number = {x: k for k, x in enumerate(langs)}
+    c[[number[x] for x in sums.column("lang").to_pylist()], sums.column("bucket").to_numpy()] += sums.column("n").to_numpy()
     return langs, np.log(c / c.sum(1, keepdims=True))
 
 
@@ -91,11 +126,10 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
                 _, mark, rest = (url or "").partition("://")
                 host = re.split(r"[/?#:]", rest, maxsplit=1)[0].lower() if mark else ""
                 labels = host.split(".")
-                found = LANG.search(page or "")
                 at = trigrams(visible(page or ""))
                 text = [float(x) for x in table[:, at].sum(1, dtype=np.float64) / np.sqrt(len(at))] if len(at) and langs else [0.0] * len(langs)
                 vote = int(np.argmax(text)) if len(at) and langs else -1
-                rows.append((host, ".".join(labels[-2:]), labels[-1], found and found[1].lower()[:2], text, vote))
+                rows.append((host, ".".join(labels[-2:]), labels[-1], declared(page or ""), text, vote))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [pa.string()] * 4 + [pa.list_(pa.float64()), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["page_id", "host", "domain", "suffix", "declared", "text", "vote"])
