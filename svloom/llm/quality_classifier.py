@@ -21,22 +21,24 @@ from svloom.llm import bytewords as bw
 
 EMBED, WIDTH, FILTERS, STRIDE = 6, 8, 24, 2
 CHUNK = 512
-#: Bound of the training sample, and passes over it.
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES, EPOCHS, BATCH, RATE = 2_000, 8_000_000, 6, 16, 0.01
+#: Bound of the training sample: labelled rows, and bytes of one text (longer texts are scored but not learnt from).
+MAX_TRAIN_DOCS, MAX_TRAIN_TEXT = 2_000, 1 << 14
+EPOCHS, BATCH, RATE = 6, 16, 0.01
 THRESHOLD = 0.3
 PAD = 0
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks, CHUNK + WIDTH) bytes and the document of each chunk; the last chunk of a document is padded."""
-    n = np.diff(offsets)
-    per = np.maximum(1, -(-n // CHUNK))
-    of = np.repeat(np.arange(len(n)), per)
-    first = offsets[:-1][of] + CHUNK * (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per))
-    at = first[:, None] + np.arange(CHUNK + WIDTH)
-    inside = at < offsets[1:][of][:, None]
-    padded = data[np.where(inside, at, 0)] if len(data) else np.zeros(at.shape, np.uint8)
-    return np.where(inside, padded, PAD).astype(np.uint8), of
+def parts(data: np.ndarray, offsets: np.ndarray, size: int = 128):
+    """(chunks, document of each) in pieces of ``size`` chunks, so that a long text takes no more memory than its bytes."""
+    per = np.maximum(1, -(-np.diff(offsets) // CHUNK))
+    ends = np.cumsum(per)
+    for k in range(0, int(ends[-1]) if len(ends) else 0, size):
+        of = np.searchsorted(ends, np.arange(k, min(k + size, int(ends[-1]))), "right")
+        first = offsets[of] + CHUNK * (np.arange(k, k + len(of)) - (ends - per)[of])
+        at = first[:, None] + np.arange(CHUNK + WIDTH)
+        inside = at < offsets[of + 1][:, None]
+        padded = data[np.where(inside, at, 0)] if len(data) else np.zeros(at.shape, np.uint8)
+        yield np.where(inside, padded, PAD).astype(np.uint8), of
 
 
 class Net:
@@ -70,14 +72,21 @@ class Net:
         return np.concatenate([np.add.reduceat(h, first) / n, np.maximum.reduceat(h, first)], 1), n
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x, of = chunks(data, offsets)
-        h = np.concatenate([self.pooled(x[k : k + 128])[0] for k in range(0, len(x), 128)])
-        z, _ = self.gathered(h, of, len(offsets) - 1)
+        docs = len(offsets) - 1
+        total, top, n = np.zeros((docs, FILTERS)), np.zeros((docs, FILTERS)), np.zeros(docs)
+        for x, of in parts(data, offsets):
+            h = self.pooled(x)[0]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            who = of[first]
+            total[who] += np.add.reduceat(h, first)
+            top[who] = np.maximum(top[who], np.maximum.reduceat(h, first))  # pooled values are 0 at least
+            n[who] += np.diff(np.append(first, len(of)))
+        z = np.concatenate([total / n[:, None], top], 1)
         return 1 / (1 + np.exp(-np.clip(z @ self.p["out"] + self.p["last"], -35, 35).astype(float)))
 
     def step(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rate: float) -> None:
         docs = len(offsets) - 1
-        x, of = chunks(data, offsets)
+        x, of = (np.concatenate(c) for c in zip(*parts(data, offsets)))
         h, at = self.pooled(x)
         z, n = self.gathered(h, of, docs)
         p = 1 / (1 + np.exp(-np.clip(z @ self.p["out"] + self.p["last"], -35, 35)))
@@ -104,17 +113,11 @@ class Net:
             self.p[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict[str, np.ndarray] | None:
-    """Weights from ``labelled`` (id, text, label), of at most ``max_docs`` rows and MAX_TRAIN_BYTES of text, both kinds needed."""
-    rows = labelled.where("label is not null").select("text", "label", F.xxhash64("id", F.lit(6)).alias("at"))
-    rows = rows.orderBy("at", "label", F.xxhash64("text")).limit(max_docs)
-    texts, labels, room = [], [], MAX_TRAIN_BYTES
-    for row in rows.select("text", "label").toLocalIterator():
-        room -= len(row.text or "")
-        if room < 0:
-            break
-        texts.append(row.text or "")
-        labels.append(float(row.label))
+def train(labelled: DataFrame) -> dict[str, np.ndarray] | None:
+    """Weights from ``labelled`` (id, text, label), a sample bounded by toxicity.labelled; both kinds are needed."""
+    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "label", F.xxhash64("id", F.lit(6)).alias("at")).toArrow()
+    rows = rows.sort_by([("at", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    texts, labels = rows.column("text").to_pylist(), rows.column("label").to_pylist()
     if len(set(labels)) < 2:
         return None
     net, y, rng = Net(), np.array(labels, np.float32), np.random.default_rng(7)

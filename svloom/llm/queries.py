@@ -47,7 +47,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "quality", fold=0, folds=5, limit=quality_classifier.MAX_TRAIN_DOCS)
+    labelled = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "quality", fold=0, folds=5, limit=quality_classifier.MAX_TRAIN_DOCS, longest=quality_classifier.MAX_TRAIN_TEXT)
     scored = quality_classifier.scores(docs, quality_classifier.train(labelled))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))

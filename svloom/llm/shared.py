@@ -90,6 +90,24 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         labels._svloom_path = after._svloom_path
 
 
+def sample_ids(ids: DataFrame, limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` rows of ``ids`` (id, ...): those whose id's hash is the smallest; the same rows on any cluster.
+
+    Hashes are even, so all but some ``limit`` rows are left out where they are read, by a hash bound that their
+    number gives; only what lies under it meets in one task. Should too few lie there (repeated ids), all are sorted.
+    """
+    hashed = ids.withColumn("__at", F.xxhash64("id", F.lit(seed)))
+    rows = ids.count()
+    under = hashed
+    if rows > 2 * limit:
+        share = (limit + 10 * limit**0.5 + 100) / rows
+        under = hashed.where(F.col("__at") < int(min(share, 1.0) * 2**64) - 2**63)
+        if under.count() < limit:
+            under = hashed
+    rest = [c for c in ids.columns if c != "id"]
+    return under.orderBy("__at", "id", *rest).limit(limit).drop("__at")
+
+
 def with_small_side(spark: SparkSession, small: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """``small`` marked for broadcast if its counted ``rows`` are at most ``limit``; else left to a shuffled join."""
     return F.broadcast(small) if rows <= limit else small

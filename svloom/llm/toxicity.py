@@ -2,23 +2,26 @@
 
 Nulls and empties: a null text counts as empty; an empty text has no features and gets the bias alone.
 Rows are scored one by one, so repeated rows, ties and extra columns need no care; an empty table gives an
-empty result. Without any usable label the model is empty and every score is the prior 0.
+empty result. Without any usable label the model is empty and every score is the prior 0. A text is hashed whole,
+in memory of some 60 bytes a byte of text for its batch (a long text is a batch of its own).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from svloom.llm import bytewords as bw
+from svloom.llm.shared import Workspace, sample_ids, with_small_side
 
 BITS = 20
-#: Bound of the training sample, and passes over it.
-MAX_TRAIN_DOCS, MAX_TRAIN_FEATURES, EPOCHS = 6_000, 30_000_000, 3
+#: Bound of the training sample: labelled rows, and bytes of one text (longer texts are scored but not learnt from); passes over it.
+MAX_TRAIN_DOCS, MAX_TRAIN_TEXT, EPOCHS = 6_000, 1 << 15, 3
 #: FTRL-proximal: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
 THRESHOLD = 0.7
+SEED = 9
 
 
 #: Words also count by their first bytes, so that unseen endings of a known stem are told.
@@ -83,36 +86,32 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, epochs: int = EPOCHS):
-    """Compact weights from ``labelled`` (id, text, label): a sample of at most ``max_docs`` rows and MAX_TRAIN_FEATURES in all.
+def train(labelled: DataFrame, epochs: int = EPOCHS):
+    """Compact weights from ``labelled`` (id, text, label), a sample as ``labelled`` bounds it.
 
-    The sample is those with the smallest hash of their id, and is learnt in that order, so the same rows
-    give the same model on any cluster. Executors make the features; the driver gets numbers only.
+    It is learnt in the order of a hash of the id, so the same rows give the same model on any cluster.
+    Executors make the features; the driver gets numbers only.
     """
 
     def apply(batches):
         for batch in batches:
             lists = pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=["at", "label", "order"])
+            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=["at", "label", "order", "text"])
 
-    rows = labelled.where("label is not null").select("text", "label", F.xxhash64(F.col("id"), F.lit(9)).alias("order"))
-    made = rows.orderBy("order", "label", F.xxhash64("text")).limit(max_docs).repartition(16).mapInArrow(apply, "at array<int>, label double, order long")
-    table = made.toArrow()
-    order = np.lexsort((table.column("label").to_numpy(), table.column("order").to_numpy()))
+    rows = labelled.select("text", F.col("label").cast("double").alias("label"), F.xxhash64(F.col("id"), F.lit(SEED)).alias("order"), F.xxhash64("text").alias("same"))
+    table = rows.repartition(16).mapInArrow(apply, "at array<int>, label double, order long, text long").toArrow()
+    order = np.lexsort([table.column(c).to_numpy() for c in ("text", "label", "order")])
     at, labels = table.column("at").combine_chunks(), table.column("label").to_numpy()
     ends, flat = at.offsets.to_numpy(), at.values.to_numpy()
-    room = np.searchsorted(np.cumsum(np.diff(ends)[order]), MAX_TRAIN_FEATURES, "right")
     model = Ftrl()
     for _ in range(epochs if labels.any() else 0):
-        for i in order[:room].tolist():
+        for i in order.tolist():
             model.learn(flat[ends[i] : ends[i + 1]], float(labels[i]))
     return model.compact()
 
 
 def scores(docs: DataFrame, model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the model's probability of toxic text in a new last column ``score``."""
-    from pyspark.sql import types as T
-
     at, w, bias = model
 
     def apply(batches):
@@ -129,16 +128,20 @@ def scores(docs: DataFrame, model, text: str = "text", score: str = "score") ->
     return docs.select(F.col(text).alias("__text"), *others).mapInArrow(apply, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int | None = None, folds: int = 3, limit: int = MAX_TRAIN_DOCS) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int | None = None, folds: int = 3, limit: int = MAX_TRAIN_DOCS, longest: int = MAX_TRAIN_TEXT) -> DataFrame:
     """(id, text, label) of at most ``limit`` labelled documents; those whose crc32(doc_id) mod ``folds`` is ``fold`` are left out.
 
-    The few label rows are chosen first and broadcast (their number is bounded), so texts of other
-    documents are read but not shuffled. More labels than the limit may have no document: a label's
-    document may be missing, which only makes the sample smaller.
+    Ids are chosen first, without texts, among those that have both a label and a document of at most ``longest``
+    bytes; then the chosen few, whose number is bounded, are broadcast to fetch their texts. Of several documents
+    with one id the smallest text counts; a document with both labels counts once for each.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
-        chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(F.col("id"), F.lit(9)), "label").limit(limit)
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+        known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
+    known = known.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label"))
+    fitting = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
+    both = fitting.select(F.col("doc_id").alias("id")).join(with_small_side(spark, known, known.count()), "id").distinct()
+    chosen = sample_ids(Workspace(spark, "labelled").table(both, "ids"), limit, SEED)
+    texts = fitting.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    return texts.groupBy("id", "label").agg(F.min("text").alias("text"))

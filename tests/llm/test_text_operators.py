@@ -1,12 +1,14 @@
 """Packing, quality rules, classifiers, SentencePiece and language ID on small fixtures."""
 
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from svloom.llm import language_id as li, packing as pk, quality_classifier as qc, quality_rules as qr, queries, sentencepiece_nbest as sn, toxicity as tx
 
@@ -278,3 +280,135 @@ def test_language_id(spark, sf):
 
 def test_visible_text():
     assert li.visible("a<!-- x --><script>var t='</p>';</script>b<style>p{}</style> &amp; <b>c</b>").replace(" ", "") == "ab&c"
+    # characters whose lower case is longer don't shift what is taken out
+    assert li.visible("İİİİ<SCRIPT>hidden</SCRIPT>seen").split() == ["İİİİ", "seen"] and li.visible("<scripture>seen").strip() == "seen"
+    long = "x < y <b>" * 200_000
+    began = time.perf_counter()
+    assert li.visible(long + "<style>") and li.declared(long) is None and li.declared("<html" + " a='" * 100_000) is None
+    assert time.perf_counter() - began < 10
+
+
+def test_declared_language():
+    cases = {
+        "<html lang=en>": "en", "<HTML LANG='de-AT'>": "de", '<html data-lang="fr" lang="es">': "es", '<html data-lang="fr">': None, "<html lang=spa>": "es",
+        "<html lang=est>": "est", "<html lang=ger>": "de", "<htmlx lang=en>": None, "<!-- <html lang=en> --><html lang=fr>": "fr", "<html title='a > b' lang=de>": "de",
+        "<html " + "x=1 " * 1000 + "lang=fr>": "fr", "<html lang=''>": None, "<html><p lang=en>": None, "": None,
+    }
+    assert {k: li.declared(k) for k in cases} == cases
+
+
+def test_language_posterior_by_hand(spark):
+    """The fused posterior of each page against plain loops over the same evidence, with repeated rows, ties and clashing columns."""
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and the dog", "en"), (2, "der hund und die katze sind da", "de"), (3, None, "fr"), (None, "x", "es")], "doc_id long, text string, lang string")
+    langs, table = li.train(docs)
+    assert langs == ["de", "en"]
+    counts = np.full((2, 1 << li.BITS), 0.5)
+    for k, text in enumerate(["der hund und die katze sind da", "the cat sat on the mat and the dog"]):
+        for at in li.trigrams(text).tolist():
+            counts[k, at] += 1
+    assert np.allclose(table, np.log(counts / counts.sum(1, keepdims=True)))
+    pages = [(1, "http://a.x.de/", "<html lang=de>der hund"), (2, "http://a.x.de/2", "the dog"), (2, "http://a.x.de/2", "the dog"), (3, "http://b.x.de", ""), (4, None, None), (5, "http://q.uk/", "<html lang=eng>katze"), (6, "http://c.com", "zz")]
+    rows = li.identify(spark.createDataFrame([(*p, 0, "own") for p in pages], "page_id long, url string, html string, vote int, host string"), (langs, table)).collect()
+    assert len(rows) == len(pages)
+    norm = table - table.mean(0)
+    facts = []
+    for i, url, page in pages:
+        host = (url or "").partition("://")[2].split("/")[0]
+        at = li.trigrams(li.visible(page or ""))
+        text = norm[:, at].sum(1) / np.sqrt(len(at)) if len(at) else np.zeros(2)
+        facts.append((i, host, li.declared(page or ""), text, int(np.argmax(text)) if len(at) else -1))
+    levels = lambda h: [h, ".".join(h.split(".")[-2:]), h.split(".")[-1]]
+    for i, host, declared, text, vote in facts:
+        others = [f for f in facts]
+        score = []
+        for k in range(2):
+            own = (vote == k, vote >= 0)
+            every = [f for f in others if f[4] >= 0]
+            up = (sum(f[4] == k for f in every) - own[0] + 1) / (len(every) - own[1] + 2)
+            for level in (2, 1, 0):
+                same = [f for f in every if levels(f[1])[level:] == levels(host)[level:]]
+                up = (sum(f[4] == k for f in same) - own[0] + li.SMOOTH * up) / (len(same) - own[1] + li.SMOOTH)
+            s = float(text[k]) + np.log(up)
+            for said, right in ((declared, li.DECLARED), (li.SUFFIXES.get(levels(host)[2]), li.SUFFIX)):
+                if said in langs:
+                    s += np.log(right if said == langs[k] else 1 - right)
+            score.append(s)
+        p = np.exp(np.array(score) - max(score))
+        for r in [r for r in rows if r.page_id == i]:
+            assert r.lang == langs[int(np.argmax(score))] and r.posterior == pytest.approx(max(p / p.sum()), abs=1e-5)
+
+
+def test_a_long_text_leaves_the_training_as_it_is(spark):
+    words = ["good plain words here", "bad!!! $$$ buy", "fine calm prose again", "spam spam &&& ###"]
+    rows = [(i, words[i % 4] + f" {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, None), (None, 1)], "doc_id long, quality int")
+    huge = [(100 + i, "x " * 20_000) for i in range(4)]
+    one, other = (tx.labelled(spark.createDataFrame(r, "doc_id long, text string"), labels, "quality", fold=0, folds=5, limit=40, longest=qc.MAX_TRAIN_TEXT) for r in (rows, huge + rows + rows))
+    plain = sorted((r.id, r.label, r.text) for r in one.collect())
+    # labels without a document take no place in the sample; repeated rows count once
+    assert len(plain) == 40 and plain == sorted((r.id, r.label, r.text) for r in other.collect())
+    a, b = qc.train(one), qc.train(other)
+    assert all((a[k] == b[k]).all() for k in a)
+    assert [x.tolist() for x in tx.train(one)[:2]] == [x.tolist() for x in tx.train(other)[:2]]
+    many = tx.labelled(spark.createDataFrame([(i, "t") for i in range(5000)], "doc_id long, text string"), spark.range(5000).selectExpr("id as doc_id", "1 as quality"), "quality", limit=300)
+    chosen = {r.id for r in many.collect()}
+    expected = [r.id for r in spark.range(5000).orderBy(F.xxhash64("id", F.lit(tx.SEED))).limit(300).collect()]
+    assert chosen == set(expected)
+
+
+def test_network_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    net = qc.Net()
+    net.p["out"] = rng.normal(0, 1, len(net.p["out"])).astype(np.float32)
+    net.p["bias"] = rng.normal(0, 0.1, qc.FILTERS).astype(np.float32)
+    texts = ["", "short", "Ünïcode ß " * 30, "a" * 512, "b" * 513, " ".join(str(i) for i in range(900)), None]
+    got = {r.doc_id: r.score for r in qc.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net.p).collect()}
+    filters = net.p["filters"].reshape(qc.WIDTH, qc.EMBED, qc.FILTERS)
+    for i, text in enumerate(texts):
+        b = (text or "").encode()
+        pooled = []
+        for start in range(0, max(len(b), 1), qc.CHUNK):
+            chunk = list(b[start : start + qc.CHUNK + qc.WIDTH])
+            chunk += [qc.PAD] * (qc.CHUNK + qc.WIDTH - len(chunk))
+            best = np.full(qc.FILTERS, -np.inf)
+            for at in range(0, qc.CHUNK, qc.STRIDE):
+                y = np.zeros(qc.FILTERS)
+                for k in range(qc.WIDTH):
+                    y += net.p["embed"][chunk[at + k]] @ filters[k]
+                best = np.maximum(best, y)
+            pooled.append(np.maximum(best + net.p["bias"], 0))
+        z = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(z @ net.p["out"] + net.p["last"][0]))), abs=1e-4)
+
+
+def test_ftrl_and_margins_against_dicts(spark):
+    texts = [f"the {a} {b} thing" for a in ("bad", "good", "odd") for b in ("red", "blue", "bad")] * 2 + ["", "one"]
+    labels = [1.0 if "bad" in t else 0.0 for t in texts]
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))], "id long, text string, label double")
+    at, w, bias = tx.train(rows)
+    order = [r.id for r in rows.orderBy(F.xxhash64("id", F.lit(tx.SEED))).collect()]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= tx.L1 and k != "bias":
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * tx.L1) / ((tx.BETA + n[k] ** 0.5) / tx.ALPHA + tx.L2)
+
+    for _ in range(tx.EPOCHS):
+        for i in order:
+            keys = [*tx.features(texts[i]).tolist(), "bias"]
+            was = {k: weight(k) for k in keys}
+            g = 1 / (1 + np.exp(-sum(was.values()))) - labels[i]
+            for k in keys:
+                step = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / tx.ALPHA
+                z[k] += g - step * was[k]
+                n[k] += g * g
+    expected = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    assert set(at.tolist()) == set(expected) and np.allclose(w, [expected[k] for k in at.tolist()], atol=1e-6) and abs(bias - weight("bias")) < 1e-9
+    table = np.zeros(1 << tx.BITS)
+    table[at] = w
+    sums = [sum(table[k] for k in tx.features(t)) for t in texts]
+    assert np.allclose(tx.margins(pa.array(texts), table), sums)
+    # the features of a text are those of a plain walk over its words
+    words = "Bad-mood dog, Über".split(" ")
+    assert len(tx.features("bad mood dog")) <= 3 + 3 * 3 + 2 + 1 and tx.features("BAD mood dog").tolist() == tx.features("bad, mood; dog!").tolist() and words
