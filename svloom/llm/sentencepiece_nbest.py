@@ -13,12 +13,13 @@ numbers is a BPE model, which orders its pieces by rank; by Zipf's law the piece
 Other models' scores are log-probabilities already.
 
 Before that, as the model's normalizer says, one blank is put in front of a non-empty text and blanks become ▁.
-A piece has ▁ at its beginning only, so no piece spans the place before a run of ▁, and a text's lattice falls
-into units there; a text's best path is that of its units. Each worker remembers the best path of the units it has
-met and what the second loses, as units repeat much, and all N paths of those that needed them. A text's N best
-paths are merged from them by a lazy heap over what its units lose: only the N - 1 units whose second path loses
-least can differ from their best one (of equal losses, the earlier units). Each of a text's paths is decoded as a
-whole to tell whether it gives the text again.
+A lattice falls into parts wherever no piece of the vocabulary holds the two neighbouring characters; a piece has ▁
+at its beginning only, so one such place is before each run of ▁: a unit is what follows it. A text's best path is
+that of its parts. Each worker remembers the best path of the units and parts it has met and what the second
+loses, as they repeat much, and all N paths of those that needed them. A text's N best paths are merged from them
+by a lazy heap over what its units lose: only the N - 1 units whose second path loses least can differ from their
+best one (of equal losses, the earlier units). Each of a text's paths is decoded as a whole to tell whether it
+gives the text again.
 
 Null counts as empty; an empty text has no pieces, scores 0 and no second path. A literal ▁ decodes as a blank:
 round_trip tells. A long text, or a long run without blanks, is searched whole. ``decode_documents`` turns ids into
@@ -97,13 +98,15 @@ class Pieces:
         self.score = {self.text[i]: (round(w * SCALE), i) for i, w in zip(plain, weight)}
         #: All pieces with (weight, number), and all their beginnings that are no pieces with None.
         self.known = {p[:k]: None for p in self.score for k in range(1, len(p) + 1)} | self.score
+        self.joined = {pair for p in self.score for pair in zip(p, p[1:])}
         self.endings = {p[k:] for p in self.score for k in range(len(p))}
         self.unknown = min(w for w, _ in self.score.values()) - round(BYTE_LOSS * SCALE)
         self.forget()
 
     def forget(self) -> None:
         self.units: dict[str, int] = {}
-        #: Of each unit the ids and score of its best path, and what the second path loses.
+        self.known_parts: dict[str, int] = {}
+        #: Of each unit and part the ids and score of its best path, and what the second path loses.
         self.starts, self.ids = array("q", [0]), array("i")
         self.best, self.loss = array("q"), array("q")
         #: By unit, all N paths.
@@ -142,9 +145,9 @@ class Pieces:
 
     def nbest(self, text: str, n: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """The ``n`` best (score, path) of a text whose blanks are ▁; a path has (start, end, piece or -1) from left to right."""
-        alpha, out, tick = self.forward(text), [], 0
+        alpha, out, tick, room = self.forward(text), [], 0, n
         queue = [(-alpha[-1], len(text), 0, 0, None)]
-        while queue and len(out) < n:
+        while queue and room:
             _, at, _, after, path = queue.pop(0)
             if at == 0:
                 steps = []
@@ -152,17 +155,24 @@ class Pieces:
                     step, path = path
                     steps.append(step)
                 out.append((after, steps))
+                room -= 1
                 continue
             for s, w, i in self.backward(text, at):
                 tick += 1
-                entry = (-(alpha[s] + w + after), s, tick, after + w, ((s, at, i), path))
-                if len(queue) >= n - len(out):
-                    if entry > queue[-1]:
+                cost = -(alpha[s] + w + after)
+                if len(queue) >= room:
+                    if (cost, s) >= queue[-1][:2]:
                         continue
                     queue.pop()
-                insort(queue, entry)
+                insort(queue, (cost, s, tick, after + w, ((s, at, i), path)))
         return out
 
+    def parts(self, text: str) -> list[str]:
+        """``text``, cut where no piece holds both neighbours."""
+        joined = self.joined
+        cuts = [k for k, pair in enumerate(zip(text, text[1:]), 1) if pair not in joined]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
+
     def spell(self, text: str, path: list[tuple[int, int, int]]) -> list[int]:
         ids: list[int] = []
         for s, e, i in path:
@@ -181,17 +191,33 @@ class Pieces:
         text = BLANK + text.replace(" ", BLANK)
         return [(w, self.spell(text, path)) for w, path in self.nbest(text, n)]
 
+    def _remember(self, ids, best: int, loss: int) -> int:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        self.best.append(best)
+        self.loss.append(loss)
+        return len(self.best) - 1
+
+    def part(self, text: str) -> int:
+        """Number of the remembered part."""
+        got = self.known_parts.get(text)
+        if got is None:
+            paths = self.nbest(text, 2)
+            loss = paths[0][0] - paths[1][0] if len(paths) > 1 else NO_LOSS
+            got = self.known_parts[text] = self._remember(self.spell(text, paths[0][1]), paths[0][0], loss)
+        return got
+
     def unit(self, word: str) -> int:
         """Number of the remembered unit ▁ + ``word``."""
         got = self.units.get(word)
         if got is None:
-            text = BLANK + word
-            paths = self.nbest(text, 2)
-            self.ids.extend(self.spell(text, paths[0][1]))
-            self.starts.append(len(self.ids))
-            self.best.append(paths[0][0])
-            self.loss.append(paths[0][0] - paths[1][0] if len(paths) > 1 else NO_LOSS)
-            got = self.units[word] = len(self.best) - 1
+            of = [self.part(p) for p in self.parts(BLANK + word)]
+            if len(of) == 1:
+                got = of[0]
+            else:
+                starts, ids = self.starts, self.ids
+                got = self._remember([i for k in of for i in ids[starts[k] : starts[k + 1]]], sum(self.best[k] for k in of), min(self.loss[k] for k in of))
+            self.units[word] = got
         return got
 
     def deep(self, word: str) -> list[tuple[int, np.ndarray]]:
@@ -201,9 +227,16 @@ class Pieces:
             if self.held >= CACHED_DEEP:
                 self.more.clear()
                 self.held = 0
-            text = BLANK + word
-            paths = self.nbest(text, self.n)
-            got = self.more[word] = [(paths[0][0] - w, np.array(self.spell(text, path), np.int32)) for w, path in paths]
+            parts = self.parts(BLANK + word)
+            # of equal losses the earlier parts
+            open_ = sorted((self.loss[k], at) for at, p in enumerate(parts) if self.loss[k := self.part(p)] < NO_LOSS)[: self.n - 1]
+            paths = [[(w, self.spell(parts[at], path)) for w, path in self.nbest(parts[at], self.n)] for _, at in open_]
+            got = []
+            for loss, moves in least_sums([[x[0][0] - w for w, _ in x] for x in paths], self.n):
+                change = {open_[j][1]: paths[j][k][1] for j, k in moves}
+                ids = [self.ids[self.starts[k] : self.starts[k + 1]] for k in map(self.part, parts)]
+                got.append((loss, np.array([i for at, x in enumerate(ids) for i in change.get(at, x)], np.int32)))
+            self.more[word] = got
             self.held += 8 + sum(len(ids) for _, ids in got)
         return got
 
