@@ -62,11 +62,75 @@ def test_documents_against_brute_force(spark):
 
 def test_documents_without_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "z z z"), (3, None)], "doc_id long, text string")
-    got = sorted(map(str, (tuple(r) for r in mh.near_duplicates(docs).collect())))
+    got = sorted(map(str, (tuple(r)[:4] for r in mh.near_duplicates(docs).collect())))
     assert got == sorted(map(str, [(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 1, None, True), (3, 0, 3, True)]))
     assert mh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_without_ids_or_under_one_id(spark):
+    """Null and repeated doc_ids link with near copies by their own texts, checked by brute force over rows."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    bases = [[word() for _ in range(150)] for _ in range(4)]
+
+    def edited(base, edits):
+        copy = list(base)
+        for k in rnd.sample(range(len(copy)), edits):
+            copy[k] = word()
+        return " ".join(copy)
+
+    rows = [(10, edited(bases[0], 0)), (None, edited(bases[0], 1)), (20, edited(bases[0], 1)), (20, edited(bases[1], 0)), (30, edited(bases[1], 1)), (30, edited(bases[2], 0))]
+    rows += [(None, edited(bases[3], 0)), (None, edited(bases[3], 1)), (None, edited(bases[3], 1)), (30, edited(bases[0], 1)), (5, edited(bases[2], 1)), (30, edited(bases[2], 0)), (None, " ".join(bases[0]))]
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    group = components(len(rows), links)
+    smallest = {g: min((d for (d, _), h in zip(rows, group) if h == g and d is not None), default=None) for g in group}
+    expected = [(d, len(s), smallest[g], d == smallest[g] or smallest[g] is None) for (d, _), s, g in zip(rows, sets, group)]
+    assert len(set(group)) == 4 and list(smallest.values()).count(None) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = mh.near_duplicates(docs).collect()
+    assert sorted(map(str, (tuple(r)[:4] for r in got))) == sorted(map(str, expected))
+    assert len({r.group for r in got}) == 4
+
+
+def test_a_template_with_edits_stays_linear(spark):
+    """Texts with most of their shingles in common but no links: candidates don't grow with the square of their number."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    core = [word() for _ in range(160)]
+    made = {}
+    for n in (150, 600):
+        rows = [(i, i, [f"c{k}" for k in range(80)] + [f"{i}-{k}" for k in range(20)]) for i in range(n)]
+        rows += [(n + 1, n + 1, [f"c{k}" for k in range(80)] + [f"0-{k}" for k in range(18)]), (n + 2, n + 2, [f"c{k}" for k in range(78)])]
+        sets = spark.createDataFrame(rows, "cid long, component long, names array<string>").selectExpr("cid", "component", "transform(names, x -> xxhash64(x)) as values")
+        pairs = {(min(r), max(r)) for r in map(tuple, mh.prefix_pairs(Workspace(spark, "t"), sets).collect())}
+        plain = {i: set(names) for i, _, names in rows}
+        linked = {(a, b) for b in (n + 1, n + 2) for a in plain if a != b and 100 * len(plain[a] & plain[b]) >= 75 * len(plain[a] | plain[b])}
+        linked = {(min(x), max(x)) for x in linked}
+        assert len(linked) > n and linked <= pairs
+        made[n] = len(pairs)
+    assert made[600] < 5 * made[150]
+    texts = [" ".join(core[:20] + [w if rnd.random() > 0.012 else word() for w in core[20:]]) for _ in range(300)]
+    got = {r.doc_id: r for r in mh.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(300), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert [got[i].component_id for i in range(300)] == components(300, links)
+
+
+def test_prefixes_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(mh, "BLOCK", 3)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(120):
+        base = [f"b{i % 5}-{k}" for k in range(rnd.randrange(30, 60))]
+        rows.append((i, rnd.randrange(40), rnd.sample(base, int(len(base) * rnd.uniform(0.8, 1))) + [f"{i}-{k}" for k in range(rnd.randrange(6))]))
+    sets = spark.createDataFrame(rows, "cid long, component long, names array<string>").selectExpr("cid", "component", "transform(names, x -> xxhash64(x)) as values")
+    got = {(min(r), max(r)) for r in map(tuple, mh.prefix_pairs(Workspace(spark, "t"), sets).collect())}
+    plain = [(i, c, set(names)) for i, c, names in rows]
+    linked = {(a[0], b[0]) for a, b in itertools.combinations(plain, 2) if a[1] != b[1] and 100 * len(a[2] & b[2]) >= 75 * len(a[2] | b[2])}
+    assert len(linked) > 50 and linked <= got
+
+
 def test_needed_overlap_covers_all_linked_pairs():
     for n in (1, 5, 40, 72, 96, 97, 128):
         for other in range(n, int(n / 0.75) + 1):

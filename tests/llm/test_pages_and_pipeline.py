@@ -2,12 +2,13 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import pytest
 
 import corpus_pipeline
-from svloom.llm import minhash as mh, queries, url_filter as uf, warc
+from svloom.llm import minhash as mh, queries, toxicity, url_filter as uf, warc
 from svloom.llm.shared import Workspace
 
 PAGES = [(1, "http://a.com/", "<p>same</p>"), (5, "http://b.com/x\r\ny", "<p>same</p>"), (3, None, "<p>same</p>"), (4, "http://ü.de/", "日本"), (7, "u", None), (8, "u", ""), (None, "u", "<p>same</p>"), (9, "u", "x" * 3_000_000), (4, "http://ü.de/", "日本")]
@@ -97,7 +98,46 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == whole
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_dedup_stage_keeps_one_of_repeated_rows(spark, sf):
-    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (3, None, None, None, None)], queries.table(spark, sf, "documents").schema)
-    left = corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()
-    assert sorted(r.doc_id for r in left) == [1, 3]
+    a, b = " ".join(f"w{k}" for k in range(30)), "other words that are no copy of it"
+    cases = [
+        ([(1, a), (1, a), (2, a), (3, None)], [(1, a), (3, None)]),
+        ([(1, a), (5, a), (5, b), (None, a)], [(1, a), (5, b)]),  # a text of its own under a copy's id stays; a copy without id goes
+        ([(None, a), (None, a), (None, b), (None, None), (None, "")], [(None, a), (None, b), (None, None)]),
+        ([(4, ""), (4, None), (4, " "), (6, None)], [(4, ""), (4, " "), (6, None)]),
+        ([(5, a), (5, a.upper()), (5, a + " g"), (5, b)], [(5, a), (5, b)]),
+        ([], []),
+    ]
+    for rows, expected in cases:
+        docs = spark.createDataFrame([(*r, "en", "s", 11) for r in rows], COLUMNS)
+        left = [(r.doc_id, (r.text or "").lower().removesuffix(" g")) for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()]
+        assert sorted(map(str, left)) == sorted(str((i, t or "")) for i, t in expected)
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Each stage on nulls, repeats and an empty table: what it keeps, it keeps as it was."""
+    clean = " ".join(f"plain{i % 70} words{i % 90}" for i in range(300))
+    rows = [(1, clean, "en", None, 1), (1, clean, "en", None, 1), (None, clean, None, "s", None), (2, None, "en", "s", 0), (3, "", None, None, None), (4, clean * 200, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, sf)
+        assert left.columns == docs.columns and {tuple(r) for r in left.collect()} <= set(rows)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert corpus_pipeline.toxicity_stage(spark, docs, sf).count() == len(rows)
+    packed = corpus_pipeline.packing_stage(spark, docs, sf).collect()
+    assert all(len(r.ids) == r.length for r in packed) and corpus_pipeline.packing_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_toxicity_and_quality_stages_against_their_operators(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    model = queries.toxicity_model(docs, queries.table(spark, sf, "labels"))
+    weights = dict(zip(model[0].tolist(), model[1].tolist()))
+    rows = docs.collect()
+    margin = {r.doc_id: model[2] + sum(weights.get(k, 0.0) for k in toxicity.features(r.text).tolist()) for r in rows}
+    expected = {i for i, m in margin.items() if 1 / (1 + math.exp(-m)) < toxicity.THRESHOLD}
+    assert {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, sf).collect()} == expected
+    kept = {r.doc_id for r in queries.op4_quality_rules(spark, sf).where("kept").collect()}
+    assert {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, sf).collect()} == kept
