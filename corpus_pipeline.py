@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from svloom.llm import minhash, packing, quality_rules, toxicity
 from svloom.llm.queries import table, tokenizer_path, toxicity_model, trusted
@@ -22,27 +22,41 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Of repeated rows one stays."""
+    """One document of each group of near duplicates: that with the smallest doc_id, or of those without any the first by its text's hash.
+
+    A row is told by its doc_id and its text's hash, so two texts under one doc_id are decided apart. Documents
+    without words are no copies of each other; of repeated rows (the same doc_id and text) one stays.
+    """
     ws = Workspace(spark, "dedup")
-    gone = ws.table(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(with_small_side(spark, gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    again = ws.table(again, "again")
-    if again.isEmpty():
-        return left
-    small = with_small_side(spark, again, again.count())
-    once = left.join(small, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(small, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    key = ["doc_id", "text_hash"]
+    found = ws.table(minhash.near_duplicates(docs, ws), "found")
+    # a group has one kept row at least: more share its smallest doc_id, or none of them has an id
+    kept = found.where("kept").select(*key, F.col("group"), F.when(F.col("group").isNull(), F.struct(*key)).alias("wordless"))
+    again = kept.groupBy("group", "wordless").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = ws.table(again.select("group", "first"), "again")
+    more = kept.join(with_small_side(spark, again, again.count()), "group").where(F.struct(*key) != F.col("first"))
+    gone = ws.table(found.where("not kept").select(*key).unionByName(more.select(*key)).distinct(), "gone")
+    rows = docs.withColumn("__hash", minhash.text_hash())
+
+    def same(side: DataFrame) -> Column:
+        return rows["doc_id"].cast("long").eqNullSafe(side["doc_id"]) & (rows["__hash"] == side["text_hash"])
+
+    gone = with_small_side(spark, gone, gone.count())
+    left = rows.join(gone, same(gone), "left_anti")
+    repeated = again.select("first.*")
+    repeated = with_small_side(spark, repeated, repeated.count())
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
-    return packing.pack_documents(docs, tokenizer_path(), with_ids=False)
+    """Pieces of packed sequences with their token ids."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [("toxicity", toxicity_stage), ("quality", quality_stage), ("near_dedup", near_dedup_stage), ("packing", packing_stage)]
 
-#: Trained models, hashed n-grams and tokenizers have no SQL form; tests/llm checks the stages against brute force.
+#: Trained models, hashed n-grams and tokenizers have no SQL form; tests/llm checks the stages against plain loops.
 ORACLE_SQL = None
 
 
