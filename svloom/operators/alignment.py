@@ -173,11 +173,16 @@ def region_noise(read_signals: DataFrame, by: list[str]) -> DataFrame:
 
 
 def split_signatures(segments: DataFrame, kind: str, near: int = 30, cap: int = 100_000) -> DataFrame:
-    """(read_id, pos, size) between neighbouring segments of reads with two records on the contig; segments: read_id, contig, record_no, r_start, r_end, q_start, q_end, forward."""
+    """(read_id, contig, pos, size) between neighbouring records of a read, both on a contig on which it has two records.
+
+    ``segments``: read_id, contig, record_no (unique in a read), r_start, r_end, q_start, q_end, forward. Neighbours are
+    taken among all records of the read: a record of another contig between two parts them.
+    """
     w = Window.partitionBy("read_id").orderBy("record_no")
-    rows = segments.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("read_id", "contig"))).where("n = 2")
+    rows = segments.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("read_id", "contig")))
     for c in ("contig", "r_start", "q_start", "forward"):
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
+    rows = rows.where("n = 2")
     distance = (F.col("next_r_start") - F.col("r_end")) - (F.col("next_q_start") - F.col("q_end"))
     rows = rows.where((F.col("forward") == F.col("next_forward")) & (F.col("contig") == F.col("next_contig")) & (F.col("r_end") - F.col("next_r_start") < near)).withColumn("distance", distance)
     if kind == "DEL":

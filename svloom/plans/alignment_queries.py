@@ -213,13 +213,25 @@ def sv73_label_all_patches(spark, sf_dir):
     return lb.patch_labels(windows, sites, noise(spark, sf_dir).where("noisy"), "contig", 2000, 200, 50)
 
 
-SEGMENTS = """v_seg as (select l_orderkey as read_id, concat('ctg', l_suppkey % 2) as contig, l_orderkey * 1000000 + l_partkey * 8 + l_linenumber as record_no, l_partkey * 10 as r_start, cast(l_partkey * 10 + floor(l_quantity) as bigint) as r_end, cast(l_suppkey * 3 as bigint) as q_start, cast(l_suppkey * 3 + floor(l_quantity) as bigint) as q_end, l_returnflag <> 'R' as forward from lineitem),
-v_two as (select *, count(*) over (partition by read_id, contig) as n from v_seg), v_next as (select *, lead(contig) over w as nc, lead(r_start) over w as nr, lead(q_start) over w as nq, lead(forward) over w as nf from v_two where n = 2 window w as (partition by read_id order by record_no)),
-v_dist as (select *, (nr - r_end) - (nq - q_end) as distance from v_next where forward = nf and contig = nc and r_end - nr < 30)"""
+RECORD = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
+SEGMENTS = f"""v_seg as (select l_orderkey as read_id, concat('ctg', l_suppkey % 2) as contig, {RECORD} as record_no, l_partkey * 10 as r_start,
+ cast(l_partkey * 10 + floor(l_quantity) as bigint) as r_end, cast(l_suppkey * 3 as bigint) as q_start, cast(l_suppkey * 3 + floor(l_quantity) as bigint) as q_end, l_returnflag <> 'R' as forward from lineitem),
+v_next as (select *, count(*) over (partition by read_id, contig) as n, lead(contig) over w as nc, lead(r_start) over w as nr, lead(q_start) over w as nq, lead(forward) over w as nf
+ from v_seg window w as (partition by read_id order by record_no)),
+v_dist as (select *, (nr - r_end) - (nq - q_end) as distance from v_next where n = 2 and forward = nf and contig = nc and r_end - nr < 30)"""
 
 
 def segments(spark, sf_dir):
-    return v.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as read_id", "concat('ctg', cast(l_suppkey % 2 as string)) as contig", "l_orderkey * 1000000 + l_partkey * 8 + l_linenumber as record_no", "l_partkey * 10 as r_start", "l_partkey * 10 + cast(floor(l_quantity) as bigint) as r_end", "l_suppkey * 3 as q_start", "l_suppkey * 3 + cast(floor(l_quantity) as bigint) as q_end", "l_returnflag <> 'R' as forward")
+    return v.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as read_id",
+        "concat('ctg', cast(l_suppkey % 2 as string)) as contig",
+        f"{RECORD} as record_no",
+        "l_partkey * 10 as r_start",
+        "l_partkey * 10 + cast(floor(l_quantity) as bigint) as r_end",
+        "l_suppkey * 3 as q_start",
+        "l_suppkey * 3 + cast(floor(l_quantity) as bigint) as q_end",
+        "l_returnflag <> 'R' as forward",
+    )
 
 
 @query(f"with {SEGMENTS} select read_id, contig, r_end as pos, distance as size, 'DEL' as kind from v_dist where distance between 30 and 100000 union all select read_id, contig, cast(floor((r_end + nr) / 2.0::double) as bigint), -distance, 'INS' from v_dist where distance between -100000 and -30")

@@ -112,8 +112,8 @@ def sv20_fasta_scan(spark, sf_dir):
     return fasta.parse_lines(lines).where("sequence <> ''")
 
 
-def kmer_rows(spark, sf_dir):
-    return v.sequences(spark, sf_dir).select("seq_id", F.explode(dna.kmers(F.col("seq"), K)).alias("kmer"))
+def kmer_rows(spark, sf_dir, strands=True):
+    return dna.kmer_rows(v.sequences(spark, sf_dir).select("seq_id", "seq"), "seq", K, strands)
 
 
 KMERS = v.SEQUENCES + f", v_kmer as (select seq_id, substring(seq, i, {K}) as kmer from (select seq_id, seq, unnest(range(1, length(seq) - {K} + 2)) as i from v_seq)), v_canon as (select seq_id, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer, kmer as plain from v_kmer)"
@@ -124,7 +124,7 @@ LOW = f"({MOST} = {K} or 10 * {MOST} >= {8 * K} or 10 * {RUNS.format('plain')} >
 
 @query(f"with {KMERS} select kmer, count(*) as n from v_canon group by 1")
 def sv21_canonical_kmers(spark, sf_dir):
-    return kmer_rows(spark, sf_dir).groupBy(dna.canonical(F.col("kmer")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    return kmer_rows(spark, sf_dir).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {v.SEQUENCES} select seq_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') as compressed from v_seq")
@@ -145,7 +145,7 @@ def sv24_low_complexity(spark, sf_dir):
 @query(f"with {KMERS} select distinct seq_id, kmer from v_canon where not {LOW}")
 def sv25_kmers(spark, sf_dir):
     k = F.col("kmer")
-    return kmer_rows(spark, sf_dir).where(dna.valid(k) & ~dna.low_complexity(k)).select("seq_id", dna.canonical(k).alias("kmer")).distinct()
+    return kmer_rows(spark, sf_dir).where(dna.valid(k) & ~dna.low_complexity(k)).distinct()
 
 
 CONTEXTS = v.SEQUENCES + ", v_ctx as (select seq_id, case when greatest(0, 100 - 60) < least(length(seq), 150 + 60) then substring(seq, 41, least(length(seq), 210) - 40) else '' end as context from v_seq)"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from svloom.functions import dna
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, sequence) of a FASTA file of any number of records: each record is one row of text from the reader on."""
@@ -32,9 +34,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def to_chunks(contigs: DataFrame, size: int) -> DataFrame:
     """(contig, chunk, piece): each contig cut at multiples of ``size``, so that a slice reads the chunks it needs."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    rows = contigs.where("length(seq) > 0").select("contig", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return rows.select("contig", "chunk", F.substring("seq", F.col("chunk") * size + 1, F.lit(size)).alias("piece"))
+    return contigs.select("contig", F.posexplode(dna.cut(F.col("seq"), size)).alias("chunk", "piece"))
 
 
 def slices(chunks: DataFrame, regions: DataFrame, size: int) -> DataFrame:

@@ -157,6 +157,30 @@ def test_mismatches_of_md(spark):
     assert pile == {103: (2, 3, 0), 104: (0, 3, 1), 105: (0, 3, 1), 106: (0, 3, 1), 107: (1, 3, 0)}
 
 
+def test_split_signatures_take_neighbours_among_all_records(spark):
+    rows = spark.createDataFrame([(1, "chr1", 1, 0, 50, 0, 50, True), (1, "chr2", 2, 0, 50, 50, 90, True), (1, "chr1", 3, 500, 600, 50, 100, True), (2, "chr1", 1, 0, 50, 0, 50, True), (2, "chr1", 2, 500, 600, 50, 100, True)], "read_id long, contig string, record_no long, r_start long, r_end long, q_start long, q_end long, forward boolean")
+    assert [tuple(r) for r in al.split_signatures(rows, "DEL").collect()] == [(2, "chr1", 50, 450)]
+
+
+def test_kmers_of_long_strings_equal_plain_ones(spark):
+    import random
+
+    from svloom.functions import dna
+    from svloom.sources import fasta
+
+    rnd = random.Random(2)
+    texts = ["", "A", "ACGT" * 5, None] + ["".join(rnd.choice("ACGTN") for _ in range(n)) for n in (20, 21, 22, 255, 256, 257, 275, 276, 277, 511, 512, 513, 5000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq_id int, seq string")
+    for k in (1, 2, 21, 300):
+        got = sorted((r.seq_id, r.kmer) for r in dna.kmer_rows(rows, "seq", k).collect())
+        assert got == sorted((i, t[j : j + k]) for i, t in enumerate(texts) if t for j in range(len(t) - k + 1))
+        back = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        both = sorted((r.seq_id, r.kmer) for r in dna.kmer_rows(rows, "seq", k, strands=True).collect())
+        assert both == sorted((i, min(x, back(x))) for i, x in got)
+    chunks = {(r.contig, r.chunk): r.piece for r in fasta.to_chunks(rows.selectExpr("cast(seq_id as string) as contig", "seq"), 100).collect()}
+    assert chunks == {(str(i), j // 100): t[j : j + 100] for i, t in enumerate(texts) if t for j in range(0, len(t), 100)}
+
+
 def test_split_signatures_need_two_records(spark):
     seg = [(1, "c", 1, 0, 100, 0, 100, True), (1, "c", 2, 200, 300, 100, 200, True), (2, "c", 1, 0, 100, 0, 100, True), (2, "c", 2, 200, 300, 100, 200, True), (2, "c", 3, 500, 600, 200, 300, True)]
     rows = spark.createDataFrame(seg, "read_id int, contig string, record_no int, r_start long, r_end long, q_start long, q_end long, forward boolean")
