@@ -10,6 +10,7 @@ host path is blocked when no rule fits it. Everything else is allowed.
 
 A null url, or one without ://, has an empty host and path; no rule with a host fits it, and it is allowed. Rows
 are judged one by one; repeated rows repeat their verdict, other columns are not read, an empty table is empty.
+Rules and listed host paths are parameters that pass through the driver, which sorts them; their bound is its memory.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from svloom.llm.shared import shared_folder
 
+
 class DigestArray:
     """Strings with a small value each, found by their digests in a memory-mapped file.
 
@@ -83,12 +85,25 @@ def parts(url: str | None) -> tuple[str, str]:
     return host.translate({c: c + 32 for c in range(65, 91)}), path
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Rules that would fit: each parent host with each prefix of the path of a length that rules have."""
-    out, labels = [], host.split(".") if host else []
-    for k in range(len(labels)):
-        parent = ".".join(labels[k:])
-        out += [parent + path[:n] for n in lengths if n <= len(path)]
+def shapes(rules: list[tuple[str, str, str]]) -> dict[int, list[int]]:
+    """Lengths of the rules' paths by the number of labels of their hosts."""
+    out: dict[int, set[int]] = {}
+    for host, path, _ in rules:
+        out.setdefault(host.count(".") + 1, set()).add(len(path))
+    return {k: sorted(v) for k, v in sorted(out.items())}
+
+
+def candidates(host: str, path: str, lengths: dict[int, list[int]]) -> list[str]:
+    """Rules that would fit: each parent host of so many labels as rules have, with each prefix of the path of a length that these have.
+
+    Their number is bounded by the rules' shapes, however many labels the host has.
+    """
+    out = []
+    for k, sizes in lengths.items() if host else ():
+        labels = host.rsplit(".", k)[-k:]
+        if len(labels) == k:
+            parent = ".".join(labels)
+            out += [parent + path[:n] for n in sizes if n <= len(path)]
     return out
 
 
@@ -111,7 +126,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: list[str]
         if not host or not path.startswith("/") or action not in ("allow", "block"):
             raise ValueError(f"not a rule: {host!r}, {path!r}, {action!r}")
     entries = {x: LISTED for x in listed} | {h + p: BLOCK if a == "block" else ALLOW for h, p, a in rules}
-    lengths = sorted({len(p) for _, p, _ in rules})
+    lengths = shapes(rules)
     name = ship(pages.sparkSession, DigestArray.layout(entries))
 
     def apply(batches):

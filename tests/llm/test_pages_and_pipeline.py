@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 
 import pytest
 
@@ -68,6 +69,17 @@ def test_url_rules_against_plain_loop(spark):
     assert uf.judge(rows.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_long_hosts_and_many_listed_urls(spark):
+    rules = queries.URL_RULES
+    host = "a." * 100_000 + "example.com"
+    assert len(uf.candidates(host, "/en/7", uf.shapes(rules))) <= 4
+    listed = [f"h{k % 1000}.test/{k}" for k in range(200_000)]
+    urls = [f"http://{host}/en/7", f"http://{host}/en/1", "http://x.net/" + "p" * 1_000_000, "http://h5.test/100005", "http://h5.test/100006"]
+    began = time.perf_counter()
+    rows = uf.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, listed).collect()
+    assert [r.verdict for r in sorted(rows)] == ["allow", "block", "allow", "block", "allow"] and time.perf_counter() - began < 60
+
+
 def test_digest_collisions_are_told_by_their_strings(tmp_path, monkeypatch):
     import xxhash
 
