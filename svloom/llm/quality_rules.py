@@ -69,28 +69,32 @@ def judge(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD) -> D
     """``docs`` with the statistics, ``score``, ``base_failed`` and ``kept``; a map over the rows, without a shuffle."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     old = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    own = "__"
+    while any(c.startswith(own) for c in docs.columns):  # columns of this operator that clash with none
+        own += "_"
+    w, lines, h, s, p = (own + c for c in ("w", "lines", "h", "s", "p"))
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<bigint>")
-    d = docs.select(*old, word_hashes(F.col("text")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias("__lines"))
-    n = F.size("__w")
-    hash3 = lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2))
-    d = d.withColumn("__h", F.when(n >= 3, F.slice(F.transform("__w", hash3), F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(none))
-    again = F.size(F.array_distinct("__h")) < F.size("__h")
-    d = d.withColumn("__s", F.when(again, F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    same = lambda x, i: F.coalesce(F.get("__s", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("__s", i + 1)["h"] == x["h"], F.lit(False))
-    d = d.withColumn("__p", F.sort_array(F.transform(F.filter("__s", same), lambda x: x["p"])))
-    steps = F.transform("__p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("__p", i + 1) - x, F.lit(3))))
+    d = docs.select(*old, word_hashes(F.col("text")).alias(w), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias(lines))
+    n = F.size(w)
+    hash3 = lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
+    d = d.withColumn(h, F.when(n >= 3, F.slice(F.transform(w, hash3), F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(none))
+    again = F.size(F.array_distinct(h)) < F.size(h)
+    d = d.withColumn(s, F.when(again, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    same = lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
+    d = d.withColumn(p, F.sort_array(F.transform(F.filter(s, same), lambda x: x["p"])))
+    steps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     repeated = F.coalesce(F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
     # lambdas take no subqueries: the table's fixed number of ratios goes in as a constant, folded once
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios.first()["ratios"])), ",").cast("array<double>")
-    gram = lambda x, i: F.get(table, _bucket(x)) + F.when(i > 0, F.get(table, _bucket(_pair("__w", x, i)))).otherwise(0.0)
-    total = F.aggregate(F.transform("__w", gram), F.lit(0.0), lambda a, x: a + x)
+    gram = lambda x, i: F.get(table, _bucket(x)) + F.when(i > 0, F.get(table, _bucket(_pair(w, x, i)))).otherwise(0.0)
+    total = F.aggregate(F.transform(w, gram), F.lit(0.0), lambda a, x: a + x)
     out = d.select(
         *old,
         n.cast("bigint").alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         F.when(n > 0, total / (2 * n - 1)).otherwise(0.0).alias("score"),
     )

@@ -114,6 +114,17 @@ def test_quality_rules_without_target_and_rows(spark, docs):
     assert qr.quality_rules(docs.drop("score").limit(0), none).count() == 0
 
 
+def test_quality_rules_with_clashing_columns(spark, docs):
+    ratios = qr.log_ratios(qr.counts(docs, spark.createDataFrame([(3,), (11,)], "doc_id long")))
+    plain = {(r.doc_id, r.text): r for r in qr.judge(docs, ratios).collect()}
+    clash = docs
+    for c in ("__w", "__lines", "__h", "__s", "__p", "kept", "___w"):
+        clash = clash.withColumn(c, F.lit("x"))
+    for r in qr.judge(clash, ratios).collect():
+        same = plain[r.doc_id, r.text]
+        assert (r.n_words, r.n_repeat_words, r.n_dup_lines, r.score, r.kept) == (same.n_words, same.n_repeat_words, same.n_dup_lines, same.score, same.kept) and r["__w"] == r["___w"] == "x"
+
+
 def test_quality_rules_plan_has_no_python(spark, sf):
     plan = queries.op4_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
