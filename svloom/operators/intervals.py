@@ -1,22 +1,51 @@
 """Intervals: clusters by gap, merging, complements, tiling and overlap joins.
 
-Running maxima are windows over one contig in order of position. Overlap joins deal both sides to bins of the
-axis and join on (contig, bin) with the exact predicate behind it, so that no pair is looked at outside its bin.
+Running maxima, counts and neighbours along a contig are found range by range: a task sorts the rows of one range
+of RANGE bases, and what earlier ranges hand on comes from one small row a range. Overlap joins deal both sides to
+bins of the axis and join on (contig, bin) with the exact predicate behind it, so that no pair is looked at outside
+its bin.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+RANGE = 1 << 20
 
-def islands(intervals: DataFrame, by: list[str], order: list[str], start: str, end: str, starts_new: Column | None = None, *, gap: int = 0, closed: bool = True) -> DataFrame:
-    """Adds ``island``, counted from 1 within ``by``: a row joins the island before it if its start is at most ``gap`` beyond the running maximum end (closed), or nearer (not closed)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+def ranged(rows: DataFrame, by: list[str], at: str, width: int = RANGE) -> tuple[DataFrame, list[str]]:
+    """``rows`` with key columns of their range of the number ``at`` within ``by``, and these columns' names; the last is the range.
+
+    Nulls in ``by`` are a value of their own; rows without ``at`` share a range before all others.
+    """
+    keys = {}
+    for i, c in enumerate(by):
+        keys |= {f"__key{i}": F.coalesce(F.col(c).cast("string"), F.lit("")), f"__null{i}": F.col(c).isNull()}
+    place = F.coalesce(F.floor(F.col(at) / width).cast("long"), F.lit(-(1 << 62)))
+    return rows.withColumns(keys | {"__range": place}), [*keys, "__range"]
+
+
+def earlier_ranges(keys: list[str]):
+    """Window over the ranges before a range's own, one row a range."""
+    return Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def islands(intervals: DataFrame, by: list[str], order: list[str], start: str, end: str, *, gap: int = 0, closed: bool = True) -> DataFrame:
+    """Adds ``island``, counted from 1 within ``by``: a row joins the island before it if its start is at most ``gap`` beyond the running maximum end (closed), or nearer (not closed).
+
+    ``order`` begins with ``start``.
+    """
+    rows, keys = ranged(intervals, by, start)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    tops = rows.groupBy(*keys).agg(F.max(end).alias("__top"))
+    rows = rows.join(tops.select(*keys, F.max("__top").over(earlier_ranges(keys)).alias("__before")), keys)
+    before = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__before"))
     away = F.col(start) - before
-    new = starts_new if starts_new is not None else (away > gap if closed else away >= gap)
-    flagged = intervals.withColumn("__new", F.when(before.isNull() | new, 1).otherwise(0))
-    return flagged.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+    flagged = rows.withColumn("__new", F.when(before.isNull() | (away > gap if closed else away >= gap), 1).otherwise(0))
+    counts = flagged.groupBy(*keys).agg(F.sum("__new").alias("__count"))
+    flagged = flagged.withColumn("__seen", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    met = flagged.join(counts.select(*keys, F.coalesce(F.sum("__count").over(earlier_ranges(keys)), F.lit(0)).alias("__earlier")), keys)
+    return met.select(*intervals.columns, (F.col("__earlier") + F.col("__seen")).cast("int").alias("island"))
 
 
 def gap_clusters(variants: DataFrame, flank: int, order: list[str]) -> DataFrame:
@@ -43,8 +72,12 @@ def merge(intervals: DataFrame, by: list[str], flank: int, length: Column) -> Da
 
 def complement(clusters: DataFrame, by: str, length: Column) -> DataFrame:
     """Gaps between the clusters (lo, hi) of each contig, with those before the first and after the last if not empty there."""
-    w = Window.partitionBy(by).orderBy("lo", "hi")
-    rows = clusters.withColumn("before", F.lag("hi").over(w)).withColumn("after", F.lead("lo").over(w)).withColumn("length", length)
+    rows, keys = ranged(clusters.withColumn("length", length), [by], "lo")
+    w = Window.partitionBy(*keys).orderBy("lo", "hi")
+    ends = rows.groupBy(*keys).agg(F.min("lo").alias("first"), F.max_by("hi", F.struct("lo", "hi")).alias("last"))
+    ranges = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
+    rows = rows.join(ends.select(*keys, F.lag("last").over(ranges).alias("left"), F.lead("first").over(ranges).alias("right")), keys)
+    rows = rows.withColumn("before", F.coalesce(F.lag("hi").over(w), "left")).withColumn("after", F.coalesce(F.lead("lo").over(w), "right"))
     left = F.when(F.col("before").isNotNull() | (F.col("lo") != 0), F.struct(F.coalesce("before", F.lit(0).cast("long")).alias("gap_start"), F.col("lo").alias("gap_end")))
     right = F.when(F.col("after").isNull() & (F.col("hi") != F.col("length")), F.struct(F.col("hi").alias("gap_start"), F.col("length").alias("gap_end")))
     return rows.select(by, F.explode(F.array_compact(F.array(left, right))).alias("g")).select(by, "g.*")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from svloom.operators import intervals as iv
+
 
 def parse_vcf_lines(lines: DataFrame) -> DataFrame:
     """Records from the data lines of a VCF text (``line_no``, ``value``): 0-based start, end from INFO END or the reference allele."""
@@ -40,9 +42,13 @@ def keep_insertions_deletions(variants: DataFrame) -> DataFrame:
 
 
 def renumber(variants: DataFrame, order: str) -> DataFrame:
-    """``variant_id`` <chrom>.<type>.<n>, n counting in the given order within chromosome and type."""
-    n = F.row_number().over(Window.partitionBy("chrom", "sv_type").orderBy(order))
-    return variants.withColumn("n", n.cast("int")).withColumn("variant_id", F.concat_ws(".", "chrom", "sv_type", F.col("n").cast("string")))
+    """``variant_id`` <chrom>.<type>.<n>, n counting within chromosome and type by the number ``order``, range by range of it."""
+    rows, keys = iv.ranged(variants, ["chrom", "sv_type"], order)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
+    rows = rows.join(counts.select(*keys, F.coalesce(F.sum("__count").over(iv.earlier_ranges(keys)), F.lit(0)).alias("__earlier")), keys)
+    n = F.col("__earlier") + F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    rows = rows.withColumn("n", n.cast("int")).select(*variants.columns, "n")
+    return rows.withColumn("variant_id", F.concat_ws(".", "chrom", "sv_type", F.col("n").cast("string")))
 
 
 def kept_and_skipped(variants: DataFrame, kept: Column) -> DataFrame:
