@@ -6,29 +6,51 @@ is a filter or an aggregate over these steps. Operation codes: 0 M, 1 I, 2 D, 3
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from svloom.operators import intervals as iv
 
 ON_REFERENCE, ON_QUERY, ALIGNED, ONLY_QUERY = [0, 2, 3, 7, 8], [0, 1, 4, 5, 7, 8], [0, 7, 8], [1, 4, 5]
 
 
-def steps(ref_start: Column, cigar: Column) -> Column:
-    """Array of (idx, op, len, rp, qp). Hard clips advance the query position too, as the source of these rules has it."""
-    kind = "array<struct<idx:int,op:int,len:bigint,rp:bigint,qp:bigint>>"
-    start = F.struct(ref_start.alias("rp"), F.lit(0).cast("long").alias("qp"), F.array().cast(kind).alias("out"))
+def with_moves(reads: DataFrame, moves: dict[str, list[int]], cigar: str = "cigar") -> DataFrame:
+    """``reads`` with ``cigar`` replaced by ``moves``: an array of (idx, op, len, and for each name of ``moves`` the length moved before).
 
-    def step(acc: Column, x: Column) -> Column:
-        one = F.struct((F.size(acc["out"]) + 1).alias("idx"), x["op"].alias("op"), x["len"].alias("len"), acc["rp"].alias("rp"), acc["qp"].alias("qp"))
-        moved = lambda ops, at: acc[at] + F.when(x["op"].isin(ops), x["len"]).otherwise(0)
-        return F.struct(moved(ON_REFERENCE, "rp").alias("rp"), moved(ON_QUERY, "qp").alias("qp"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(cigar, start, step, lambda acc: acc["out"])
+    The operations that move a name are listed under it. Sums run over a whole Arrow batch, so a read costs time in
+    proportion to its operations; a null array becomes an empty one.
+    """
+    kept = [c for c in reads.columns if c != cigar]
+    item = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("op", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ["len", *moves]]])
+    source = reads.select(*kept, cigar)
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("moves", T.ArrayType(item))])
+
+    def apply(batches):
+        for batch in batches:
+            lists = batch.column(len(kept))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            firsts, flat = ends - sizes, lists.flatten()
+            op, length = pc.struct_field(flat, "op").cast(pa.int32()), pc.struct_field(flat, "len").cast(pa.int64())
+            codes, lengths = pc.fill_null(op, -1).to_numpy(), pc.fill_null(length, 0).to_numpy()
+            arrays = [pa.array((np.arange(len(flat)) - np.repeat(firsts, sizes) + 1).astype(np.int32)), op, length]
+            for moving in moves.values():
+                total = np.concatenate([[0], np.cumsum(np.where(np.isin(codes, moving), lengths, 0))]).astype(np.int64)
+                arrays.append(pa.array(total[:-1] - np.repeat(total[firsts], sizes)))
+            items = pa.StructArray.from_arrays(arrays, names=item.names)
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), items)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=schema.names)
+
+    return source.mapInArrow(apply, schema)
 
 
 def explode_steps(reads: DataFrame) -> DataFrame:
+    """A row (idx, op, len, rp, qp) for each operation of each read. Hard clips advance the query position too, as the source of these rules has it."""
     kept = [c for c in reads.columns if c != "cigar"]
-    return reads.select(*kept, F.explode(steps(F.col("ref_start"), F.col("cigar"))).alias("x")).select(*kept, "x.*")
+    rows = with_moves(reads, {"rp": ON_REFERENCE, "qp": ON_QUERY}).select(*kept, F.explode("moves").alias("x"))
+    return rows.select(*kept, "x.idx", "x.op", "x.len", (F.col("ref_start") + F.col("x.rp")).alias("rp"), "x.qp")
 
 
 def reference_end(ref_start: Column, cigar: Column) -> Column:
@@ -133,10 +155,11 @@ def trim_md(reads: DataFrame, start: Column, end: Column) -> DataFrame:
     Insertions and skips (N) aren't in a tag, so positions after a skip lack its length, as the source of these rules has it.
     """
     kept = [c for c in reads.columns if c != "md"]
-    first = F.struct(F.col("ref_start").cast("long").alias("rp"), F.array().cast("array<struct<kind:string,len:bigint,rp:bigint>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["rp"] + x["len"]).alias("rp"), F.concat(acc["out"], F.array(F.struct(x["kind"].alias("kind"), x["len"].alias("len"), acc["rp"].alias("rp")))).alias("out"))
-    tokens = F.aggregate(parse_md(F.col("md")), first, step, lambda acc: acc["out"])
-    rows = reads.select(*kept, F.posexplode(tokens).alias("k", "x")).select(*kept, (F.col("k") + 1).alias("idx"), "x.*")
+    codes = {7: "=", 2: "D", 8: "X"}
+    as_ops = F.transform(parse_md(F.col("md")), lambda x: F.struct(F.when(x["kind"] == "=", 7).when(x["kind"] == "D", 2).otherwise(8).alias("op"), x["len"].alias("len")))
+    rows = with_moves(reads.withColumn("md", as_ops), {"rp": list(codes)}, "md").select(*kept, F.explode("moves").alias("x"))
+    kind = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("x.op")]
+    rows = rows.select(*kept, "x.idx", kind.alias("kind"), "x.len", (F.col("ref_start") + F.col("x.rp")).alias("rp"))
     stop = F.col("rp") + F.col("len")
     rows = rows.where((stop > start) & (F.col("rp") < end))
     return rows.select(*kept, "idx", "kind", (F.least(stop, end) - F.greatest("rp", start)).alias("cut"), F.greatest("rp", start).alias("at"))
@@ -198,14 +221,10 @@ def intra_steps(reads: DataFrame, kind: str, compat: bool = True) -> DataFrame:
     """
     wanted = 2 if kind == "DEL" else 1
     moving = [0, 2] if kind == "DEL" else [0, 1, 2]
-    start = F.struct(F.col("ref_start").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        one = F.struct(acc["at"].alias("s"), (acc["at"] + x["len"]).alias("e"))
-        return F.struct((acc["at"] + F.when(x["op"].isin(moving if compat else ON_REFERENCE), x["len"]).otherwise(0)).alias("at"), F.when(x["op"] == wanted, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate("cigar", start, step, lambda acc: acc["out"])
-    return reads.select("read_id", "contig", F.explode(found).alias("x")).select("read_id", "contig", "x.s", "x.e")
+    rows = with_moves(reads.select("read_id", "contig", "ref_start", "cigar"), {"at": moving if compat else ON_REFERENCE})
+    found = rows.select("read_id", "contig", "ref_start", F.explode(F.filter("moves", lambda x: x["op"] == wanted)).alias("x"))
+    s = F.col("ref_start") + F.col("x.at")
+    return found.select("read_id", "contig", s.alias("s"), (s + F.col("x.len")).alias("e"))
 
 
 def variant_signatures(signatures: DataFrame, variants: DataFrame, inter: bool, widen: int = 50, size: int = 256) -> DataFrame:

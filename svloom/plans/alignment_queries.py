@@ -175,11 +175,14 @@ v_noise as (select contig, pos, count(*) as checked, cast(sum(suspicious) as big
 def noise(spark, sf_dir):
     """Noise of the 200-base patches of five contigs; every fourth read is a split one, indels of 40 count as large."""
     patches = spark.range(5).select(F.concat(F.lit("ctg"), F.col("id").cast("string")).alias("contig"), F.explode(F.sequence(lit(0), lit(109))).alias("k")).select("contig", (F.col("k") * 200).alias("l_start"), (F.col("k") * 200 + 200).alias("l_end"))
-    reads = v.reads(spark, sf_dir).withColumn("r_end", al.reference_end(F.col("ref_start"), F.col("cigar"))).withColumn("steps", al.steps(F.col("ref_start"), F.col("cigar")))
-    met = iv.overlap_join(patches, reads.withColumnRenamed("ref_start", "r_start").drop("cigar"), "contig", 1000)
+    reads = v.reads(spark, sf_dir).withColumn("r_end", al.reference_end(F.col("ref_start"), F.col("cigar")))
+    reads = al.with_moves(reads, {"rp": al.ON_REFERENCE}).withColumnsRenamed({"ref_start": "r_start", "moves": "steps"})
+    met = iv.overlap_join(patches, reads, "contig", 1000)
     inside = lambda x: (x >= F.col("l_start")) & (x < F.col("l_end"))
     broken = (F.col("read_id") % 4 == 0) & (inside(F.col("r_start")) | inside(F.col("r_end")))
-    large = F.exists("steps", lambda x: (x["len"] >= 40) & (((x["op"] == 1) & inside(x["rp"])) | ((x["op"] == 2) & (F.greatest(F.col("l_start"), x["rp"]) < F.least(F.col("l_end"), x["rp"] + x["len"])))))
+    at = lambda x: F.col("r_start") + x["rp"]
+    deleted = lambda x: (x["op"] == 2) & (F.greatest(F.col("l_start"), at(x)) < F.least(F.col("l_end"), at(x) + x["len"]))
+    large = F.exists("steps", lambda x: (x["len"] >= 40) & (((x["op"] == 1) & inside(at(x))) | deleted(x)))
     return al.region_noise(met.select("contig", F.col("l_start").alias("pos"), F.when(broken | large, 1).otherwise(0).alias("suspicious")), ["contig", "pos"])
 
 

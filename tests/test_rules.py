@@ -157,6 +157,58 @@ def test_mismatches_of_md(spark):
     assert pile == {103: (2, 3, 0), 104: (0, 3, 1), 105: (0, 3, 1), 106: (0, 3, 1), 107: (1, 3, 0)}
 
 
+def test_moves_of_empty_null_and_long_cigars(spark):
+    long = [(k % 3, k % 7) for k in range(40_000)]
+    reads = spark.createDataFrame([(1, 5, []), (2, 5, None), (3, 5, long), (4, None, [(0, 3)]), (5, 7, [(2, 4), (0, 1)])], "read_id int, ref_start long, cigar array<struct<op:int,len:long>>")
+    got = {}
+    for r in al.explode_steps(reads).collect():
+        got.setdefault(r.read_id, {})[r.idx] = (r.op, r.len, r.rp, r.qp)
+    assert sorted(got) == [3, 4, 5] and got[4] == {1: (0, 3, None, 0)} and got[5] == {1: (2, 4, 7, 0), 2: (0, 1, 11, 0)}
+    rp, qp = 5, 0
+    for k, (op, n) in enumerate(long):
+        assert got[3][k + 1] == (op, n, rp, qp)
+        rp, qp = rp + n * (op != 1), qp + n * (op != 2)
+
+
+def plain_islands(rows, gap):
+    out, top, n = {}, None, 0
+    for s, e, k in sorted(rows):
+        n += top is None or s - top > gap
+        top = e if top is None else max(top, e)
+        out[k] = n
+    return out
+
+
+def test_islands_numbers_and_gaps_across_ranges(spark):
+    width = iv.RANGE
+    one = [(0, 10, 1), (width - 5, width + 5, 2), (width + 3, 5 * width, 3), (2 * width, 2 * width + 1, 4), (5 * width + 4, 5 * width + 9, 5), (9 * width, 9 * width + 3, 6), (9 * width, 9 * width + 3, 7)]
+    two = [(7, 9, 8), (3 * width, 3 * width + 2, 9)]
+    rows = spark.createDataFrame([("a", *r) for r in one] + [(None, *r) for r in two], "chrom string, s long, e long, k long")
+    got = {r.k: r.island for r in iv.islands(rows, ["chrom"], ["s", "e", "k"], "s", "e", gap=4).collect()}
+    assert got == plain_islands(one, 4) | plain_islands(two, 4)
+    named = vs.renumber(rows.withColumn("sv_type", F.lit("DEL")), "s").where("chrom is not null").orderBy("n").collect()
+    assert [r.variant_id for r in named] == [f"a.DEL.{n}" for n in range(1, 8)] and [r.s for r in named] == sorted(r[0] for r in one)
+    clusters = spark.createDataFrame([("a", 0, 10), ("a", 3 * width, 3 * width + 7), ("a", 3 * width + 9, 8 * width), ("b", 5, 10 * width)], "chrom string, lo long, hi long")
+    gaps = iv.complement(clusters, "chrom", F.lit(10 * width).cast("long")).collect()
+    assert sorted(map(tuple, gaps)) == [("a", 10, 3 * width), ("a", 3 * width + 7, 3 * width + 9), ("a", 8 * width, 10 * width), ("b", 0, 5)]
+    empty = rows.limit(0)
+    assert iv.islands(empty, ["chrom"], ["s"], "s", "e").isEmpty() and iv.complement(clusters.limit(0), "chrom", F.lit(1).cast("long")).isEmpty()
+
+
+def test_pairs_of_many_haplotypes_in_blocks(spark):
+    count = ev.BLOCK + 6
+    states = spark.createDataFrame([(1, h, sv, (h >> sv) & 1) for h in range(count) for sv in range(7)], "cluster int, hap int, sv int, state int")
+    evidence = spark.createDataFrame([(1, 9, 0, 0, 6, 8), (1, 9, 3, 4, 2, 8)], "cluster int, read_id int, sv int, absent long, present long, informative long")
+    got = {(r.hap1, r.hap2): (r.best, r.unexplained_present, r.unexplained_absent) for r in ev.pair_reads(evidence, states).collect()}
+    own = lambda h: (6 if h & 1 else 0) + (2 if h >> 3 & 1 else 4)
+    both = lambda a, b, sv, state: (a >> sv & 1) == state == (b >> sv & 1)
+    expected = {}
+    for a in range(count):
+        for b in range(a, count):
+            expected[a, b] = (max(own(a), own(b)), 6 * both(a, b, 0, 0) + 2 * both(a, b, 3, 0), 4 * both(a, b, 3, 1))
+    assert got == expected
+
+
 def test_split_signatures_take_neighbours_among_all_records(spark):
     rows = spark.createDataFrame([(1, "chr1", 1, 0, 50, 0, 50, True), (1, "chr2", 2, 0, 50, 50, 90, True), (1, "chr1", 3, 500, 600, 50, 100, True), (2, "chr1", 1, 0, 50, 0, 50, True), (2, "chr1", 2, 500, 600, 50, 100, True)], "read_id long, contig string, record_no long, r_start long, r_end long, q_start long, q_end long, forward boolean")
     assert [tuple(r) for r in al.split_signatures(rows, "DEL").collect()] == [(2, "chr1", 50, 450)]
