@@ -105,7 +105,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np
     return out
 
 
-def slices(texts: pa.Array, size: int = 1 << 20):
+def slices(texts: pa.Array, size: int = 1 << 18):
     """(first, last) row ranges whose texts together have about ``size`` bytes, or one longer text."""
     _, offsets = column(texts)
     first, rows = 0, len(texts)

@@ -33,7 +33,9 @@ QUADRATIC = 1 / 1024
 END_ID = 1
 GROUP_TOKENS = 2_000_000
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+#: Pieces of one Arrow batch of results: 2 MB of ids at most.
+BATCH_PIECES = 256
 
 
 #: Latin letters, of which lower case and composition are plain, with punctuation after them: two pieces at most.
@@ -164,29 +166,33 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, with_ids: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the token ids."""
 
-    def flush(group: list, base: int, first: int) -> tuple[pa.RecordBatch, int]:
+    def flush(group: list, base: int, first: int) -> Iterator[pa.RecordBatch]:
         ids = [x for _, x in group]
         pieces = pack([len(x) for x in ids], capacity)
-        cols = list(zip(*pieces))
-        tokens = [ids[d][a : a + n] for d, a, n, _, _ in pieces]
-        arrays = [
-            pa.array([group[d][0] for d in cols[0]], pa.int64()),
-            pa.array(cols[1], pa.int64()),
-            pa.array(cols[2], pa.int64()),
-            pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in tokens], pa.int64()),
-            pa.array([len(ids[d]) for d in cols[0]], pa.int64()),
-            pa.array([base + first + s for s in cols[3]], pa.int64()),
-            pa.array(cols[4], pa.int64()),
-        ]
-        if with_ids:
-            arrays.append(pa.array([t.astype(np.int32) for t in tokens], pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(arrays, names=names), first + 1 + max(cols[3])
+        for at in range(0, len(pieces), BATCH_PIECES):
+            some = pieces[at : at + BATCH_PIECES]
+            cols = list(zip(*some))
+            tokens = [ids[d][a : a + n] for d, a, n, _, _ in some]
+            arrays = [
+                pa.array([group[d][0] for d in cols[0]], pa.int64()),
+                pa.array(cols[1], pa.int64()),
+                pa.array(cols[2], pa.int64()),
+                pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in tokens], pa.int64()),
+                pa.array([len(ids[d]) for d in cols[0]], pa.int64()),
+                pa.array([base + first + s for s in cols[3]], pa.int64()),
+                pa.array(cols[4], pa.int64()),
+            ]
+            if with_ids:
+                arrays.append(pa.array([t.astype(np.int32) for t in tokens], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        return first + 1 + max(s for _, _, _, s, _ in pieces)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        pa.default_memory_pool().release_unused()  # a worker serves one step after another
         base, first, held = TaskContext.get().partitionId() << 33, 0, 0
         tokenizer, group = tokenizer_of(tokenizer_path), []
         for batch in batches:
@@ -197,11 +203,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     group.append((keys[a + i], np.append(ids[at[i] : at[i + 1]], np.uint32(END_ID))))
                     held += len(group[-1][1])
                     if held >= group_tokens:
-                        done, first = flush(group, base, first)
+                        first = yield from flush(group, base, first)
                         group, held = [], 0
-                        yield done
         if group:
-            yield flush(group, base, first)[0]
+            yield from flush(group, base, first)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, schema)
