@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from svloom.llm import bytewords as bw
-from svloom.llm.shared import Workspace, connected_components, with_small_side
+from svloom.llm.shared import Workspace, connected_components, release_memory, with_small_side
 
 K = 96
 #: Linked if SHARE_PERCENT * union <= 100 * intersection.
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, np.int64), *low])))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(n), *(pa.array(x.view(np.int64)) for x in digest), sketch], names=["doc_id", "th", "n", "d1", "d2", "sketch"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text").mapInArrow(apply, "doc_id long, th long, n long, d1 long, d2 long, sketch array<long>")
 
@@ -131,6 +132,7 @@ def verify(ws: Workspace, pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if 100 * both >= SHARE_PERCENT * (len(mine) + len(against) - both):
                         kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in (2, 0)], names=["a", "b"])
+        release_memory()
 
     near = first.unionByName(members).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
     return near.mapInArrow(apply, "a long, b long")
@@ -213,6 +215,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 sets = bw.shingles(*bw.words(*bw.column(texts_.slice(a, b - a))))
                 good = [i for i, s in enumerate(sets) if _digest(s) == digests[a + i].as_py()]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + i for i in good], pa.int64())), pa.array([sets[i].view(np.int64) for i in good], pa.list_(pa.int64()))], names=["cid", "values"])
+        release_memory()
 
     return texts.mapInArrow(apply, "cid long, values array<long>")
 

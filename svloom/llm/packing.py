@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from svloom.llm import bytewords as bw
+from svloom.llm.shared import release_memory
 
 CAPACITY = 2048
 #: Weight of the quadratic part: attention over n tokens costs as much as everything else at n = 1 / QUADRATIC.
@@ -192,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pa.default_memory_pool().release_unused()  # a worker serves one step after another
+        release_memory()
         base, first, held = TaskContext.get().partitionId() << 33, 0, 0
         tokenizer, group = tokenizer_of(tokenizer_path), []
         for batch in batches:
@@ -207,6 +208,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                         group, held = [], 0
         if group:
             yield from flush(group, base, first)
+        del group
+        release_memory()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, schema)

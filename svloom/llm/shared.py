@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -24,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def release_memory() -> None:
+    """Gives what was freed back to the system: a worker process serves one step after another and keeps what it once had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 class Workspace:
     """Tables of one call in a folder of their own below the shared folder.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from svloom.llm import bytewords as bw
-from svloom.llm.shared import Workspace, sample_ids, with_small_side
+from svloom.llm.shared import Workspace, release_memory, sample_ids, with_small_side
 
 BITS = 20
 #: Bound of the training sample: labelled rows, and bytes of one text (longer texts are scored but not learnt from); passes over it.
@@ -122,6 +122,7 @@ def scores(docs: DataFrame, model, text: str = "text", score: str = "score") ->
             got = np.concatenate([np.zeros(0), *(margins(texts.slice(a, b - a), table) for a, b in bw.slices(texts))])
             out = sigmoid(got + bias) if len(at) else np.zeros(len(got))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], names=[*batch.schema.names[1:], score])
+        release_memory()
 
     others = [F.col(f"`{c}`") for c in docs.columns if c != score]
     schema = T.StructType([f for f in docs.schema.fields if f.name != score] + [T.StructField(score, T.DoubleType())])
