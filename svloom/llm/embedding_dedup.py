@@ -37,6 +37,8 @@ MIN_COSINE = 0.9
 BLOCK, CELL = 512, 512
 #: Of each rotation so many axes are tried; probes replace at most two axes.
 AXES = 6
+#: Rows of one Arrow batch that leave a map task: some tens of MB.
+SPREAD = 20_000
 
 
 def plan(vectors: int) -> tuple[int, int, int]:
@@ -96,8 +98,19 @@ def _unit(vectors: pa.Array, rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _shape(how: tuple[int, int, int], dim: int) -> tuple[int, int, str]:
+    """(tables, probes of each, type of a bucket number) for vectors of ``dim`` components."""
+    rotations, count, tables = how
+    width = 1 << max(1, (dim - 1).bit_length())
+    ways = len([c for c in itertools.product(range(min(AXES, width)), repeat=rotations) if sum(c) < AXES and sum(map(bool, c)) <= 2])
+    return tables, min(count, ways), "<i4" if (2 * width) ** rotations <= 1 << 31 else "<i8"
+
+
 def _spread(classes: DataFrame, how: tuple[int, int, int], full: bool) -> DataFrame:
-    """A row (dim, tab, bucket) for each bucket in which each vector stands; if ``full``, with key, weight, probes and v."""
+    """A row (dim, tab, bucket) for each bucket in which each vector stands; if ``full``, with key, weight, probes and v.
+
+    ``probes`` are the buckets before this one, in this table and in those before it: all that tells where a pair met first.
+    """
     rotations, count, tables = how
     names = ["dim", "tab", "bucket"] + ["key", "weight", "probes", "v"] * full
 
@@ -107,40 +120,42 @@ def _spread(classes: DataFrame, how: tuple[int, int, int], full: bool) -> DataFr
             sizes = np.diff(vectors.offsets.to_numpy())
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                for some in np.array_split(at, max(1, len(at) // 500)):
+                _, wide, kind = _shape(how, int(dim))
+                each = tables * wide
+                for some in np.array_split(at, max(1, len(at) * each // SPREAD)):
                     p = probes(_unit(vectors, some), rotations, count, tables)
-                    n, each = len(some), p.shape[1] * p.shape[2]
+                    n = len(some)
                     flat = p.reshape(n, each)
                     arrays = [pa.array(np.full(n * each, dim, np.int32)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), p.shape[2]), n)), pa.array(flat.reshape(-1))]
                     if full:
-                        who, local = pa.array(np.repeat(some, each)), pa.array(np.repeat(np.arange(n), each))
-                        small = flat.astype("<i4") if flat.max() < 1 << 31 else flat
-                        seen = pa.array([r.tobytes() for r in small], pa.binary())
-                        arrays += [keys.take(who), weights.take(who), seen.take(local), vectors.take(who)]
+                        who = pa.array(np.repeat(some, each))
+                        size = np.dtype(kind).itemsize
+                        blobs = [r.tobytes() for r in flat.astype(kind)]
+                        seen = pa.array([b[: k * size] for b in blobs for k in range(each)], pa.binary())
+                        arrays += [keys.take(who), weights.take(who), seen, vectors.take(who)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("key", "weight", "v").mapInArrow(apply, "dim int, tab int, bucket long" + f", key long, weight long, probes binary, v {kind}" * full)
+    of = classes.schema["v"].dataType.simpleString()
+    return classes.select("key", "weight", "v").mapInArrow(apply, "dim int, tab int, bucket long" + f", key long, weight long, probes binary, v {of}" * full)
 
 
-def _seen(blobs: list[bytes], rotations: int, dim: int, count: int, tables: int) -> np.ndarray:
-    """Probes from their bytes: four a number if all of a vector's fit, else eight."""
-    width = 1 << max(1, (dim - 1).bit_length())
-    each = len([c for c in itertools.product(range(min(AXES, width)), repeat=rotations) if sum(c) < AXES and sum(map(bool, c)) <= 2])
-    total = min(count, each) * tables
-    return np.stack([np.frombuffer(b, "<i4" if len(b) == 4 * total else "<i8") for b in blobs]).astype(np.int64).reshape(len(blobs), tables, -1)
+def _seen(blobs: list[bytes], how: tuple[int, int, int], dim: int) -> np.ndarray:
+    """(vectors, tables, probes) from their bytes; buckets that a row doesn't carry are the largest number."""
+    tables, wide, kind = _shape(how, dim)
+    out = np.full((len(blobs), tables * wide), np.iinfo(np.int64).max)
+    sizes = np.array([len(b) for b in blobs]) // np.dtype(kind).itemsize
+    out[np.arange(tables * wide)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(blobs), kind)
+    return out.reshape(len(blobs), tables, wide)
 
 
 def _compare(how: tuple[int, int, int]):
-    rotations, count, tables = how
-
     def apply(table: pa.Table) -> pa.Table:
         """Counts and a spanning forest of the links first met in the buckets of one group, between its blocks i and j."""
         table = table.combine_chunks()
         dim, tab, i, j = (table.column(c)[0].as_py() for c in ("dim", "tab", "i", "j"))
         bucket, key, weight, block = (table.column(c).to_numpy() for c in ("bucket", "key", "weight", "block"))
         x = _unit(table.column("v").combine_chunks(), np.arange(len(key)))
-        p = _seen(table.column("probes").to_pylist(), rotations, dim, count, tables)
+        p = _seen(table.column("probes").to_pylist(), how, dim)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links, parent, edges = np.zeros(len(key), np.int64), {}, []
 
@@ -181,8 +196,8 @@ def _compare(how: tuple[int, int, int]):
     return apply
 
 
-def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", how: tuple[int, int, int] | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row; ``how``: rotations, probes and tables, by default those of PLANS."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "embeddings")
     v = F.col(vector_column)
@@ -196,7 +211,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     ids = rows.where("v is not null").groupBy("h1", "h2", "id").agg(F.first("v").alias("v"))
     classes = ws.table(ids.groupBy("h1", "h2").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")), "classes")
     count = classes.count()
-    how = plan(count)
+    how = how or plan(count)
     cells = max(1, count * how[1] // CELL)
     sizes = _spread(classes, how, False).groupBy("dim", "tab", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = ws.table(sizes, "sizes")

@@ -163,14 +163,15 @@ def test_recall_at_the_threshold(how):
     assert met.any(1).all() and np.prod(1 - met.mean(0)) < 2e-5
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("how", [None] + [p[1:] for p in ed.PLANS[1:]])
+def test_embeddings_against_brute_force(spark, how):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
     rows = [b + rng.normal(size=16) * s for b in base for s in (0, 0.1, 0.15, 0.2)] + [base[0] + rng.normal(size=16) * 0.02 for _ in range(700)]
     x = np.array(rows, np.float32)
     vectors = [(i, v.tolist(), "l") for i, v in enumerate(x)] + [(9001, [0.0] * 16, "l"), (9002, None, None), (9003, [float("nan")] * 16, "l"), (9004, [None] * 16, "l"), (9005, [], "l"), (9006, x[3].tolist(), "l"), (9006, x[3].tolist(), "l"), (9007, (x[5] * 4).tolist(), "m"), (9008, [1.0, 2.0], "l")]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, n_links string").repartition(4)
-    got = ed.near_duplicates(df).collect()
+    got = ed.near_duplicates(df, how=how).collect()
     assert len(got) == len(vectors)
     ids = list(range(len(x))) + [9006, 9007]
     unit = np.concatenate([x, x[3:4], x[5:6] * 4]).astype(float)
@@ -182,4 +183,4 @@ def test_embeddings_against_brute_force(spark):
     assert [by[i].component_id for i in ids] == [ids[c] for c in expected]
     for i in (9001, 9002, 9003, 9004, 9005, 9008):
         assert (by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True)
-    assert ed.near_duplicates(df.limit(0)).count() == 0
+    assert ed.near_duplicates(df.limit(0), how=how).count() == 0
