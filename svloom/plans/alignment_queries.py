@@ -191,15 +191,15 @@ def sv72_region_evidence(spark, sf_dir):
     return noise(spark, sf_dir)
 
 
-SITES = """v_sites as (select concat('ctg', p_partkey % 5) as contig, (p_partkey * 53) % 20000 as s, (p_partkey * 53) % 20000 + case when p_partkey % 3 = 0 then 1 else p_size * 6 end as e, case when p_partkey % 3 = 0 then 'INS' when p_partkey % 3 = 1 then 'DEL' end as t from part)"""
+SITES = """v_sites as (select concat('ctg', p_partkey % 5) as contig, (p_partkey * 531) % 200000 as s, (p_partkey * 531) % 200000 + case when p_partkey % 3 = 0 then 1 else p_size * 6 end as e, case when p_partkey % 3 = 0 then 'INS' when p_partkey % 3 = 1 then 'DEL' end as t from part)"""
 
 
-@query(f"""with {PATCHES}, {SITES}, w as (select concat('ctg', c.i) as contig, cast(k.i * 2000 as bigint) as window_start, cast(j.i as int) as patch_index from range(0, 5) c(i), range(0, 10) k(i), range(0, 10) j(i)),
+@query(f"""with {PATCHES}, {SITES}, w as (select concat('ctg', c.i) as contig, cast(k.i * 2000 as bigint) as window_start, cast(j.i as int) as patch_index from range(0, 5) c(i), range(0, 100) k(i), range(0, 10) j(i)),
 h as (select distinct w.* from w join v_sites x on x.contig = w.contig and case when t = 'INS' then s >= window_start + patch_index * 200 and s < window_start + patch_index * 200 + 200 else least(window_start + patch_index * 200 + 200, e) - greatest(window_start + patch_index * 200, s) >= 50 end)
 select w.contig, w.window_start, w.patch_index, cast(case when h.contig is not null or n.noisy then 1 else 0 end as int) as label from w left join h on h.contig = w.contig and h.window_start = w.window_start and h.patch_index = w.patch_index left join v_noise n on n.contig = w.contig and n.pos = w.window_start + w.patch_index * 200 and n.noisy""")
 def sv73_label_patches(spark, sf_dir):
-    windows = spark.range(5).select(F.concat(F.lit("ctg"), F.col("id").cast("string")).alias("contig"), F.explode(F.sequence(lit(0), lit(9))).alias("k")).select("contig", (F.col("k") * 2000).alias("window_start"))
-    sites = v.table(spark, sf_dir, "part").selectExpr("concat('ctg', cast(p_partkey % 5 as string)) as contig", "(p_partkey * 53) % 20000 as start_pos", "(p_partkey * 53) % 20000 + case when p_partkey % 3 = 0 then 1 else p_size * 6 end as end_pos", "case when p_partkey % 3 = 0 then 'INS' when p_partkey % 3 = 1 then 'DEL' end as sv_type")
+    windows = spark.range(5).select(F.concat(F.lit("ctg"), F.col("id").cast("string")).alias("contig"), F.explode(F.sequence(lit(0), lit(99))).alias("k")).select("contig", (F.col("k") * 2000).alias("window_start"))
+    sites = v.table(spark, sf_dir, "part").selectExpr("concat('ctg', cast(p_partkey % 5 as string)) as contig", "(p_partkey * 531) % 200000 as start_pos", "(p_partkey * 531) % 200000 + case when p_partkey % 3 = 0 then 1 else p_size * 6 end as end_pos", "case when p_partkey % 3 = 0 then 'INS' when p_partkey % 3 = 1 then 'DEL' end as sv_type")
     return lb.patch_labels(windows, sites, noise(spark, sf_dir).where("noisy"), "contig", 2000, 200, 50)
 
 
