@@ -1,4 +1,4 @@
-"""Alignments as arrays of CIGAR operations (op, len): positions, scores, assignment, pileups and signatures.
+"""Alignments as arrays of CIGAR operations (op, len): positions, scores, pileups and signatures.
 
 ``explode_steps`` walks a CIGAR once and gives each operation its reference and query position; everything else
 is a filter or an aggregate over these steps. Operation codes: 0 M, 1 I, 2 D, 3 N, 4 S, 5 H, 6 P, 7 =, 8 X, 9 B.
@@ -84,37 +84,6 @@ def record_score(cigar: Column, nm: Column) -> Column:
     return total([0, 1, 7, 8]) - 3 * F.coalesce(nm, F.lit(0)) - total([4, 5])
 
 
-def assigned_reads(scores: DataFrame) -> DataFrame:
-    """(pair_id, read_id, score1, score2, side) of reads with a score on each haplotype, null where it isn't aligned: side 1, 2, or null for neither.
-
-    A tie goes to the haplotype with fewer reads so far (the first if equal), in order of read name: each tie
-    depends on those before it, so a pair's reads are folded in order within one row.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("read_id", "score1", "score2"))).alias("reads")
-    start = F.struct(F.lit(0).cast("long").alias("ahead"), F.lit("").alias("sides"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a, b = x["score1"], x["score2"]
-        one, two = a.isNotNull(), b.isNotNull()
-        tie = one & two & (a == b)
-        first = (one & ~two) | (one & two & (a > b)) | (tie & (acc["ahead"] <= 0))
-        second = (two & ~one) | (one & two & (b > a)) | (tie & (acc["ahead"] > 0))
-        ahead = acc["ahead"] + F.when(first, 1).when(second, -1).otherwise(0)
-        return F.struct(ahead.alias("ahead"), F.concat(acc["sides"], F.when(first, "1").when(second, "2").otherwise("0")).alias("sides"))
-
-    sides = F.split(F.aggregate("reads", start, step, lambda acc: acc["sides"]), "")
-    rows = scores.groupBy("pair_id").agg(rows).select("pair_id", F.explode(F.arrays_zip("reads", sides.alias("side"))).alias("x"))
-    return rows.select("pair_id", "x.reads.*", F.nullif(F.col("x.side").cast("int"), F.lit(0)).alias("side"))
-
-
-def assign_reads(scores: DataFrame) -> DataFrame:
-    """Counts of each pair over the rows of ``assigned_reads``."""
-    a, b, side = F.col("score1"), F.col("score2"), F.col("side")
-    one, two = a.isNotNull(), b.isNotNull()
-    counts = {"n1": side == 1, "n2": side == 2, "hap1_better": a > b, "hap2_better": b > a, "score_ties": a == b, "only_hap1": one & ~two, "only_hap2": two & ~one, "neither_aligned": ~one & ~two}
-    return assigned_reads(scores).groupBy("pair_id").agg(*[F.count_if(x).alias(n) for n, x in counts.items()])
-
-
 def depth_scales(n1: Column, n2: Column) -> tuple[Column, Column]:
     total = (n1 + n2).cast("double")
     one = lambda n: F.when(n > 0, total / n).otherwise(1.0)
@@ -168,7 +137,8 @@ def trim_md(reads: DataFrame, start: Column, end: Column) -> DataFrame:
 def pileup(trimmed: DataFrame, by: list[str], md: DataFrame | None = None) -> DataFrame:
     """Per reference base: depth, deletion and insertion counts with mean and largest length, clip count; with ``md`` (of ``trim_md``) the mismatches too.
 
-    Every base an operation covers becomes a row, combined before the shuffle; lengths are those cut to the region.
+    Every base an operation covers becomes a row, combined before the shuffle: for trimmed operations of any shape, on
+    small regions. ``windows.window_matrices`` needs no such rows. Lengths are those cut to the region.
     """
     spread = F.when(F.col("op").isin(ON_REFERENCE), F.sequence(F.col("at"), F.col("at") + F.col("cut") - 1)).otherwise(F.array(F.col("at")))
     rows = trimmed.where(~F.col("op").isin(ON_REFERENCE) | (F.col("cut") > 0)).select(*by, "op", F.col("cut").alias("n"), F.explode(spread).alias("pos"))
@@ -190,9 +160,30 @@ def pileup(trimmed: DataFrame, by: list[str], md: DataFrame | None = None) -> Da
     )
 
 
-def region_noise(read_signals: DataFrame, by: list[str]) -> DataFrame:
-    """Regions where more than a tenth of the reads (one row each, ``suspicious`` 0 or 1) show a breakpoint or a large indel."""
-    return read_signals.groupBy(*by).agg(F.count(F.lit(1)).alias("checked"), F.sum("suspicious").alias("suspicious")).withColumn("noisy", 10 * F.col("suspicious") > F.col("checked"))
+#: Bits of a record's flag.
+UNMAPPED, SECONDARY, DUPLICATE, SUPPLEMENTARY = 4, 256, 1024, 2048
+
+
+def region_evidence(records: DataFrame, patches: DataFrame, large: int = 50, share: float = 0.1, size: int = 256) -> DataFrame:
+    """(contig, pos, checked, suspicious, noisy) of the ``patches`` (contig, pos, end_pos) that records overlap.
+
+    ``records``: read_id, flag, contig, ref_start, cigar, has_sa. Unmapped, secondary and duplicate ones are passed over. One
+    is suspicious if it is split (supplementary, or with an SA tag) and begins in the patch or ends in it (the end being the
+    base behind its last), or has an insertion of ``large`` bases in the patch or a deletion of as many that overlaps it.
+    A patch is noisy where more than ``share`` of the records are suspicious.
+    """
+    rows = records.where(F.col("flag").bitwiseAND(UNMAPPED | SECONDARY | DUPLICATE) == 0)
+    split = F.coalesce("has_sa", F.lit(False)) | (F.col("flag").bitwiseAND(SUPPLEMENTARY) != 0)
+    rows = rows.select("contig", "ref_start", reference_end(F.col("ref_start"), F.col("cigar")).alias("r_end"), split.alias("split"), "cigar")
+    rows = with_moves(rows, {"rp": ON_REFERENCE})
+    indels = F.filter("moves", lambda x: x["op"].isin(1, 2) & (x["len"] >= large))
+    rows = rows.select("contig", F.col("ref_start").alias("r_start"), "r_end", "split", F.transform(indels, lambda x: F.struct(x["op"].alias("op"), (F.col("ref_start") + x["rp"]).alias("at"), x["len"].alias("len"))).alias("indels"))
+    met = iv.overlap_join(patches.select("contig", F.col("pos").alias("l_start"), F.col("end_pos").alias("l_end")), rows, "contig", size)
+    inside = lambda x: (x >= F.col("l_start")) & (x < F.col("l_end"))
+    deleted = lambda x: F.greatest(F.col("l_start"), x["at"]) < F.least(F.col("l_end"), x["at"] + x["len"])
+    bad = (F.col("split") & (inside(F.col("r_start")) | inside(F.col("r_end")))) | F.exists("indels", lambda x: F.when(x["op"] == 1, inside(x["at"])).otherwise(deleted(x)))
+    counts = met.groupBy("contig", F.col("l_start").alias("pos")).agg(F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("suspicious"))
+    return counts.withColumn("noisy", F.col("suspicious") > share * F.col("checked"))
 
 
 def split_signatures(segments: DataFrame, kind: str, near: int = 30, cap: int = 100_000) -> DataFrame:
@@ -213,25 +204,41 @@ def split_signatures(segments: DataFrame, kind: str, near: int = 30, cap: int =
     return rows.where(F.col("distance").between(-cap, -near)).select("read_id", "contig", F.floor((F.col("r_end") + F.col("next_r_start")) / 2).alias("pos"), (-F.col("distance")).alias("size"))
 
 
+def query_length(cigar: Column) -> Column:
+    """Bases of a read's sequence: hard clips aren't in it."""
+    return F.aggregate(F.filter(cigar, lambda x: x["op"].isin(0, 1, 4, 7, 8)), F.lit(0).cast("long"), lambda acc, x: acc + x["len"])
+
+
 def intra_steps(reads: DataFrame, kind: str, compat: bool = True) -> DataFrame:
-    """(read_id, contig, s, e) of deletions or insertions within reads, placed as the source of these rules does.
+    """(read_id, contig, s, e, span_start, span_end) of deletions or insertions within reads, placed as the source of these rules does.
+
+    The span runs from the read's start over as many bases as its sequence has: a variant takes a read's signatures only
+    if it meets that span before it is widened.
 
     With ``compat`` only operations 0 and 2 advance the position (and an insertion its length, for INS); without,
     the reference position is the true one.
     """
     wanted = 2 if kind == "DEL" else 1
     moving = [0, 2] if kind == "DEL" else [0, 1, 2]
-    rows = with_moves(reads.select("read_id", "contig", "ref_start", "cigar"), {"at": moving if compat else ON_REFERENCE})
-    found = rows.select("read_id", "contig", "ref_start", F.explode(F.filter("moves", lambda x: x["op"] == wanted)).alias("x"))
+    rows = reads.select("read_id", "contig", "ref_start", (F.col("ref_start") + query_length(F.col("cigar"))).alias("span_end"), "cigar")
+    rows = with_moves(rows, {"at": moving if compat else ON_REFERENCE})
+    found = rows.select("read_id", "contig", "ref_start", "span_end", F.explode(F.filter("moves", lambda x: x["op"] == wanted)).alias("x"))
     s = F.col("ref_start") + F.col("x.at")
-    return found.select("read_id", "contig", s.alias("s"), (s + F.col("x.len")).alias("e"))
+    return found.select("read_id", "contig", s.alias("s"), (s + F.col("x.len")).alias("e"), F.col("ref_start").alias("span_start"), "span_end")
 
 
 def variant_signatures(signatures: DataFrame, variants: DataFrame, inter: bool, widen: int = 50, size: int = 256) -> DataFrame:
-    """(variant_id, read_id, s, e, lo, hi, inter) of signatures (read_id, contig, s, e) that meet, ends included, a variant (variant_id, contig, start_pos, end_pos) widened on both sides."""
-    left = signatures.select("contig", "read_id", "s", "e", F.col("s").alias("l_start"), (F.col("e") + 1).alias("l_end"))
-    right = variants.select("contig", "variant_id", (F.col("start_pos") - widen).alias("lo"), (F.col("end_pos") + widen).alias("hi")).withColumn("r_start", F.col("lo")).withColumn("r_end", F.col("hi") + 1)
-    return iv.overlap_join(left, right, "contig", size).select("variant_id", "read_id", "s", "e", "lo", "hi", F.lit(inter).alias("inter"))
+    """(variant_id, read_id, s, e, lo, hi, inter) of signatures (read_id, contig, s, e) that meet, ends included, a variant (variant_id, contig, start_pos, end_pos) widened on both sides.
+
+    Those with a span (of ``intra_steps``) count only if that meets, ends included, the variant as it is.
+    """
+    span = [c for c in ("span_start", "span_end") if c in signatures.columns]
+    left = signatures.select("contig", "read_id", "s", "e", *span, F.col("s").alias("l_start"), (F.col("e") + 1).alias("l_end"))
+    right = variants.select("contig", "variant_id", "start_pos", "end_pos", (F.col("start_pos") - widen).alias("lo"), (F.col("end_pos") + widen).alias("hi")).withColumn("r_start", F.col("lo")).withColumn("r_end", F.col("hi") + 1)
+    met = iv.overlap_join(left, right, "contig", size)
+    if span:
+        met = met.where(F.greatest("span_start", "start_pos") <= F.least("span_end", "end_pos"))
+    return met.select("variant_id", "read_id", "s", "e", "lo", "hi", F.lit(inter).alias("inter"))
 
 
 def inter_signatures(segments: DataFrame, variants: DataFrame, kind: str, widen: int = 50) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Running maxima, counts and neighbours along a contig are found range by range: a task sorts the rows of one range
 of RANGE bases, and what earlier ranges hand on comes from one small row a range. Overlap joins deal both sides to
-bins of the axis and join on (contig, bin) with the exact predicate behind it, so that no pair is looked at outside
-its bin.
+bins of several widths and join on (contig, width, bin) with the exact predicate behind it, so that no pair is looked
+at outside its bin.
 """
 
 from __future__ import annotations
@@ -83,13 +83,54 @@ def complement(clusters: DataFrame, by: str, length: Column) -> DataFrame:
     return rows.select(by, F.explode(F.array_compact(F.array(left, right))).alias("g")).select(by, "g.*")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_size: int) -> DataFrame:
-    """Pairs with the same ``key`` and l_start < r_end and l_end > r_start (half-open, not empty). Each is found in one bin: that of the later start."""
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size)))
-    a = left.where("l_start < l_end").withColumn("bin", bins("l_start", "l_end"))
-    b = right.where("r_start < r_end").withColumn("bin", bins("r_start", "r_end"))
-    met = a.join(b, [key, "bin"]).where("l_start < r_end and l_end > r_start")
-    return met.where(F.col("bin") == F.floor(F.greatest("l_start", "r_start") / bin_size)).drop("bin")
+#: Bins of a level are FACTOR times as wide as those of the one below; LEVELS levels reach any contig.
+FACTOR, LEVELS = 16, 7
+
+
+def _levelled(rows: DataFrame, start: str, end: str, size: int) -> DataFrame:
+    """``rows`` with the level of the narrowest bins that are no shorter than the interval."""
+    length, level = F.col(end) - F.col(start), F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        level = F.when(length <= size * FACTOR**k, k).otherwise(level)
+    return rows.where(F.col(start) < F.col(end)).withColumn("__own", level)
+
+
+def _binned(rows: DataFrame, start: str, end: str, size: int, above: bool | None) -> DataFrame:
+    """A row for each bin (__level, __bin) that an interval meets: one or two of its own level, and as many of each wider one.
+
+    ``above``: only those of wider levels; false: only those of its own; null: both.
+    """
+    levels = {None: F.sequence(F.col("__own"), F.lit(LEVELS - 1)), False: F.array("__own"), True: F.slice(F.sequence(F.col("__own"), F.lit(LEVELS - 1)), 2, LEVELS)}[above]
+    rows = rows.withColumn("__level", F.explode(levels))
+    width = F.element_at(F.array(*[F.lit(size * FACTOR**k).cast("long") for k in range(LEVELS)]), F.col("__level") + 1)
+    bins = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
+    return rows.withColumn("__width", width).withColumn("__bin", F.explode(bins))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_size: int, block: int | None = None) -> DataFrame:
+    """Pairs with the same ``key`` and l_start < r_end and l_end > r_start (half-open, not empty).
+
+    Bins have levels, so an interval costs two rows a level at most, however long it is. A pair meets at the wider of
+    both intervals' own levels, in the bin of the later start, and nowhere else. With ``block``, bins with more rows of
+    ``left`` are dealt to as many parts as that takes; the rows of ``right`` go to each of these.
+    """
+    a, b = _levelled(left, "l_start", "l_end", bin_size), _levelled(right, "r_start", "r_end", bin_size)
+    on = [key, "__level", "__bin"]
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        keys = on
+        if block:
+            hot = one.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")).where("__parts > 1")
+            at = F.pmod(F.xxhash64("l_start", "l_end", *[c for c, t in left.dtypes if c not in (key, "l_start", "l_end") and t in ("bigint", "int", "string")]), F.col("__parts"))
+            one = one.join(hot, on, "left").withColumn("__part", F.coalesce(at.cast("int"), F.lit(0))).drop("__parts")
+            two = two.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+            keys = [*on, "__part"]
+        pairs = one.join(two.drop("__width", "__own"), keys).where("l_start < r_end and l_end > r_start")
+        pairs = pairs.where(F.col("__bin") == F.floor(F.greatest("l_start", "r_start") / F.col("__width")))
+        return pairs.drop(*on[1:], "__width", "__own", "__part")
+
+    same = met(_binned(a, "l_start", "l_end", bin_size, False), _binned(b, "r_start", "r_end", bin_size, None))
+    return same.unionByName(met(_binned(a, "l_start", "l_end", bin_size, True), _binned(b, "r_start", "r_end", bin_size, False)))
 
 
 def window_starts(groups: DataFrame, size: int, stride: int) -> DataFrame:

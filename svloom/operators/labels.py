@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from svloom.operators import intervals as iv
@@ -14,22 +16,107 @@ def label_clusters(variants: DataFrame, gap: int, order: list[str], length: Colu
     return ends.withColumn("lo", F.greatest(F.lit(0).cast("long"), F.col("first_start") - gap)).withColumn("hi", F.least(F.col("last_end") + gap, length))
 
 
-def sample_negatives(gaps: DataFrame, by: str, size: int, count: int, seed: int) -> DataFrame:
-    """At most ``count`` windows a contig from gaps of at least ``size``: gaps and starts are picked by a seeded hash, so the sample is the same on any cluster."""
-    wide = gaps.where(F.col("gap_end") - F.col("gap_start") >= size)
-    room = F.col("gap_end") - F.col("gap_start") - size + 1
-    start = F.col("gap_start") + F.pmod(F.xxhash64(F.lit(seed), by, "gap_start"), room)
-    ranked = wide.withColumn("window_start", start).withColumn("pick", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed + 1), by, "gap_start"), "gap_start")))
-    return ranked.where(F.col("pick") <= count).select(by, "gap_start", "gap_end", "window_start", (F.col("window_start") + size).alias("window_end"))
+#: Rounds of ``coprime``: enough for the Euclidean algorithm on 64-bit numbers.
+_EUCLID = 93
+GOLDEN = 0.6180339887
+
+
+def _number(seed: int, *of: Column | str) -> Column:
+    """A number from 0 to 2^31 - 1 that the seed and the columns give, the same in any engine that has MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in of])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").bitwiseAND(0x7FFFFFFF)
+
+
+def coprime(n: Column) -> Column:
+    """The first number from 0.618 n on that has no divisor in common with n; steps of that length visit all of 0 to n - 1."""
+    gcd = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(_EUCLID)), F.struct(n.cast("long").alias("a"), x.alias("b")), lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(F.struct(acc["b"].alias("a"), (acc["a"] % F.greatest(acc["b"], F.lit(1))).alias("b"))), lambda acc: acc["a"])
+    first = F.floor(n * GOLDEN).cast("long")
+    near = F.filter(F.sequence(F.greatest(first, F.lit(1)), F.greatest(first, F.lit(1)) + 64), lambda x: gcd(x) == 1)
+    return F.coalesce(F.get(near, F.lit(0)), F.lit(1).cast("long"))
+
 
+def rooms(gaps: DataFrame, by: str, size: int) -> DataFrame:
+    """The gaps of at least ``size`` with ``before`` and ``room``: starts that fit in the contig's earlier gaps, and here."""
+    wide = gaps.where(F.col("gap_end") - F.col("gap_start") >= size).withColumn("room", F.col("gap_end") - F.col("gap_start") - size + 1)
+    rows, keys = iv.ranged(wide, [by], "gap_start")
+    sums = rows.groupBy(*keys).agg(F.sum("room").alias("__sum"))
+    rows = rows.join(sums.select(*keys, F.coalesce(F.sum("__sum").over(iv.earlier_ranges(keys)), F.lit(0)).alias("__earlier")), keys)
+    here = F.sum("room").over(Window.partitionBy(*keys).orderBy("gap_start").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(by, "gap_start", "gap_end", "room", (F.col("__earlier") + F.coalesce(here, F.lit(0))).alias("before"))
 
-def training_window_starts(clusters: DataFrame, width: int, stride: int, overlap: int) -> DataFrame:
-    """Starts of strided windows over each cluster without jitter, ending with the last place; a cluster too narrow has one."""
+
+def drawn(roomy: DataFrame, contigs: DataFrame, by: str, size: int) -> DataFrame:
+    """(by, k, gap_start, gap_end, window_start, window_end) of the draws ``first`` to ``last`` of ``contigs`` (by, total, step, offset, first, last)."""
+    draws = contigs.where("first <= last").select(by, "total", "step", "offset", F.explode(F.sequence("first", "last")).alias("k"))
+    at = F.pmod(F.col("offset") + F.pmod(F.col("k") * F.col("step"), F.col("total")), F.col("total"))
+    draws = draws.select(by, "k", at.alias("l_start"), (at + 1).alias("l_end"))
+    spans = roomy.select(by, "gap_start", "gap_end", "before", F.col("before").alias("r_start"), (F.col("before") + F.col("room")).alias("r_end"))
+    met = iv.overlap_join(draws, spans, by, 1 << 12)
+    start = F.col("gap_start") + F.col("l_start") - F.col("before")
+    return met.select(by, "k", "gap_start", "gap_end", start.alias("window_start"), (start + size).alias("window_end"))
+
+
+def sample_negatives(gaps: DataFrame, by: str, size: int, count: int, seed: int, keep: Callable[[DataFrame], DataFrame] | None = None, scratch: str | None = None) -> DataFrame:
+    """``count`` windows a contig out of all places that its gaps hold, or as many as there are: by, k, gap_start, gap_end, window_start, window_end.
+
+    All starts that fit are numbered gap after gap and visited in steps that have no divisor in common with their number,
+    from an offset that the seed gives, so no start comes twice and a gap is drawn in proportion to its room; the same on
+    any cluster. ``keep`` gives back those of its windows that may stay (none labelled, none uncovered, say); what it
+    rejects is made up for in rounds of growing length, whose tables go to the folder ``scratch``, until each contig has its
+    number or no start is left.
+    """
+    roomy = rooms(gaps, by, size)
+    totals = roomy.groupBy(by).agg(F.sum("room").alias("total"))
+    contigs = totals.select(by, "total", coprime(F.col("total")).alias("step"), F.pmod(_number(seed, by), F.col("total")).alias("offset"))
+    if keep is None:
+        first = contigs.withColumns({"first": F.lit(0).cast("long"), "last": F.least(F.lit(count).cast("long"), F.col("total")) - 1})
+        return drawn(roomy, first, by, size)
+    spark, found, round_, wanted = gaps.sparkSession, None, 0, contigs.withColumns({"first": F.lit(0).cast("long"), "have": F.lit(0).cast("long")})
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{scratch}/{name}-{round_}")
+        return spark.read.schema(df.schema).parquet(f"{scratch}/{name}-{round_}")
+
+    roomy = table(roomy, "rooms")
+    while True:
+        last = F.least(F.col("first") + (count - F.col("have")) * 2**round_, F.col("total")) - 1
+        wanted = table(wanted.where((F.col("have") < count) & (F.col("first") < F.col("total"))).withColumn("last", last), "contigs")
+        if wanted.isEmpty():
+            break
+        good = table(keep(drawn(roomy, wanted, by, size)), "windows")
+        found = good if found is None else found.unionByName(good)
+        more = good.groupBy(by).agg(F.count(F.lit(1)).alias("more"))
+        wanted = wanted.join(more, by, "left").select(by, "total", "step", "offset", (F.col("last") + 1).alias("first"), (F.col("have") + F.coalesce("more", F.lit(0))).alias("have"))
+        round_ += 1
+    if found is None:
+        return drawn(roomy, contigs.withColumns({"first": F.lit(1).cast("long"), "last": F.lit(0).cast("long")}), by, size)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("k"))  # a contig has fewer than a round's windows too many
+    return found.withColumn("place", place).where(F.col("place") <= count).drop("place")
+
+
+def training_window_starts(clusters: DataFrame, width: int, stride: int, overlap: int, jitter: int = 0, seed: int = 0) -> DataFrame:
+    """Starts of strided windows over each cluster, ending with the last place; a cluster too narrow has one.
+
+    With ``jitter`` each of several starts moves by up to so many bases either way, as the seed has it, within lo and hi.
+    """
     low = F.greatest(F.col("lo"), F.col("first_start") - width + overlap)
     high = F.least(F.col("hi") - width, F.col("last_end") - overlap)
     tiles = F.array_distinct(F.concat(F.sequence(F.least(low, high), high, F.lit(stride).cast("long")), F.array(high)))
     one = F.array(F.least(F.greatest(low, F.col("lo")), F.col("hi") - width))
-    return clusters.select("chrom", "cluster", F.explode(F.when(high < low, one).otherwise(tiles)).alias("window_start"))
+    starts = clusters.select("chrom", "cluster", "lo", "hi", (high >= low).alias("several"), F.explode(F.when(high < low, one).otherwise(tiles)).alias("window_start"))
+    if jitter:
+        moved = F.col("window_start") + F.pmod(_number(seed, "chrom", "cluster", "window_start"), F.lit(2 * jitter + 1)) - jitter
+        moved = F.least(F.greatest(moved, F.col("lo")), F.col("hi") - width)
+        starts = starts.withColumn("window_start", F.when(F.col("several"), moved).otherwise(F.col("window_start")))
+    return starts.select("chrom", "cluster", "window_start")
+
+
+def usable_negatives(windows: DataFrame, labels: DataFrame, covered: DataFrame, key: str, size: int) -> DataFrame:
+    """Windows without a patch labelled 1 (``labels``: key, window_start, label) over which some alignment (``covered``: key, l_start, l_end) lies."""
+    bad = labels.where("label = 1").select(key, "window_start").distinct()
+    spans = windows.select(key, "window_start", F.col("window_start").alias("r_start"), (F.col("window_start") + size).alias("r_end"))
+    good = iv.overlap_join(covered.select(key, "l_start", "l_end"), spans, key, size).select(key, "window_start").distinct()
+    return windows.join(bad, [key, "window_start"], "left_anti").join(good, [key, "window_start"], "left_semi")
 
 
 def patch_labels(windows: DataFrame, variants: DataFrame, noisy: DataFrame, key: str, size: int, patch: int, overlap: int) -> DataFrame:

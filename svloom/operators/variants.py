@@ -63,14 +63,27 @@ def drop_reference_genotypes(variants: DataFrame, tokens: str = "tokens") -> Dat
 
 
 def export(variants: DataFrame, decisions: DataFrame, keep_absent: bool = False) -> DataFrame:
-    """Variants with their decision's genotype and status; ``written`` is false for absent ones that are filtered."""
-    met = variants.join(decisions, "variant_id", "left")
+    """Variants with their decision's genotype and status; ``written`` is false for absent ones that are filtered.
+
+    Of a variant that several clusters decide alike the decision of the last ``cluster`` counts (if there is such a column);
+    different genotypes raise.
+    """
+    met = variants.join(agreed(decisions), "variant_id", "left")
     absent = F.col("final_gt") == "0/0"
     status = F.when(F.col("final_gt").isNull(), "kept_skipped_or_not_evaluated").when(absent & F.lit(not keep_absent), "filtered_absent").when(absent, "kept_absent").otherwise("kept_present")
     met = met.withColumn("status", status)
     return met.withColumn("written", F.col("status") != "filtered_absent").withColumn("final_gt", F.coalesce("final_gt", "original_gt"))
 
 
+def agreed(decisions: DataFrame) -> DataFrame:
+    """One row a variant: that of the last cluster; decisions with different genotypes raise."""
+    last = F.struct(*[c for c in ("cluster", "final_gt") if c in decisions.columns])
+    rows = decisions.groupBy("variant_id").agg(F.max_by(F.struct(*decisions.columns), last).alias("x"), F.min("final_gt").alias("low"), F.max("final_gt").alias("high"))
+    text = F.concat(F.lit("conflicting genotypes of "), F.col("variant_id").cast("string"), F.lit(": "), F.col("low"), F.lit(" and "), F.col("high"))
+    checked = F.when(F.col("low") != F.col("high"), F.raise_error(text)).otherwise(F.col("x.final_gt"))
+    return rows.select(*[checked.alias(c) if c == "final_gt" else F.col(f"x.{c}").alias(c) for c in decisions.columns])
+
+
 def conflicts(decisions: DataFrame) -> DataFrame:
     """Variants to which clusters give different genotypes."""
     return decisions.groupBy("variant_id").agg(F.count_distinct("final_gt").alias("genotypes")).where("genotypes > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from svloom.operators import intervals as iv, labels as lb, variants as vs
 from svloom.plans import views as v
 from svloom.plans.registry import query
+from svloom.sources import storage
 
 #: Flank of clusters, windows and their stride and subwindows, merge distance, distance of label clusters.
 FLANK, WINDOW, STRIDE, SUB, MERGE, LABEL_GAP = 5000, 2000, 500, 200, 1800, 2000
@@ -183,10 +184,33 @@ def sv70_complement_intervals(spark, sf_dir):
     return iv.complement(label_clusters(spark, sf_dir), "chrom", F.lit(LENGTH).cast("long"))
 
 
-@query()
+def number_sql(seed: int, of: str) -> str:
+    """The number of labels._number."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {of})), 1, 8))::bigint & 2147483647)"
+
+
+SEED, NEGATIVES, JITTER = 7, 50, 50
+DRAWN = f"""{GAPS}, r as (select chrom, gap_start, gap_end, gap_end - gap_start - {WINDOW} + 1 as room from v_gaps where gap_end - gap_start >= {WINDOW}),
+p as (select *, coalesce(sum(room) over (partition by chrom order by gap_start rows between unbounded preceding and 1 preceding), 0) as before from r),
+c as (select chrom, sum(room)::bigint as total, greatest(floor(sum(room) * 0.6180339887::double)::bigint, 1) as first_ from r group by 1),
+g as (select chrom, total, coalesce(list_filter(range(first_, first_ + 65), lambda x: gcd(x, total) = 1)[1], 1) as step, {number_sql(SEED, "chrom")} % total as offset_ from c),
+d as (select chrom, k, (offset_ + k * step % total) % total as at_ from g, range(0, 100000) t(k) where k < total),
+v_drawn as (select d.chrom, k, gap_start, gap_end, cast(gap_start + at_ - before as bigint) as window_start, cast(gap_start + at_ - before + {WINDOW} as bigint) as window_end from d join p on p.chrom = d.chrom and at_ >= before and at_ < before + room)"""
+
+
+@query(f"with {DRAWN} select * from v_drawn where k < {NEGATIVES}")
 def sv71_negative_sampling(spark, sf_dir):
     gaps = iv.complement(label_clusters(spark, sf_dir), "chrom", F.lit(LENGTH).cast("long"))
-    return lb.sample_negatives(gaps, "chrom", WINDOW, 50, seed=7)
+    return lb.sample_negatives(gaps, "chrom", WINDOW, NEGATIVES, SEED)
+
+
+@query(f"""with {DRAWN.replace("range(0, 100000)", "range(0, 4000)")}, u as (select chrom, k, gap_start, gap_end, window_start, window_end from v_drawn where {number_sql(1, "window_start")} % 4 = 0)
+select * from u qualify row_number() over (partition by chrom order by k) <= {NEGATIVES}""")
+def sv71_covered_negatives(spark, sf_dir):
+    """Windows of which three in four are rejected, made up for round by round."""
+    gaps = iv.complement(label_clusters(spark, sf_dir), "chrom", F.lit(LENGTH).cast("long"))
+    kept = lambda windows: windows.where(lb._number(1, "window_start") % 4 == 0)
+    return lb.sample_negatives(gaps, "chrom", WINDOW, NEGATIVES, SEED, kept, storage.scratch(spark, "negatives"))
 
 
 @query(f"""with {LABELS}, m as (select *, greatest(lo, first_start - {WINDOW} + 50) as a, least(hi - {WINDOW}, last_end - 50) as b from v_labels),
@@ -194,3 +218,17 @@ s as (select chrom, cluster, unnest(case when b < a then [least(greatest(a, lo),
 select distinct chrom, cluster, cast(s as bigint) as window_start from s""")
 def sv74_training_windows(spark, sf_dir):
     return lb.training_window_starts(label_clusters(spark, sf_dir), WINDOW, STRIDE, 50)
+
+
+@query(f"""with {LABELS}, m as (select *, greatest(lo, first_start - {WINDOW} + 50) as a, least(hi - {WINDOW}, last_end - 50) as b from v_labels),
+s as (select chrom, cluster, lo, hi, b >= a as several, unnest(case when b < a then [least(greatest(a, lo), hi - {WINDOW})] else list_distinct(list_append(range(a, b + 1, {STRIDE}), b)) end) as s from m)
+select chrom, cluster, cast(case when several then least(greatest(s + {number_sql(SEED, "chrom, cluster, s")} % {2 * JITTER + 1} - {JITTER}, lo), hi - {WINDOW}) else s end as bigint) as window_start from s""")
+def sv74_jittered_windows(spark, sf_dir):
+    return lb.training_window_starts(label_clusters(spark, sf_dir), WINDOW, STRIDE, 50, JITTER, SEED)
+
+
+@query(f"""with {v.VARIANTS} select event_id // 3 as variant_id, max(event_id) as cluster, (event_id // 3 % 2) || '/1' as final_gt from v_variants group by event_id // 3""")
+def sv68_agreed_decisions(spark, sf_dir):
+    """Decisions of several clusters on one variant: the last cluster's stays."""
+    variant = F.floor(F.col("event_id") / 3)
+    return vs.agreed(v.variants(spark, sf_dir).select(variant.alias("variant_id"), F.col("event_id").alias("cluster"), F.concat((variant % 2).cast("string"), F.lit("/1")).alias("final_gt")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from svloom.functions import dna
-from svloom.operators import aligner as ar, alignment as al, evidence as ev, haplotypes as hp, intervals as iv, labels as lb, scoring as sc, variants as vs
+from svloom.operators import aligner as ar, alignment as al, assignment as an, evidence as ev, haplotypes as hp, intervals as iv, labels as lb, scoring as sc, variants as vs
 from svloom.sources import fasta, vcf
 
 
@@ -88,9 +88,9 @@ def test_evidence_minimum_and_reads_without_support(spark):
     assert rows == {(1, 1, 2): (4, 0), (1, 2, 2): (4, 0), (2, 1, 1): (1, 0), (2, 1, 2): (1, 0)}
 
 
-def test_ties_balance_in_read_order(spark):
+def test_ties_balance_in_read_order(spark, tmp_path):
     rows = spark.createDataFrame([("p", r, a, b) for r, a, b in [("1", 5, 5), ("2", 5, 5), ("3", 9, 5), ("4", None, None), ("5", 1, 1), ("6", None, 2)]], "pair_id string, read_id string, score1 long, score2 long")
-    r = al.assign_reads(rows).first()
+    r = an.assignment_counts(an.assigned_reads(rows, str(tmp_path / "reads"))).first()
     assert (r.n1, r.n2, r.hap1_better, r.score_ties, r.only_hap2, r.neither_aligned) == (2, 3, 1, 3, 1, 1) and r.n1 + r.n2 + r.neither_aligned == 6
 
 
@@ -128,10 +128,10 @@ def test_reads_align_with_gaps_on_both_strands(spark):
     assert [(r.read_id, r.score, r.forward, [tuple(x) for x in r.cigar], r.nm) for r in rows] == [("a", score, True, cigar, nm)]
 
 
-def test_each_read_has_its_side(spark):
+def test_each_read_has_its_side(spark, tmp_path):
     scores = [("1", 5, 5), ("2", 5, 5), ("3", 9, 5), ("4", None, None), ("5", 1, 1), ("6", None, 2), ("7", 3, 3)]
     rows = spark.createDataFrame([(p, r, a, b) for p in "pq" for r, a, b in scores], "pair_id string, read_id string, score1 long, score2 long")
-    got = al.assigned_reads(rows).orderBy("pair_id", "read_id").collect()
+    got = an.assigned_reads(rows, str(tmp_path / "reads")).orderBy("pair_id", "read_id").collect()
     assert [(r.pair_id, r.read_id, r.score1, r.score2, r.side) for r in got] == [(p, *s, side) for p in "pq" for s, side in zip(scores, [1, 2, 1, None, 2, 2, 1])]
 
 
