@@ -34,7 +34,9 @@ from svloom.llm.shared import Workspace, release_memory, with_small_side
 U = np.uint64
 WIDTH, KGRAM, RUN = 50, 16, 64
 #: Bytes of a bundle; anchors of a counting shard; bytes of a sorting shard; runs of one hash in a sorting shard.
-BUNDLE, COUNTED, SORTED, HOT = 1 << 18, 1 << 20, 1 << 21, 8192
+BUNDLE, COUNTED, SORTED, HOT = 1 << 20, 1 << 20, 1 << 20, 1 << 15
+#: Bytes of a name that travel to its counting shard; a shard is of bounded size, so names of one shard hardly ever agree in them by chance, and if so, runs only travel in vain.
+SENT = 5
 SLICE = 1 << 16
 NOT_SHARED, SHARED, IS_HOT = 0, 1, 2
 _CODE = np.random.default_rng(0x5AFE).integers(0, 2**64, 256, dtype=U)
@@ -60,9 +62,10 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     # smaller than its successor: the next byte that differs is larger; the last suffix is larger than the empty one
     change = np.flatnonzero(data[1:] != data[:-1])
     up = np.concatenate([data[change] < data[change + 1], [False]])
-    smaller = up[np.searchsorted(change, np.arange(n), "left")]
+    smaller = np.repeat(up, np.diff(np.concatenate([[-1], change, [n - 1]])))
+    at = np.int32 if n < 1 << 31 else np.int64
 
-    first = np.flatnonzero(smaller)[::-1]  # of equal padded bytes the shorter suffix goes first
+    first = np.flatnonzero(smaller)[::-1].astype(at)  # of equal padded bytes the shorter suffix goes first
     order = first[np.argsort(words[first], kind="stable")]
     same = words[order[1:]] == words[order[:-1]] if len(order) else np.zeros(0, bool)
     offset = 8
@@ -98,9 +101,9 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
             induced[b].append(part)
         return before[value == byte]
 
-    induced[data[n - 1]].append(np.array([n - 1]))
+    induced[data[n - 1]].append(np.array([n - 1], at))
     for byte in range(256):
-        now = np.concatenate(induced[byte]) if induced[byte] else np.zeros(0, np.int64)
+        now = np.concatenate(induced[byte]) if induced[byte] else np.zeros(0, at)
         while len(now):
             out.append(now)
             now = induce(now, byte)
@@ -148,9 +151,9 @@ def smallest_of_equal(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -
     place = np.full(len(data), -1, np.int64)
     place[starts] = np.arange(len(starts))
     suffixes = suffix_array(data, WIDTH)
-    groups = np.cumsum(common_prefixes(data, suffixes, WIDTH) < WIDTH) - 1
     rows = place[suffixes]
-    groups, rows = groups[rows >= 0], rows[rows >= 0]
+    suffixes, rows = suffixes[rows >= 0], rows[rows >= 0]
+    groups = np.cumsum(common_prefixes(data, suffixes, WIDTH) < WIDTH) - 1
     out = np.empty(len(starts), np.int64)
     if len(rows):
         first = np.flatnonzero(np.diff(groups, prepend=-1))
@@ -257,17 +260,22 @@ def shared_names(bundled: DataFrame, bits: int) -> DataFrame:
                 data, offsets, _ = _unpack(row)
                 names, counts = np.unique(runs(data, offsets)[0], return_counts=True)
                 of = _shards(names, bits)
-                low, counts = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], np.minimum(counts, 255).astype(np.uint8)
+                # byte planes of sorted names: the upper ones compress
+                sent = (names >> U(max(0, 64 - 8 * SENT - bits))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, SENT - 1 :: -1]
+                counts = np.minimum(counts, 255).astype(np.uint8)
                 cuts = _cut(of)
-                yield _rows([[int(of[a]) for a, _ in cuts], [row["bundle"]] * len(cuts), [low[a:b].tobytes() for a, b in cuts], [counts[a:b].tobytes() for a, b in cuts]], ["shard", "bundle", "names", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+                packed = [zstandard.ZstdCompressor(level=1).compress(np.concatenate([sent[a:b].T.ravel(), counts[a:b]]).tobytes()) for a, b in cuts]
+                yield _rows([[int(of[a]) for a, _ in cuts], [row["bundle"]] * len(cuts), [b - a for a, b in cuts], packed], ["shard", "bundle", "size", "names"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
         release_memory()
 
     def count(batches):
         for shard, rows in _grouped(batches):
-            low = np.zeros((sum(len(r["names"]) // 6 for r in rows), 8), np.uint8)
-            low[:, :6] = np.frombuffer(b"".join(r["names"] for r in rows), np.uint8).reshape(-1, 6)
+            ends = np.cumsum([r["size"] for r in rows])
+            low, counts = np.zeros((ends[-1], 8), np.uint8), np.empty(ends[-1], np.int64)
+            for r, b in zip(rows, ends):
+                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["names"]), np.uint8).reshape(SENT + 1, -1)
+                low[b - r["size"] : b, SENT - 1 :: -1], counts[b - r["size"] : b] = planes[:SENT].T, planes[SENT]
             names = low.view("<u8")[:, 0]
-            counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint8).astype(np.int64)
             order = np.argsort(names, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]])) if len(order) else order
             sizes = np.diff(np.append(first, len(order)))
@@ -275,13 +283,12 @@ def shared_names(bundled: DataFrame, bits: int) -> DataFrame:
             flag = np.where(total > HOT, IS_HOT, np.where(sizes > 1, SHARED, NOT_SHARED)).astype(np.uint8)
             flags = np.empty(len(order), np.uint8)
             flags[order] = np.repeat(flag, sizes)
-            ends = np.cumsum([len(r["names"]) // 6 for r in rows])
             for at in range(0, len(rows), 1000):
                 part = range(at, min(at + 1000, len(rows)))
-                yield _rows([[rows[i]["bundle"] for i in part], [shard] * len(part), [flags[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in part]], ["bundle", "shard", "flags"], [pa.int64(), pa.int64(), pa.binary()])
+                yield _rows([[rows[i]["bundle"] for i in part], [shard] * len(part), [flags[ends[i] - rows[i]["size"] : ends[i]].tobytes() for i in part]], ["bundle", "shard", "flags"], [pa.int64(), pa.int64(), pa.binary()])
         release_memory()
 
-    sent = bundled.mapInArrow(send, "shard long, bundle long, names binary, counts binary")
+    sent = bundled.mapInArrow(send, "shard long, bundle long, size long, names binary")
     return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "bundle long, shard long, flags binary")
 
 
@@ -300,7 +307,20 @@ def _grouped(batches):
         yield at, rows
 
 
-RUNS = "shard long, bundle long, starts binary, counts binary, owners binary, bytes binary"
+RUNS = "shard long, bundle long, runs binary"
+
+
+def _pack_runs(starts: np.ndarray, counts: np.ndarray, owners: np.ndarray, data: np.ndarray) -> bytes:
+    parts = [np.array([len(starts)], "<i8"), starts.astype("<i8"), owners.astype("<i8"), counts.astype(np.uint8), data]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+
+
+def _unpack_runs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(first windows in the bundle, numbers of windows, doc_ids, bytes) of runs."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    starts, owners = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
+    return starts, np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64), owners, raw[8 + 17 * n :]
 
 
 def shared_runs(bundled: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
@@ -323,16 +343,15 @@ def shared_runs(bundled: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
             of = np.where(flag[keep] == IS_HOT, -1, _shards(name[keep], bits))
             order = np.argsort(of, kind="stable")
             keep, of = keep[order], of[order]
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], []]
             for a, b in _cut(of):
                 rows_ = keep[a:b]
                 s, c = start[rows_], count[rows_]
                 size = c + WIDTH - 1
                 every = np.repeat(s - np.cumsum(size) + size, size) + np.arange(size.sum())
-                values = [None if of[a] < 0 else int(of[a]), bundle, s.astype("<i8").tobytes(), c.astype(np.uint8).tobytes(), ids[document[rows_]].astype("<i8").tobytes(), data[every].tobytes()]
-                for column, value in zip(out, values):
+                for column, value in zip(out, [None if of[a] < 0 else int(of[a]), bundle, _pack_runs(s, c, ids[document[rows_]], data[every])]):
                     column.append(value)
-            yield _rows(out, ["shard", "bundle", "starts", "counts", "owners", "bytes"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])
+            yield _rows(out, ["shard", "bundle", "runs"], [pa.int64(), pa.int64(), pa.binary()])
         release_memory()
 
     met = texts.unionByName(answers).repartition("bundle").sortWithinPartitions("bundle", "shard")
@@ -346,13 +365,13 @@ def _ranges(hit: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[new], at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else at
 
 
-def _distinct_runs(rows: list[dict], counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def _distinct_runs(blobs: list[bytes], counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Different runs of a shard, and which of them each run is: copies enter the suffix array once."""
     number: dict[bytes, int] = {}
     which, at = np.empty(len(counts), np.int64), 0
     sizes = (counts + WIDTH - 1).tolist()
-    for row in rows:
-        here, blob = 0, row["bytes"]
+    for blob in blobs:
+        here = 0
         while here < len(blob):
             which[at] = number.setdefault(blob[here : here + sizes[at]], len(number))
             here += sizes[at]
@@ -365,11 +384,11 @@ def repeated_in_shards(found: DataFrame) -> DataFrame:
 
     def apply(batches):
         for _, rows in _grouped(batches):
-            counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint8).astype(np.int64)
-            owners, places = (np.frombuffer(b"".join(r[k] for r in rows), "<i8") for k in ("owners", "starts"))
+            unpacked = [_unpack_runs(r["runs"]) for r in rows]
+            places, counts, owners = (np.concatenate([x[k] for x in unpacked]) for k in range(3))
             inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             owner = np.repeat(owners, counts)
-            distinct, which = _distinct_runs(rows, counts)
+            distinct, which = _distinct_runs([x[3] for x in unpacked], counts)
             least_owner = np.full(len(distinct), np.iinfo(np.int64).max)
             np.minimum.at(least_owner, which, owners)
             size = np.array([len(x) for x in distinct], np.int64)
@@ -379,7 +398,7 @@ def repeated_in_shards(found: DataFrame) -> DataFrame:
             least = smallest_of_equal(np.frombuffer(b"".join(distinct), np.uint8), start, np.repeat(least_owner, held))
             hit = least[np.repeat(at[which], counts) + inner] < owner
             place = np.repeat(places, counts) + inner
-            cuts = np.cumsum([0] + [int(np.frombuffer(r["counts"], np.uint8).astype(np.int64).sum()) for r in rows])
+            cuts = np.cumsum([0] + [int(x[1].sum()) for x in unpacked])
             out: list[list] = [[], [], []]
             for r, a, b in zip(rows, cuts[:-1], cuts[1:]):
                 order = np.argsort(place[a:b], kind="stable")
@@ -387,7 +406,8 @@ def repeated_in_shards(found: DataFrame) -> DataFrame:
                 if len(begins):
                     out[0].append(r["bundle"]), out[1].append(begins.astype("<i8").tobytes()), out[2].append(ends.astype("<i8").tobytes())
             yield _rows(out, ["bundle", "starts", "ends"], [pa.int64(), pa.binary(), pa.binary()])
-        release_memory()
+            del unpacked, distinct, least, hit, place, inner, owner
+            release_memory()
 
     dealt = found.where("shard is not null").repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(apply, "bundle long, starts binary, ends binary")
@@ -399,14 +419,13 @@ def repeated_hot(ws: Workspace, found: DataFrame) -> DataFrame:
     def spread(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                counts = np.frombuffer(row["counts"], np.uint8).astype(np.int64)
-                owners, places = np.frombuffer(row["owners"], "<i8"), np.frombuffer(row["starts"], "<i8")
+                places, counts, owners, blob = _unpack_runs(row["runs"])
                 inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 size = counts + WIDTH - 1
                 at = np.repeat(np.cumsum(size) - size, counts) + inner
                 for a in range(0, len(at), SLICE):
                     part = at[a : a + SLICE]
-                    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(row["bytes"], np.uint8), WIDTH)[part]
+                    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(blob, np.uint8), WIDTH)[part]
                     offsets = pa.py_buffer((WIDTH * np.arange(len(part) + 1)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(part), [None, offsets, pa.py_buffer(np.ascontiguousarray(windows))]), pa.array(np.repeat(owners, counts)[a : a + SLICE]), pa.array([row["bundle"]] * len(part), pa.int64()), pa.array((np.repeat(places, counts) + inner)[a : a + SLICE])], names=["window", "owner", "bundle", "place"])
         release_memory()
@@ -469,7 +488,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace | None = None, with_text: bool
     known = bundled.where("known")
     raw = known.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
     flags = shared_names(known, _bits(raw // 18, COUNTED))
-    found = ws.table(shared_runs(known, flags, _bits(raw // 2, SORTED)), "runs")
+    found = ws.table(shared_runs(known, flags, _bits(raw // 4, SORTED)), "runs")
     marks = repeated_in_shards(found)
     if not found.where("shard is null").isEmpty():
         marks = marks.unionByName(repeated_hot(ws, found))
