@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from svloom.functions import dna
-from svloom.operators import evidence as ev, haplotypes as hp
+from svloom.operators import evidence as ev, haplotypes as hp, kmers as km
 from svloom.plans import views as v, variant_queries as vq
 from svloom.plans.registry import query
 from svloom.sources import fasta
@@ -112,10 +112,6 @@ def sv20_fasta_scan(spark, sf_dir):
     return fasta.parse_lines(lines).where("sequence <> ''")
 
 
-def kmer_rows(spark, sf_dir, strands=True):
-    return dna.kmer_rows(v.sequences(spark, sf_dir).select("seq_id", "seq"), "seq", K, strands)
-
-
 KMERS = v.SEQUENCES + f", v_kmer as (select seq_id, substring(seq, i, {K}) as kmer from (select seq_id, seq, unnest(range(1, length(seq) - {K} + 2)) as i from v_seq)), v_canon as (select seq_id, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer, kmer as plain from v_kmer)"
 RUNS = "list_max(list_transform(regexp_extract_all({0}, 'A+|C+|G+|T+'), lambda x: length(x)))"
 MOST = "greatest(" + ", ".join(f"{K} - length(replace(plain, '{b}', ''))" for b in "ACGT") + ")"
@@ -124,7 +120,8 @@ LOW = f"({MOST} = {K} or 10 * {MOST} >= {8 * K} or 10 * {RUNS.format('plain')} >
 
 @query(f"with {KMERS} select kmer, count(*) as n from v_canon group by 1")
 def sv21_canonical_kmers(spark, sf_dir):
-    return kmer_rows(spark, sf_dir).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    bases = v.table(spark, sf_dir, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
+    return km.spelled(km.counts(v.sequences(spark, sf_dir), "seq", K, 1 + bases // km.SHARD), K)
 
 
 @query(f"with {v.SEQUENCES} select seq_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') as compressed from v_seq")
@@ -139,13 +136,13 @@ def sv23_max_homopolymer_run(spark, sf_dir):
 
 @query(f"with {KMERS} select seq_id, count(*) as n, count(*) filter (where {LOW}) as low from v_canon group by 1")
 def sv24_low_complexity(spark, sf_dir):
-    return kmer_rows(spark, sf_dir).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(dna.low_complexity(F.col("kmer"))).alias("low"))
+    return km.complexity(v.sequences(spark, sf_dir).select("seq_id", "seq"), "seq", K).where("n > 0")
 
 
 @query(f"with {KMERS} select distinct seq_id, kmer from v_canon where not {LOW}")
 def sv25_kmers(spark, sf_dir):
-    k = F.col("kmer")
-    return kmer_rows(spark, sf_dir).where(dna.valid(k) & ~dna.low_complexity(k)).distinct()
+    """Each k-mer once a sequence, as a sequence is one row; nothing is shuffled."""
+    return km.spelled(km.of_rows(v.sequences(spark, sf_dir).select("seq_id", "seq"), "seq", K, distinct=True, complex_only=True), K)
 
 
 CONTEXTS = v.SEQUENCES + ", v_ctx as (select seq_id, case when greatest(0, 100 - 60) < least(length(seq), 150 + 60) then substring(seq, 41, least(length(seq), 210) - 40) else '' end as context from v_seq)"
