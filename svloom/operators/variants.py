@@ -87,3 +87,52 @@ def agreed(decisions: DataFrame) -> DataFrame:
 def conflicts(decisions: DataFrame) -> DataFrame:
     """Variants to which clusters give different genotypes."""
     return decisions.groupBy("variant_id").agg(F.count_distinct("final_gt").alias("genotypes")).where("genotypes > 1")
+
+
+def set_genotypes(value: Column, genotype: Column) -> Column:
+    """A record's line in which all samples have this genotype; other fields stay, and GT comes first where FORMAT lacked it."""
+    part = F.split(value, "\t")
+    keys = F.split(F.get(part, F.lit(8)), ":")
+    at = F.array_position(keys, F.lit("GT")).cast("int")
+    samples = F.slice(part, F.lit(10), F.greatest(F.size(part) - 9, F.lit(0)))
+
+    def changed(sample: Column) -> Column:
+        fields = F.split(sample, ":")
+        placed = F.transform(fields, lambda x, i: F.when(i == at - 1, genotype).otherwise(x))
+        return F.array_join(F.when(at > 0, placed).otherwise(F.concat(F.array(genotype), fields)), ":")
+
+    keyed = F.when(at > 0, F.get(part, F.lit(8))).otherwise(F.concat(F.lit("GT:"), F.get(part, F.lit(8))))
+    line = F.array_join(F.concat(F.slice(part, 1, 8), F.array(keyed), F.transform(samples, changed)), "\t")
+    return F.when(F.size(part) > 9, line).otherwise(value)
+
+
+def original_genotype(value: Column) -> Column:
+    """Alleles of a line's first sample joined by /, NA without samples or GT."""
+    part = F.split(value, "\t")
+    at = F.array_position(F.split(F.get(part, F.lit(8)), ":"), F.lit("GT")).cast("int")
+    gt = F.get(F.split(F.get(part, F.lit(9)), ":"), at - 1)
+    return F.when((F.size(part) > 9) & (at > 0), F.replace(F.coalesce(gt, F.lit(".")), F.lit("|"), F.lit("/"))).otherwise("NA")
+
+
+AUDIT = ["variant_id", "vcf_status", "original_gt", "final_gt", "cluster", "pair", "pair_score", "original_pair_gt", "hap1_score", "hap2_score", "reason"]
+
+
+def export_lines(lines: DataFrame, decisions: DataFrame, keep_absent: bool = False) -> DataFrame:
+    """Each line of a VCF (line_no, value; headers left out) with what becomes of it: value (null if it is filtered) and the columns of AUDIT as text.
+
+    ``decisions``: variant_id, cluster, pair, pair_score, original_pair_gt, final_gt, hap1_score, hap2_score, reason; equal
+    ones of several clusters collapse, different genotypes raise. A genotype that isn't diploid raises.
+    """
+    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).withColumn("variant_id", F.get(F.split("value", "\t"), F.lit(2)))
+    met = rows.join(agreed(decisions).withColumnRenamed("final_gt", "decided"), "variant_id", "left")
+    diploid = F.when(F.col("decided").rlike(r"^[0-9]+[/|][0-9]+$"), F.replace("decided", F.lit("|"), F.lit("/"))).otherwise(F.raise_error(F.concat(F.lit("not a diploid genotype: "), F.col("decided"))))
+    found, absent = F.col("decided").isNotNull(), F.col("decided") == "0/0"
+    status = F.when(~found, "kept_skipped_or_not_evaluated").when(absent & F.lit(not keep_absent), "filtered_absent").when(absent, "kept_absent").otherwise("kept_present")
+    value = F.when(~found, F.col("value")).when(status == "filtered_absent", F.lit(None).cast("string")).otherwise(set_genotypes(F.col("value"), diploid))
+    number = lambda c: F.format_string("%.6f", F.col(c).cast("double"))
+    shown = lambda c: F.when(found, c).otherwise("NA")
+    return met.select(
+        "line_no", value.alias("value"), "variant_id", status.alias("vcf_status"), original_genotype(F.col("value")).alias("original_gt"),
+        F.when(found, F.col("decided")).otherwise(original_genotype(F.col("value"))).alias("final_gt"), shown(F.col("cluster").cast("string")).alias("cluster"), shown(F.col("pair")).alias("pair"), shown(number("pair_score")).alias("pair_score"),
+        shown(F.col("original_pair_gt")).alias("original_pair_gt"), shown(number("hap1_score")).alias("hap1_score"), shown(number("hap2_score")).alias("hap2_score"), F.when(found, F.col("reason")).otherwise("not_evaluated").alias("reason"),
+    )

@@ -8,17 +8,44 @@ from svloom.functions import dna
 from svloom.operators import evidence as ev, haplotypes as hp, kmers as km
 from svloom.plans import views as v, variant_queries as vq
 from svloom.plans.registry import query
-from svloom.sources import fasta
+from svloom.sources import fasta, indexed_fasta, storage
 
 K, CHUNK = 21, 500
 
 
-@query(f"""with {v.SEQUENCES} select seq_id, seq_id % 100 as s, seq_id % 100 + 250 + seq_id % 500 as e, substring(seq, cast(seq_id % 100 + 1 as bigint), cast(250 + seq_id % 500 as bigint)) as slice from v_seq where length(seq) >= seq_id % 100 + 250 + seq_id % 500""")
+SLICES = v.SEQUENCES + ", v_reg as (select seq_id, seq, least(seq_id % 100, length(seq)) as s, least(seq_id % 100 + 250 + seq_id % 500, length(seq)) as e from v_seq)"
+
+
+def regions(spark, sf_dir):
+    """One region a sequence, within its bounds."""
+    n = F.col("seq_id")
+    return v.sequences(spark, sf_dir).select("seq_id", F.least(n % 100, F.length("seq")).alias("s"), F.least(n % 100 + 250 + n % 500, F.length("seq")).alias("e"))
+
+
+@query(f"with {SLICES} select seq_id, s, e, substring(seq, cast(s + 1 as bigint), cast(e - s as bigint)) as slice from v_reg")
 def sv08_reference_slice(spark, sf_dir):
-    seqs = v.sequences(spark, sf_dir)
-    chunks = fasta.to_chunks(seqs.select(F.col("seq_id").alias("contig"), "seq"), CHUNK)
-    regions = seqs.select(F.col("seq_id").alias("contig"), (F.col("seq_id") % 100).alias("s"), (F.col("seq_id") % 100 + 250 + F.col("seq_id") % 500).alias("e"), F.length("seq").alias("length"))
-    return fasta.slices(chunks, regions.where("e <= length").drop("length"), CHUNK).withColumnRenamed("contig", "seq_id")
+    chunks = fasta.to_chunks(v.sequences(spark, sf_dir).select(F.col("seq_id").alias("contig"), "seq"), CHUNK)
+    return fasta.slices(chunks, regions(spark, sf_dir).withColumnRenamed("seq_id", "contig"), CHUNK).withColumnRenamed("contig", "seq_id")
+
+
+def fasta_parts(spark, sf_dir):
+    """The sequences as a folder of indexed FASTA files."""
+    path = storage.scratch(spark, "fasta")
+    indexed_fasta.write_fasta(v.sequences(spark, sf_dir).select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("name"), F.lower("seq").alias("sequence")), path, 60)
+    return path
+
+
+@query(f"with {SLICES} select 's' || seq_id as contig, s, e, substring(seq, cast(s + 1 as bigint), cast(e - s as bigint)) as slice from v_reg")
+def sv08_indexed_slices(spark, sf_dir):
+    """Slices read from indexed files by their bytes."""
+    wanted = regions(spark, sf_dir).select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("contig"), "s", "e")
+    return indexed_fasta.fetch_slices(wanted, fasta_parts(spark, sf_dir), start="s", end="e")
+
+
+@query(f"with {v.SEQUENCES} select 's' || seq_id as contig, cast(i // 1000 as int) as chunk, i as chunk_start, substring(seq, i + 1, 1000) as piece from (select *, unnest(range(0, length(seq), 1000)) as i from v_seq)")
+def sv20_fasta_chunks(spark, sf_dir):
+    """Chunks of 1,000 bases from indexed files, in tasks of 100,000."""
+    return indexed_fasta.read_chunks(spark, fasta_parts(spark, sf_dir), 1000, split_bases=100_000)
 
 
 CHOICES = f"""{vq.CLUSTERED}, v_sites as (select *, cast(case when a1 = a2 or phased then 2 else 3 end as int) as nch, row_number() over (partition by chrom, cluster order by start_pos, end_pos, event_id) as ord from v_clustered)"""

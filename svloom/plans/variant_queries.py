@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from svloom.operators import intervals as iv, labels as lb, variants as vs
 from svloom.plans import views as v
 from svloom.plans.registry import query
-from svloom.sources import storage
+from svloom.sources import storage, vcf_sink
 
 #: Flank of clusters, windows and their stride and subwindows, merge distance, distance of label clusters.
 FLANK, WINDOW, STRIDE, SUB, MERGE, LABEL_GAP = 5000, 2000, 500, 200, 1800, 2000
@@ -232,3 +232,26 @@ def sv68_agreed_decisions(spark, sf_dir):
     """Decisions of several clusters on one variant: the last cluster's stays."""
     variant = F.floor(F.col("event_id") / 3)
     return vs.agreed(v.variants(spark, sf_dir).select(variant.alias("variant_id"), F.col("event_id").alias("cluster"), F.concat((variant % 2).cast("string"), F.lit("/1")).alias("final_gt")))
+
+
+@query(f"""with {v.VARIANTS}, d as (select 'v' || event_id as variant_id, least(a1, a2) || '/' || greatest(a1, a2) as g, event_id % 9 as cluster from v_variants where sv_type in ('INS','DEL') and event_id % 3 <> 0),
+t as (select event_id, 'v' || event_id as id, chrom, start_pos, case when event_id % 7 = 0 then '.' else cast(a1 as varchar) end || case when phased then '|' else '/' end || a2 as gt, '.|' || a2 as second from v_variants)
+select t.event_id as line_no, id as variant_id, case when g is null then 'kept_skipped_or_not_evaluated' when g = '0/0' then 'filtered_absent' else 'kept_present' end as vcf_status, replace(gt, '|', '/') as original_gt, coalesce(g, replace(gt, '|', '/')) as final_gt, coalesce(cluster::varchar, 'NA') as cluster,
+ case when g is null then 'NA' else printf('%.6f', t.event_id / 8.0::double) end as pair_score, case when g is null then '7:' || gt || '	5:' || second when g <> '0/0' then '7:' || g || '	5:' || g end as samples from t left join d on d.variant_id = t.id""")
+def sv68_export_lines(spark, sf_dir):
+    """The whole way: lines, decisions that two clusters share, an indexed VCF with its header, read back and joined to the audit rows."""
+    rows = v.variants(spark, sf_dir)
+    name, half = F.concat(F.lit("v"), F.col("event_id").cast("string")), (F.col("event_id") / 8).alias("pair_score")
+    gt = F.concat(F.when(F.col("event_id") % 7 == 0, ".").otherwise(F.col("a1").cast("string")), F.when(F.col("phased"), "|").otherwise("/"), F.col("a2").cast("string"))
+    line = F.concat_ws("\t", "chrom", (F.col("start_pos") + 1).cast("string"), name, F.lit("N"), F.lit("<X>"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("DP:GT"), F.concat(F.lit("7:"), gt), F.concat(F.lit("5:.|"), F.col("a2").cast("string")))
+    lines = rows.select(F.col("event_id").alias("line_no"), "chrom", "start_pos", line.alias("value"))
+    picked = indels(spark, sf_dir).where("event_id % 3 <> 0")
+    decisions = picked.select(name.alias("variant_id"), (F.col("event_id") % 9).alias("cluster"), F.lit("H1__H2").alias("pair"), half, F.lit("0/1").alias("original_pair_gt"), F.concat_ws("/", F.least("a1", "a2"), F.greatest("a1", "a2")).alias("final_gt"), half.alias("hap1_score"), half.alias("hap2_score"), F.lit("unchanged").alias("reason"))
+    decisions = decisions.unionByName(decisions.withColumn("cluster", F.lit(-1).cast("long")))
+    out = vs.export_lines(lines.select("line_no", "value"), decisions)
+    path = storage.scratch(spark, "vcf")
+    written = out.where("value is not null").join(lines.select("line_no", "chrom", "start_pos"), "line_no")
+    vcf_sink.write_vcf(written, path, "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n", ["chrom", "start_pos", "line_no"])
+    part = F.split("value", "\t")
+    back = spark.read.text(f"{path}/part-*.vcf.gz").where(~F.startswith("value", F.lit("#"))).select(F.get(part, F.lit(2)).alias("variant_id"), F.array_join(F.slice(part, 10, 2), "\t").alias("samples"))
+    return out.join(back, "variant_id", "left").select("line_no", "variant_id", "vcf_status", "original_gt", "final_gt", "cluster", "pair_score", "samples")

@@ -38,14 +38,21 @@ def to_chunks(contigs: DataFrame, size: int) -> DataFrame:
 
 
 def slices(chunks: DataFrame, regions: DataFrame, size: int) -> DataFrame:
-    """(contig, s, e, slice) of regions within their contigs: an equi-join on (contig, chunk), then the chunks' parts in order."""
-    wanted = regions.where("s < e").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("s") / size).cast("int"), F.floor((F.col("e") - 1) / size).cast("int"))))
-    met = wanted.join(chunks, ["contig", "chunk"])
+    """(contig, s, e, slice) of regions: an equi-join on (contig, chunk), then the chunks' parts in order.
+
+    A region that its contig doesn't hold, or whose start lies behind its end, raises; an empty one has an empty slice.
+    """
+    first_chunk, last_chunk = F.floor(F.col("s") / size), F.floor(F.greatest(F.col("e") - 1, F.col("s")) / size)
+    wanted = regions.withColumn("chunk", F.explode(F.sequence(first_chunk.cast("int"), last_chunk.cast("int"))))
+    met = wanted.join(chunks, ["contig", "chunk"], "left")
     first = F.greatest(F.lit(0).cast("long"), F.col("s") - F.col("chunk") * size)
     last = F.least(F.lit(size).cast("long"), F.col("e") - F.col("chunk") * size)
-    met = met.withColumn("part", F.substring("piece", (first + 1).cast("int"), (last - first).cast("int")))
-    whole = met.groupBy("contig", "s", "e").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
-    return whole.select("contig", "s", "e", F.upper(F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("slice"))
+    part = F.when(last > first, F.substring(F.coalesce("piece", F.lit("")), (first + 1).cast("int"), (last - first).cast("int"))).otherwise("")
+    whole = met.withColumn("part", part).groupBy("contig", "s", "e").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
+    whole = whole.select("contig", "s", "e", F.upper(F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("slice"))
+    text = F.concat(F.lit("no bases for "), F.col("contig").cast("string"), F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
+    bad = (F.col("s") < 0) | (F.col("s") > F.col("e")) | (F.length("slice") != F.col("e") - F.col("s"))
+    return whole.withColumn("slice", F.when(bad, F.raise_error(text)).otherwise(F.col("slice")))
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
