@@ -36,7 +36,7 @@ WIDTH, KGRAM, RUN = 50, 16, 64
 #: Bytes of a bundle; anchors of a counting shard; bytes of a sorting shard; runs of one hash in a sorting shard.
 BUNDLE, COUNTED, SORTED, HOT = 1 << 20, 1 << 20, 1 << 20, 1 << 15
 #: Bytes of a name that travel to its counting shard; a shard is of bounded size, so names of one shard hardly ever agree in them by chance, and if so, runs only travel in vain.
-SENT = 5
+SENT = 4
 SLICE = 1 << 16
 NOT_SHARED, SHARED, IS_HOT = 0, 1, 2
 _CODE = np.random.default_rng(0x5AFE).integers(0, 2**64, 256, dtype=U)
@@ -224,7 +224,7 @@ def bundles(docs: DataFrame) -> DataFrame:
                 texts = part.column(1)
                 for a, b in bw.slices(texts, BUNDLE):
                     data, offsets = bw.column(texts.slice(a, b - a))
-                    packed = zstandard.ZstdCompressor(level=3).compress(data.tobytes()) if len(data) else b""
+                    packed = zstandard.ZstdCompressor(level=6).compress(data.tobytes()) if len(data) else b""
                     ids = part.column(0).slice(a, b - a).fill_null(0).to_numpy().astype("<i8").tobytes()
                     rows = [[packed], [np.diff(offsets).astype("<i8").tobytes()], [ids], [len(data)], [known]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], names=["bytes", "sizes", "ids", "raw", "known"])
