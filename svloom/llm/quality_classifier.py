@@ -21,8 +21,8 @@ from svloom.llm import bytewords as bw
 
 EMBED, WIDTH, FILTERS, STRIDE = 6, 8, 24, 2
 CHUNK = 512
-#: Bound of the training sample: labelled rows, and bytes of one text (longer texts are scored but not learnt from).
-MAX_TRAIN_DOCS, MAX_TRAIN_TEXT = 2_000, 1 << 14
+#: Bound of the training sample: labelled rows, and chunks of one text; a longer text gives this many chunks, spread evenly from its first to its last.
+MAX_TRAIN_DOCS, MAX_TRAIN_CHUNKS = 2_000, 32
 EPOCHS, BATCH, RATE = 6, 16, 0.01
 THRESHOLD = 0.3
 PAD = 0
@@ -113,11 +113,30 @@ class Net:
             self.p[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
+def sampled_bytes(labelled: DataFrame) -> DataFrame:
+    """(label, at, bytes) of the sample: whole texts, or of longer ones MAX_TRAIN_CHUNKS chunks spread over all of it."""
+
+    def apply(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(2).to_pylist():
+                data = (text or "").encode()
+                chunks = -(-len(data) // CHUNK)
+                if chunks > MAX_TRAIN_CHUNKS:
+                    picked = np.linspace(0, chunks - 1, MAX_TRAIN_CHUNKS).round().astype(int)
+                    data = b"".join(data[i * CHUNK : i * CHUNK + CHUNK] for i in picked)
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["label", "at", "bytes"])
+
+    rows = labelled.select(F.col("label").cast("double").alias("label"), F.xxhash64("id", F.lit(6)).alias("at"), "text")
+    return rows.mapInArrow(apply, "label double, at long, bytes binary")
+
+
 def train(labelled: DataFrame) -> dict[str, np.ndarray] | None:
     """Weights from ``labelled`` (id, text, label), a sample bounded by toxicity.labelled; both kinds are needed."""
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "label", F.xxhash64("id", F.lit(6)).alias("at")).toArrow()
-    rows = rows.sort_by([("at", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    texts, labels = rows.column("text").to_pylist(), rows.column("label").to_pylist()
+    rows = sampled_bytes(labelled).toArrow()
+    rows = rows.sort_by([("at", "ascending"), ("label", "ascending"), ("bytes", "ascending")])
+    texts, labels = rows.column("bytes").to_pylist(), rows.column("label").to_pylist()
     if len(set(labels)) < 2:
         return None
     net, y, rng = Net(), np.array(labels, np.float32), np.random.default_rng(7)
@@ -125,7 +144,9 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray] | None:
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
-            net.step(*bw.column(pa.array([texts[i] for i in some], pa.string())), y[some], RATE * (1 - 0.8 * epoch / EPOCHS))
+            data = [texts[i] for i in some]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+            net.step(np.frombuffer(b"".join(data), np.uint8), offsets, y[some], RATE * (1 - 0.8 * epoch / EPOCHS))
     return net.p
 
 

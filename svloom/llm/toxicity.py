@@ -2,8 +2,8 @@
 
 Nulls and empties: a null text counts as empty; an empty text has no features and gets the bias alone.
 Rows are scored one by one, so repeated rows, ties and extra columns need no care; an empty table gives an
-empty result. Without any usable label the model is empty and every score is the prior 0. A text is hashed whole,
-in memory of some 60 bytes a byte of text for its batch (a long text is a batch of its own).
+empty result. Without any usable label the model is empty and every score is the prior 0. Long texts are learnt from and
+scored like others, whole: they are hashed in pieces of PIECE bytes, which take some 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from svloom.llm import bytewords as bw
 from svloom.llm.shared import Workspace, release_memory, sample_ids, with_small_side
 
 BITS = 20
-#: Bound of the training sample: labelled rows, and bytes of one text (longer texts are scored but not learnt from); passes over it.
-MAX_TRAIN_DOCS, MAX_TRAIN_TEXT, EPOCHS = 6_000, 1 << 15, 3
+#: Bound of the training sample, in labelled rows (a row's distinct features are at most 2^BITS numbers, however long its text); passes over it.
+MAX_TRAIN_DOCS, EPOCHS = 6_000, 3
 #: FTRL-proximal: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.5
 THRESHOLD = 0.7
@@ -42,13 +42,43 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x & keep for x, _ in parts]).astype(np.int64), np.concatenate([x for _, x in parts])
 
 
+#: Bytes of a long text whose words are hashed at once.
+PIECE = 1 << 20
+
+
 def features(text: str | None) -> np.ndarray:
-    """Distinct feature numbers of one text."""
-    return np.unique(hashed(pa.array([text], pa.string()))[0])
+    """Distinct feature numbers of one text; a long one in pieces, each with the two words before it."""
+    if text is None or len(text) <= PIECE:
+        return np.unique(hashed(pa.array([text], pa.string()))[0])
+    seen, keep, before = np.zeros(1 << BITS, bool), np.uint64((1 << BITS) - 1), np.zeros(0, np.uint64)
+    for piece in pieces(np.frombuffer(text.encode(), np.uint8)):
+        hashes, _, stems = bw.words(piece, np.array([0, len(piece)]), ends=bw.NOT_ALNUM, stems=STEMS)
+        row = np.concatenate([before, hashes])
+        second, before = row * np.uint64(0x9FB21C651E98DF25), row[-2:]
+        parts = [hashes] + [x + np.uint64(k) for k, x in zip(STEMS, stems)] + [row[:-gap] + second[gap:] + np.uint64(gap) for gap in (1, 2)]
+        for part in parts:
+            seen[bw.mix(part) & keep] = True
+    return np.flatnonzero(seen)
+
+
+def pieces(data: np.ndarray):
+    """The bytes in parts of about PIECE that end between words."""
+    at = 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        gap = np.flatnonzero(bw.NOT_ALNUM[data[end : end + (1 << 16)]]) if end < len(data) else [0]
+        while not len(gap) and end < len(data):
+            end = min(end + (1 << 16), len(data))
+            gap = np.flatnonzero(bw.NOT_ALNUM[data[end : end + (1 << 16)]]) if end < len(data) else [0]
+        end += int(gap[0]) if len(gap) else 0
+        yield data[at:end]
+        at = end
 
 
 def margins(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """Sum of the weights in ``table`` over the distinct features of each text."""
+    if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_py()) > PIECE:
+        return table[features(texts[0].as_py())].sum(keepdims=True)
     at, of = hashed(texts)
     live = table[at] != 0
     keys = np.unique((of[live] << BITS) | at[live])
@@ -129,20 +159,19 @@ def scores(docs: DataFrame, model, text: str = "text", score: str = "score") ->
     return docs.select(F.col(text).alias("__text"), *others).mapInArrow(apply, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int | None = None, folds: int = 3, limit: int = MAX_TRAIN_DOCS, longest: int = MAX_TRAIN_TEXT) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int | None = None, folds: int = 3, limit: int = MAX_TRAIN_DOCS) -> DataFrame:
     """(id, text, label) of at most ``limit`` labelled documents; those whose crc32(doc_id) mod ``folds`` is ``fold`` are left out.
 
-    Ids are chosen first, without texts, among those that have both a label and a document of at most ``longest``
-    bytes; then the chosen few, whose number is bounded, are broadcast to fetch their texts. Of several documents
-    with one id the smallest text counts; a document with both labels counts once for each.
+    Ids are chosen first, without texts, among those that have both a label and a document, of whatever length; then
+    the chosen few, whose number is bounded, are broadcast to fetch their texts. Of several documents with one id the
+    smallest text counts; a document with both labels counts once for each.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
     known = known.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label"))
-    fitting = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
-    both = fitting.select(F.col("doc_id").alias("id")).join(with_small_side(spark, known, known.count()), "id").distinct()
+    both = docs.select(F.col("doc_id").alias("id")).join(with_small_side(spark, known, known.count()), "id").distinct()
     chosen = sample_ids(Workspace(spark, "labelled").table(both, "ids"), limit, SEED)
-    texts = fitting.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
     return texts.groupBy("id", "label").agg(F.min("text").alias("text"))

@@ -1,5 +1,6 @@
 """Packing, quality rules, classifiers, SentencePiece and language ID on small fixtures."""
 
+import random
 import re
 import time
 import zlib
@@ -349,12 +350,11 @@ def test_language_posterior_by_hand(spark):
             assert r.lang == langs[int(np.argmax(score))] and r.posterior == pytest.approx(max(p / p.sum()), abs=1e-5)
 
 
-def test_a_long_text_leaves_the_training_as_it_is(spark):
+def test_the_sample_of_labelled_documents(spark):
     words = ["good plain words here", "bad!!! $$$ buy", "fine calm prose again", "spam spam &&& ###"]
     rows = [(i, words[i % 4] + f" {i}") for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, None), (None, 1)], "doc_id long, quality int")
-    huge = [(100 + i, "x " * 20_000) for i in range(4)]
-    one, other = (tx.labelled(spark.createDataFrame(r, "doc_id long, text string"), labels, "quality", fold=0, folds=5, limit=40, longest=qc.MAX_TRAIN_TEXT) for r in (rows, huge + rows + rows))
+    one, other = (tx.labelled(spark.createDataFrame(r, "doc_id long, text string"), labels, "quality", fold=0, folds=5, limit=40) for r in (rows, rows + rows))
     plain = sorted((r.id, r.label, r.text) for r in one.collect())
     # labels without a document take no place in the sample; repeated rows count once
     assert len(plain) == 40 and plain == sorted((r.id, r.label, r.text) for r in other.collect())
@@ -367,6 +367,26 @@ def test_a_long_text_leaves_the_training_as_it_is(spark):
     assert chosen == set(expected)
 
 
+def test_long_texts_are_learnt_from_as_a_whole(spark, monkeypatch):
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choice("abcdeé,.") for _ in range(rnd.randrange(1, 9))) for _ in range(2000))
+    for t in (text, "a" * 9000 + " b c", "," * 500, ""):
+        whole = tx.features(t).tolist()
+        for size in (3, 100, 4096):
+            monkeypatch.setattr(tx, "PIECE", size)
+            assert tx.features(t).tolist() == whole
+            monkeypatch.undo()
+    # a word that only long documents hold, far behind their start, tells toxic ones
+    docs = spark.createDataFrame([(i, "plain words " * 9000 + ("vile" if i % 2 else "kind") + " plain words" * 3) for i in range(40)], "doc_id long, text string")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(tx, "L1", 0.1)
+    model = tx.train(tx.labelled(docs, labels, "toxic", fold=1, folds=3))
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in tx.scores(docs, model).collect())
+    chunks = {r.at: r.bytes for r in qc.sampled_bytes(docs.selectExpr("doc_id as id", "text", "0 as label")).collect()}
+    size = len(docs.first().text)
+    assert len(chunks) == 40 and all(len(x) == (qc.MAX_TRAIN_CHUNKS - 1) * qc.CHUNK + size % qc.CHUNK and x.endswith(b"plain words") for x in chunks.values())
+
+
 def test_network_against_plain_loops(spark):
     rng = np.random.default_rng(3)
     net = qc.Net()
