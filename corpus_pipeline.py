@@ -1,4 +1,10 @@
-"""Corpus pipeline: toxicity, quality rules, MinHash near-dedup, packing; each stage's output is written and read again."""
+"""Corpus pipeline: toxicity, quality rules, MinHash near-dedup, packing; each stage's output is written and read again.
+
+A null text counts as empty in every stage: the classifier gives it its bias, the quality rules reject it for want of
+words. Repeated rows are judged alike; near_dedup keeps one. Rows without doc_id are judged by their own texts. Labels without a document
+count nowhere; without labels of a kind no row is rejected as toxic. Ties stay in (a score on the threshold is toxic). Texts of
+any length are judged whole. An empty table passes as such. Extra columns go along up to packing.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +52,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = again.select("first.*")
     repeated = with_small_side(spark, repeated, repeated.count())
     once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return left.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
+    out = left.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
+    out._svloom_tables = ws  # for run(), which writes the rows and then needs these tables no more
+    return out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +71,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = ws.table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        left = stage(spark, docs, sf_dir)
+        before, docs = docs, ws.table(left, name)
+        if hasattr(left, "_svloom_tables"):
+            left._svloom_tables.clear()
+        if k:
+            ws.drop(before)
     return docs
