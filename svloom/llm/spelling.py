@@ -166,6 +166,8 @@ def near_words(ws: Workspace, words: DataFrame) -> DataFrame:
                 if keys[a, 2] == 0:
                     own[0].extend(names), own[1].extend(batch.column(4).slice(a, b - a).to_pylist())
                     continue
+                if not own[0]:
+                    continue  # no word fell into this part
                 shard = shard or Shard(*own)
                 rows, count, n, best = shard.near(names)
                 found.append(([names[i] for i in rows], count, n, best))
