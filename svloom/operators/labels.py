@@ -160,11 +160,31 @@ def parse_sfs(lines: DataFrame) -> DataFrame:
     """
     name = F.get(F.split("text", "\t"), F.lit(0))
     filled = F.last(F.when(name != "*", name), ignorenulls=True).over(Window.partitionBy("block").orderBy("line_no"))
-    tuples = F.regexp_extract_all("text", F.lit(r"\(([^()]*)\)"), F.lit(1))
-    rows = lines.select("block", "line_no", filled.alias("read_id"), tuples.alias("tuples")).where(F.size("tuples") >= 2)
-    rows = rows.select("line_no", "read_id", F.explode(F.slice("tuples", F.lit(2), F.size("tuples"))).alias("t"))
+    return sfs_tuples(lines.select("line_no", filled.alias("read_id"), "text"))
+
+
+def fill_names(lines: DataFrame) -> DataFrame:
+    """(file, split, line_no, read_id, text) of lines (file, split, line_no, text) whose name is that of the last line before with one.
+
+    A split fills its own lines and takes the last name of the splits before it in the file, which are one small row each.
+    """
+    name = F.get(F.split("text", "\t"), F.lit(0))
+    named = lines.withColumn("__name", F.when((name != "*") & (F.length("text") > 0), name))
+    last = named.where("__name is not null").groupBy("file", "split").agg(F.max_by("__name", "line_no").alias("__last"))
+    every = named.select("file", "split").distinct().join(last, ["file", "split"], "left")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("file", "split", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    here = F.last("__name", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("line_no"))
+    return named.join(carried, ["file", "split"]).select("file", "split", "line_no", F.coalesce(here, "__carried").alias("read_id"), "text")
+
+
+def sfs_tuples(named: DataFrame) -> DataFrame:
+    """(columns of ``named`` but text, contig, start_pos, end_pos): the tuples of each line but the first."""
+    kept = [c for c in named.columns if c != "text"]
+    rows = named.select(*kept, F.regexp_extract_all("text", F.lit(r"\(([^()]*)\)"), F.lit(1)).alias("tuples")).where(F.size("tuples") >= 2)
+    rows = rows.select(*kept, F.explode(F.slice("tuples", F.lit(2), F.size("tuples"))).alias("t"))
     part = F.transform(F.split("t", ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
-    rows = rows.select("line_no", "read_id", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("start_pos"), F.get(part, F.lit(2)).cast("long").alias("end_pos"))
+    rows = rows.select(*kept, F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("long").alias("start_pos"), F.get(part, F.lit(2)).cast("long").alias("end_pos"))
     return rows.where("contig <> '' and start_pos <> 0 and end_pos <> 0")
 
 
