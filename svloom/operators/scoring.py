@@ -163,6 +163,25 @@ def gate_rescue(state: Column, score: Column, sv_id: Column, present_ins: float,
     return F.when((state == 1) & (score > present), 0).when((state == 0) & (score >= absent), 1).otherwise(state).cast("int")
 
 
+def best_pair_sites(ranked: DataFrame, haplotypes: DataFrame, scores: DataFrame) -> DataFrame:
+    """The sites of each cluster's first pair, for ``cluster_decisions``.
+
+    ``ranked``: cluster, rank, pair_id, hap1_id, hap2_id; ``haplotypes``: cluster, hap_id, sv_id, state; ``scores``: cluster,
+    hap_id, sv_id, score. A pair of unknown haplotypes, haplotypes with different sites, and sites without a score raise.
+    """
+    names = ["pair_id", "hap1_id", "hap2_id"]
+    first = ranked.groupBy("cluster").agg(F.min_by(F.struct(*names), F.struct("rank", "pair_id")).alias("p")).select("cluster", "p.*")
+    sides = first.select("cluster", *names, F.posexplode(F.array("hap1_id", "hap2_id")).alias("side", "hap_id"))
+    met = sides.join(haplotypes.select("cluster", "hap_id", "sv_id", "state"), ["cluster", "hap_id"], "left")
+    met = met.join(scores.select("cluster", "hap_id", "sv_id", "score"), ["cluster", "hap_id", "sv_id"], "left")
+    at = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    rows = met.groupBy("cluster", *names, "sv_id").agg(*[at(k, c).alias(f"{c}{k + 1}") for c in ("state", "score") for k in (0, 1)])
+    where = F.concat(F.col("cluster").cast("string"), F.lit(", pair "), F.col("pair_id"), F.lit(", site "), F.coalesce("sv_id", F.lit("?")))
+    fault = lambda text: F.raise_error(F.concat(F.lit(text), where))
+    checked = F.when(F.col("sv_id").isNull(), fault("unknown haplotypes in cluster ")).when(F.col("state1").isNull() | F.col("state2").isNull(), fault("haplotypes with different sites in cluster ")).when(F.col("score1").isNull() | F.col("score2").isNull(), fault("a score is missing in cluster "))
+    return rows.withColumn("state1", F.coalesce(checked.cast("int"), F.col("state1")))
+
+
 def cluster_decisions(best: DataFrame, **limits: float) -> DataFrame:
     """Decision of each site of the best pairs: (cluster, pair_id, hap1_id, hap2_id, sv_id, state1, state2, score1, score2) with final genotype and reason."""
     rows = best.withColumn("final1", gate_rescue(F.col("state1"), F.col("score1"), F.col("sv_id"), **limits)).withColumn("final2", gate_rescue(F.col("state2"), F.col("score2"), F.col("sv_id"), **limits))

@@ -88,17 +88,17 @@ PREDICTIONS = """v_pred as (select vec_id, label, cast(p-1 as int) as sub, 1/(1+
 
 
 def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cluster, hap (1-based), hap_id, states: 3 sites for regions 0 to 2, 2 sites for the others."""
-    sites = F.when(F.col("r_regionkey") < 3, 3).otherwise(2)
-    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("cluster"), sites.alias("sites"))
+    """cluster (one a customer), hap (1-based), hap_id, states: 3 sites for three clusters of five, 2 sites for the others."""
+    sites = F.when(F.col("c_custkey") % 5 < 3, 3).otherwise(2)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("cluster"), sites.alias("sites"))
     rows = rows.select("cluster", "sites", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, sites) - 1"))).alias("bits"))
     states = F.transform(F.sequence(F.lit(0), F.col("sites") - 1), lambda i: F.expr("int(0)") + F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit(1)))
     return rows.select("cluster", (F.col("bits") + 1).cast("int").alias("hap"), F.concat(F.lit("H"), (F.col("bits") + 1).cast("string")).alias("hap_id"), states.alias("states"))
 
 
-HAPLOTYPES = """v_hap as (select cast(r_regionkey as int) as cluster, cast(b.bits + 1 as int) as hap, 'H' || (b.bits + 1) as hap_id,
- [cast((b.bits >> i) & 1 as int) for i in range(0, case when r_regionkey < 3 then 3 else 2 end)] as states
- from region, range(0, 8) b(bits) where b.bits < case when r_regionkey < 3 then 8 else 4 end)"""
+HAPLOTYPES = """v_hap as (select cast(c_custkey as int) as cluster, cast(b.bits + 1 as int) as hap, 'H' || (b.bits + 1) as hap_id,
+ [cast((b.bits >> i) & 1 as int) for i in range(0, case when c_custkey % 5 < 3 then 3 else 2 end)] as states
+ from customer, range(0, 8) b(bits) where b.bits < case when c_custkey % 5 < 3 then 8 else 4 end)"""
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,3 +349,17 @@ def test_streaming_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.members) for r in spark.table("got").collect()) == [("a", 1), ("a", 2)]
+
+
+def test_the_best_pairs_sites_are_checked(spark):
+    ranked = spark.createDataFrame([("c", 2, "a__b", "a", "b"), ("c", 1, "a__a", "a", "a"), ("d", 1, "a__b", "a", "b")], "cluster string, rank int, pair_id string, hap1_id string, hap2_id string")
+    haps = [("c", "a", "x.INS.1", 1), ("d", "a", "x.INS.1", 1), ("d", "b", "x.INS.1", 0), ("d", "b", "x.DEL.1", 0), ("d", "a", "x.DEL.1", 0)]
+    scores = [(c, h, s, 0.5) for c, h, s, _ in haps]
+
+    def sites(haps, scores):
+        return sorted(tuple(r) for r in sc.best_pair_sites(ranked, spark.createDataFrame(haps, "cluster string, hap_id string, sv_id string, state int"), spark.createDataFrame(scores, "cluster string, hap_id string, sv_id string, score double")).select("cluster", "pair_id", "sv_id", "state1", "state2", "score2").collect())
+
+    assert sites(haps, scores) == [("c", "a__a", "x.INS.1", 1, 1, 0.5), ("d", "a__b", "x.DEL.1", 0, 0, 0.5), ("d", "a__b", "x.INS.1", 1, 0, 0.5)]
+    for h, s, message in ((haps[:-1], scores, "different sites"), (haps, scores[:-1], "score is missing"), (haps[1:], scores, "unknown haplotypes")):
+        with pytest.raises(Exception, match=message):
+            sites(h, s)
