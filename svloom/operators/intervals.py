@@ -95,13 +95,9 @@ def _levelled(rows: DataFrame, start: str, end: str, size: int) -> DataFrame:
     return rows.where(F.col(start) < F.col(end)).withColumn("__own", level)
 
 
-def _binned(rows: DataFrame, start: str, end: str, size: int, above: bool | None) -> DataFrame:
-    """A row for each bin (__level, __bin) that an interval meets: one or two of its own level, and as many of each wider one.
-
-    ``above``: only those of wider levels; false: only those of its own; null: both.
-    """
-    levels = {None: F.sequence(F.col("__own"), F.lit(LEVELS - 1)), False: F.array("__own"), True: F.slice(F.sequence(F.col("__own"), F.lit(LEVELS - 1)), 2, LEVELS)}[above]
-    rows = rows.withColumn("__level", F.explode(levels))
+def _binned(rows: DataFrame, start: str, end: str, size: int) -> DataFrame:
+    """A row for each bin (__level, __bin) that an interval meets: one or two of its own level, and as many of each wider one."""
+    rows = rows.withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(LEVELS - 1))))
     width = F.element_at(F.array(*[F.lit(size * FACTOR**k).cast("long") for k in range(LEVELS)]), F.col("__level") + 1)
     bins = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
     return rows.withColumn("__width", width).withColumn("__bin", F.explode(bins))
@@ -111,26 +107,24 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_size: int, blo
     """Pairs with the same ``key`` and l_start < r_end and l_end > r_start (half-open, not empty).
 
     Bins have levels, so an interval costs two rows a level at most, however long it is. A pair meets at the wider of
-    both intervals' own levels, in the bin of the later start, and nowhere else. With ``block``, bins with more rows of
-    ``left`` are dealt to as many parts as that takes; the rows of ``right`` go to each of these.
+    both intervals' own levels, in the bin of the later start, and nowhere else: rows of an interval's own level (side 0 of
+    ``left``) meet all of ``right``, those of wider levels (side 1) only those of ``right`` whose own level it is. With
+    ``block``, bins with more rows of ``left`` are dealt to as many parts as that takes; the rows of ``right`` go to each of these.
     """
-    a, b = _levelled(left, "l_start", "l_end", bin_size), _levelled(right, "r_start", "r_end", bin_size)
-    on = [key, "__level", "__bin"]
-
-    def met(one: DataFrame, two: DataFrame) -> DataFrame:
-        keys = on
-        if block:
-            hot = one.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")).where("__parts > 1")
-            at = F.pmod(F.xxhash64("l_start", "l_end", *[c for c, t in left.dtypes if c not in (key, "l_start", "l_end") and t in ("bigint", "int", "string")]), F.col("__parts"))
-            one = one.join(hot, on, "left").withColumn("__part", F.coalesce(at.cast("int"), F.lit(0))).drop("__parts")
-            two = two.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-            keys = [*on, "__part"]
-        pairs = one.join(two.drop("__width", "__own"), keys).where("l_start < r_end and l_end > r_start")
-        pairs = pairs.where(F.col("__bin") == F.floor(F.greatest("l_start", "r_start") / F.col("__width")))
-        return pairs.drop(*on[1:], "__width", "__own", "__part")
-
-    same = met(_binned(a, "l_start", "l_end", bin_size, False), _binned(b, "r_start", "r_end", bin_size, None))
-    return same.unionByName(met(_binned(a, "l_start", "l_end", bin_size, True), _binned(b, "r_start", "r_end", bin_size, False)))
+    is_own = F.col("__level") == F.col("__own")
+    a = _binned(_levelled(left, "l_start", "l_end", bin_size), "l_start", "l_end", bin_size)
+    a = a.withColumn("__side", F.when(is_own, 0).otherwise(1)).drop("__own")
+    b = _binned(_levelled(right, "r_start", "r_end", bin_size), "r_start", "r_end", bin_size)
+    b = b.withColumn("__side", F.explode(F.when(is_own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("__own", "__width")
+    on = [key, "__level", "__bin", "__side"]
+    if block:
+        hot = a.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__parts")).where("__parts > 1")
+        at = F.pmod(F.xxhash64("l_start", "l_end", *[c for c, t in left.dtypes if c not in (key, "l_start", "l_end") and t in ("bigint", "int", "string")]), F.col("__parts"))
+        a = a.join(hot, on, "left").withColumn("__part", F.coalesce(at.cast("int"), F.lit(0))).drop("__parts")
+        b = b.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    pairs = a.join(b, [*on, "__part"] if block else on).where("l_start < r_end and l_end > r_start")
+    pairs = pairs.where(F.col("__bin") == F.floor(F.greatest("l_start", "r_start") / F.col("__width")))
+    return pairs.drop(*on[1:], "__width", "__part")
 
 
 def window_starts(groups: DataFrame, size: int, stride: int) -> DataFrame:

@@ -33,7 +33,7 @@ def test_overlap_join_of_short_and_long_intervals(spark, block):
     want = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and x[2] > y[1] and x[1] < x[2] and y[1] < y[2])
     assert got == want and len(want) > 1000
     wide = iv._levelled(right.where("j = 900"), "r_start", "r_end", 256)
-    assert iv._binned(wide, "r_start", "r_end", 256, None).count() <= 2 * iv.LEVELS
+    assert iv._binned(wide, "r_start", "r_end", 256).count() <= 2 * iv.LEVELS
 
 
 def test_a_hot_bin_is_dealt_to_many_parts(spark):
