@@ -34,7 +34,7 @@ QUADRATIC = 1 / 1024
 END_ID = 1
 GROUP_TOKENS = 2_000_000
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 60_000
 #: Pieces of one Arrow batch of results: 2 MB of ids at most.
 BATCH_PIECES = 256
 
