@@ -12,7 +12,8 @@
 A declared language counts by its primary code (three-letter codes of known languages become two letters).
 The posterior is the normalised product. Ties go to the language first in order. Null html or url count as empty:
 the page then has no evidence of that kind; a page without any gets the prior of all pages. Repeated rows vote
-repeatedly. Other columns are not read. Without any training document every language is null.
+repeatedly. Other columns are not read. Without any training document every language is null. A page of any length is
+read whole, in memory in proportion to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations

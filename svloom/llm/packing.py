@@ -9,7 +9,8 @@ padded. Groups are consecutive documents of about GROUP_TOKENS tokens of one inp
 shuffle, holds one group in memory and is the same after a lost task, whose split is read again.
 
 Null and empty texts have no ids of their own but the end mark. Rows are packed one by one: repeated rows are
-packed repeatedly; extra columns are not read; an empty table gives no piece. A null doc_id passes through.
+packed repeatedly; extra columns are not read; an empty table gives no piece. A null doc_id passes through. A long document's
+text and ids are held whole by its task.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ its score is at least a fixed threshold, so the same document always meets the s
 
 Null text counts as a text without words; such a text, like any other of under 50 words, fails the base rules.
 Without any target document both multinomials have no evidence and every score is 0 (kept). Rows are judged one
-by one: repeated rows give repeated results, and columns of any other name pass through.
+by one: repeated rows give repeated results, and columns of any other name pass through. An empty table gives an empty
+result. A text of any length is judged whole, in arrays of some tens of bytes a word in one row. The 2^16 ratios, and
+nothing that grows with the corpus, pass through the driver and become a constant of the plan.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ its path; the longest rule wins (host and path together; of rules of one length
 host path is blocked when no rule fits it. Everything else is allowed.
 
 A null url, or one without ://, has an empty host and path; no rule with a host fits it, and it is allowed. Rows
-are judged one by one; repeated rows repeat their verdict, other columns are not read, an empty table is empty.
+are judged one by one; repeated rows repeat their verdict, other columns are not read, an empty table is empty. Long
+urls count whole; a batch's candidates depend on the rules' label counts and path lengths, not on the urls' lengths.
 Rules and listed host paths are parameters that pass through the driver, which sorts them; their bound is its memory.
 """
 

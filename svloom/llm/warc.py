@@ -12,7 +12,8 @@ adaptive execution splits, as both sides of the join are exchanges.
 
 Null html is an empty payload. A null url leaves out the target header. A null page_id is a record of its own
 (urn:page:), never the smallest. Rows that repeat a page_id and payload all have the type of that id. Line breaks
-in a url are percent-encoded. Extra columns are not read. An empty table gives no bundle and no row.
+in a url are percent-encoded. Extra columns are not read. An empty table gives no bundle and no row. A record is held
+whole by its task, a few times over, however long its html is.
 """
 
 from __future__ import annotations
