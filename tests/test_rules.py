@@ -363,3 +363,9 @@ def test_the_best_pairs_sites_are_checked(spark):
     for h, s, message in ((haps[:-1], scores, "different sites"), (haps, scores[:-1], "score is missing"), (haps[1:], scores, "unknown haplotypes")):
         with pytest.raises(Exception, match=message):
             sites(h, s)
+
+
+def test_repeats_seed_nothing():
+    repeat, other = b"A" * 100_000, b"ACGTTGCATGCCAGTACGAT"
+    seeds = ar._segments(other + repeat + other[::-1], other + repeat[: 50_000] + other[::-1])
+    assert len(seeds) < 1000 and (seeds[:, 0] < len(other)).any() and (seeds[:, 0] >= 100_000).any()
