@@ -22,9 +22,9 @@ def sv29_cigar_ref_to_query(spark, sf_dir):
     return al.query_span(stepped(spark, sf_dir), lit(START), lit(END))
 
 
-@query(f"with {v.STEPS} select read_id, idx, cast(qp as bigint) as q_start, cast(qp + len as bigint) as q_end from v_steps where (op = 1 and len >= 20 and rp between {START} and {END}) or (op = 4 and len >= 20 and (rp between {START} and {END} or abs(rp - {START}) <= 20 or abs(rp - {END}) <= 20))")
+@query(f"with {v.STEPS} select read_id, idx, cast(qp as bigint) as q_start, cast(qp + len as bigint) as q_end from v_steps where (op = 1 and len >= 50 and rp between {START} and {END}) or (op = 4 and len >= 50 and (rp between {START} and {END} or abs(rp - {START}) <= 50 or abs(rp - {END}) <= 50))")
 def sv30_large_query_segments(spark, sf_dir):
-    return al.large_segments(stepped(spark, sf_dir), lit(START), lit(END), 20, 20)
+    return al.large_segments(stepped(spark, sf_dir), lit(START), lit(END), 50, 50)
 
 
 
@@ -392,13 +392,17 @@ def sv77_split_read_matrix(spark, sf_dir):
     return al.signature_counts(al.signature_codes(both(spark, sf_dir)))
 
 
-HEIGHT, WIDTH = 4, 121
+def centred_sql(height: int, width: int) -> str:
+    return f"""with {BOTH}, v_first as (select variant_id, read_id, min((case when inter then 1 else 0 end) * 1000000000 + s) as f, min(lo) as lo, min(hi) as hi from v_both group by 1, 2),
+v_row as (select *, row_number() over (partition by variant_id order by f, read_id) - 1 as r, {height} - count(*) over (partition by variant_id) as dh, {width} - (hi - lo) as dw from v_first),
+v_put as (select variant_id, cast(r + trunc(dh / 2.0::double) as bigint) as "row", cast(pos - lo + trunc(dw / 2.0::double) as bigint) as col, cast(code as int) as code from v_code join v_row using (variant_id, read_id))
+select * from v_put where "row" between 0 and {height - 1} and col between 0 and {width - 1}"""
 
 
-@query(f"""with {BOTH}, v_first as (select variant_id, read_id, min((case when inter then 1 else 0 end) * 1000000000 + s) as f, min(lo) as lo, min(hi) as hi from v_both group by 1, 2),
-v_row as (select *, row_number() over (partition by variant_id order by f, read_id) - 1 as r, {HEIGHT} - count(*) over (partition by variant_id) as dh, {WIDTH} - (hi - lo) as dw from v_first),
-v_put as (select variant_id, cast(r + trunc(dh / 2.0::double) as bigint) as "row", cast(pos - lo + trunc(dw / 2.0::double) as bigint) as col, cast(code as int) as code from v_code join v_row using (variant_id, read_id))
-select * from v_put where "row" between 0 and {HEIGHT - 1} and col between 0 and {WIDTH - 1}""")
+SMALL = (4, 121)
+
+
+@query(centred_sql(*SMALL))
 def sv77_centred_matrix(spark, sf_dir):
     """Padded and cropped to a small size, so that both happen."""
-    return al.centred_matrix(both(spark, sf_dir), HEIGHT, WIDTH)
+    return al.centred_matrix(both(spark, sf_dir), *SMALL)
