@@ -138,10 +138,13 @@ def decode_header(header: Column) -> Column:
 
 
 def pairs(haplotypes: DataFrame) -> DataFrame:
-    """Unordered pairs of a cluster's haplotypes (cluster, hap, hap_id, states), each with itself too, numbered in order."""
+    """Unordered pairs of a cluster's haplotypes (cluster, hap, hap_id, states), each with itself too, numbered in order.
+
+    Both sides grow with the clusters, so they are shuffled, however small Spark takes them to be: no copy passes through the driver.
+    """
     a = haplotypes.select("cluster", F.col("hap").alias("hap1"), F.col("hap_id").alias("hap1_id"), F.col("states").alias("states1"))
     b = haplotypes.select("cluster", F.col("hap").alias("hap2"), F.col("hap_id").alias("hap2_id"), F.col("states").alias("states2"))
-    both = a.join(b, "cluster").where("hap1 <= hap2").withColumn("pair_id", F.concat_ws("__", "hap1_id", "hap2_id"))
+    both = a.join(b.hint("merge"), "cluster").where("hap1 <= hap2").withColumn("pair_id", F.concat_ws("__", "hap1_id", "hap2_id"))
     return both.withColumn("order", F.row_number().over(Window.partitionBy("cluster").orderBy("hap1", "hap2")).cast("int"))
 
 
