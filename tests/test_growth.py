@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from svloom.operators import evidence as ev, haplotypes as hp
+from svloom.operators import evidence as ev, haplotypes as hp, intervals as iv
 
 
 def final_plan(rows):
@@ -23,3 +23,10 @@ def test_bypassed_pairs_are_not_broadcast(spark):
     few = ev.bypass(hp.pairs(haplotypes(spark).where("cluster > 0 or hap < 3")), 4)
     assert [tuple(x) for x in few.select("cluster", "pair_id", "rank").orderBy("rank").collect()] == [(0, "H1__H1", 1), (0, "H1__H2", 2), (0, "H2__H2", 3)]
     assert "BroadcastExchange" not in final_plan(few)
+
+
+def test_overlap_join_is_not_broadcast(spark):
+    left = spark.range(50).select(F.lit("c").alias("k"), F.col("id").alias("l_start"), (F.col("id") + 2).alias("l_end"))
+    right = spark.range(50).select(F.lit("c").alias("k"), F.col("id").alias("r_start"), (F.col("id") + 1).alias("r_end"))
+    met = iv.overlap_join(left, right, "k", 4)
+    assert met.count() == 50 + 49 and "BroadcastExchange" not in final_plan(met)
