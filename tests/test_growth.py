@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from svloom.operators import evidence as ev, haplotypes as hp, intervals as iv
+from svloom.plans import alignment_queries as aq
 
 
 def final_plan(rows):
@@ -30,3 +31,8 @@ def test_overlap_join_is_not_broadcast(spark):
     right = spark.range(50).select(F.lit("c").alias("k"), F.col("id").alias("r_start"), (F.col("id") + 1).alias("r_end"))
     met = iv.overlap_join(left, right, "k", 4)
     assert met.count() == 50 + 49 and "BroadcastExchange" not in final_plan(met)
+
+
+def test_segments_of_twenty_bases_on(spark, sf):
+    lengths = [r.q_end - r.q_start for r in aq.sv30_large_query_segments(spark, sf).collect()]
+    assert lengths and min(lengths) >= 20 and any(n < 50 for n in lengths)
