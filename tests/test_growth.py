@@ -1,9 +1,12 @@
 """What grows with the input stays out of the driver and off single rows; results equal plain loops."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from svloom.operators import evidence as ev, haplotypes as hp, intervals as iv
 from svloom.plans import alignment_queries as aq
+from svloom.sources import bam, bgzf
 
 
 def final_plan(rows):
@@ -36,3 +39,20 @@ def test_overlap_join_is_not_broadcast(spark):
 def test_segments_of_twenty_bases_on(spark, sf):
     lengths = [r.q_end - r.q_start for r in aq.sv30_large_query_segments(spark, sf).collect()]
     assert lengths and min(lengths) >= 20 and any(n < 50 for n in lengths)
+
+
+def test_a_record_becomes_arrow_once_for_all_its_regions(spark, tmp_path, monkeypatch):
+    reads = spark.createDataFrame([(str(k), 0, "c", 10 * k, 60, [(0, 15), (2, 10)], "*", False) for k in range(40)], "read_id string, flag int, contig string, ref_start long, mapq int, cigar array<struct<op:int,len:long>>, seq string, has_sa boolean")
+    path = str(tmp_path / "bam")
+    bam.write_bam(reads, path, [("c", 1000)])
+    made, starts = [], [(k * 7) % 390 for k in range(200)]
+    monkeypatch.setattr(bam, "arrow_rows", lambda rows, make=bam.arrow_rows: made.append(len(rows)) or make(rows))
+    near = bam.Nearby(pa.array(range(200)), np.array(starts), np.array([s + 30 * (k % 5) for k, s in enumerate(starts)]))
+    met = []
+    for uri in bam.storage.listed(path, ".bam"):
+        reader = bgzf.Reader(bam.storage.open_range(uri))
+        first = (bam.read_header(reader), reader.tell())[1]
+        for keys, rows in near.records(0, reader, ["c"], first, bam.read_index(uri), 0):
+            met += zip(keys.to_pylist(), rows.column("read_id").to_pylist())
+    assert sorted(met) == sorted((k, str(r)) for k, s in enumerate(starts) for r in range(40) if k % 5 and 10 * r < s + 30 * (k % 5) and 10 * r + 25 > s)
+    assert sum(made) == 40 and len(met) > 1000
