@@ -72,7 +72,7 @@ def check(name: str, contig: Contig | None, start: int, end: int) -> Contig:
 
 @dataclass
 class Chunks(InputPartition):
-    parts: list[tuple[str, int, int]]  # contig, first and last + 1 of its chunks
+    parts: list[tuple[str, Contig, int, int]]  # contig, first and last + 1 of its chunks
 
 
 class FastaReader(DataSourceReader):
@@ -80,13 +80,13 @@ class FastaReader(DataSourceReader):
         self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
         self.per_task = max(1, int(options.get("split_bases", TASK)) // self.chunk)
         self.contig = options.get("contig")
-        self.index = read_index(self.path)
         if self.contig is not None:
-            check(self.contig, self.index.get(self.contig), 0, 0)
+            check(self.contig, read_index(self.path).get(self.contig), 0, 0)
 
     def partitions(self):
+        """Each takes its own contigs' lines of the index along; the reader, which goes to every task, has none."""
         out, room = [], 0
-        for name, contig in self.index.items():
+        for name, contig in read_index(self.path).items():
             if self.contig not in (None, name):
                 continue
             at, chunks = 0, -(-contig.length // self.chunk)
@@ -95,15 +95,15 @@ class FastaReader(DataSourceReader):
                     out.append(Chunks([]))
                     room = self.per_task
                 taken = min(room, chunks - at)
-                out[-1].parts.append((name, at, at + taken))
+                out[-1].parts.append((name, contig, at, at + taken))
                 at, room = at + taken, room - taken
         return out or [Chunks([])]
 
     def read(self, partition: Chunks):
         names = ["contig", "chunk", "chunk_start", "piece"]
         files = Files()
-        for name, first, last in partition.parts:
-            contig, step = self.index[name], max(1, (1 << 22) // self.chunk)
+        step = max(1, (1 << 22) // self.chunk)
+        for name, contig, first, last in partition.parts:
             for low in range(first, last, step):
                 numbers = range(low, min(low + step, last))
                 text = files.bases(contig, low * self.chunk, min(numbers[-1] * self.chunk + self.chunk, contig.length))

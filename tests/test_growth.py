@@ -1,12 +1,14 @@
 """What grows with the input stays out of the driver and off single rows; results equal plain loops."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from svloom.operators import evidence as ev, haplotypes as hp, intervals as iv
 from svloom.plans import alignment_queries as aq
-from svloom.sources import bam, bgzf
+from svloom.sources import bam, bgzf, indexed_fasta
 
 
 def final_plan(rows):
@@ -56,3 +58,18 @@ def test_a_record_becomes_arrow_once_for_all_its_regions(spark, tmp_path, monkey
             met += zip(keys.to_pylist(), rows.column("read_id").to_pylist())
     assert sorted(met) == sorted((k, str(r)) for k, s in enumerate(starts) for r in range(40) if k % 5 and 10 * r < s + 30 * (k % 5) and 10 * r + 25 > s)
     assert sum(made) == 40 and len(met) > 1000
+
+
+def test_a_fasta_reader_takes_no_index_along(tmp_path):
+    text, lines = "", []
+    for k in range(500):
+        text += f">c{k}\n"
+        lines.append(f"c{k}\t6\t{len(text)}\t4\t5\n")
+        text += "ACGT\nAC\n"
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "a.fa.fai").write_text("".join(lines))
+    reader = indexed_fasta.FastaReader({"path": str(tmp_path / "a.fa"), "chunk": "4", "split_bases": "40"})
+    parts = reader.partitions()
+    assert len(pickle.dumps(reader)) < 1000 and max(len(pickle.dumps(p)) for p in parts) < 2000
+    rows = [r for p in pickle.loads(pickle.dumps(parts)) for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["contig"], r["chunk_start"], r["piece"]) for r in rows] == [(f"c{k}", at, piece) for k in range(500) for at, piece in ((0, "ACGT"), (4, "AC"))]
