@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from svloom.operators import evidence as ev, haplotypes as hp, intervals as iv
-from svloom.plans import alignment_queries as aq
+from svloom.plans import alignment_queries as aq, scoring_queries as sq
 from svloom.sources import bam, bgzf, indexed_fasta
 
 
@@ -73,3 +73,9 @@ def test_a_fasta_reader_takes_no_index_along(tmp_path):
     assert len(pickle.dumps(reader)) < 1000 and max(len(pickle.dumps(p)) for p in parts) < 2000
     rows = [r for p in pickle.loads(pickle.dumps(parts)) for b in reader.read(p) for r in b.to_pylist()]
     assert [(r["contig"], r["chunk_start"], r["piece"]) for r in rows] == [(f"c{k}", at, piece) for k in range(500) for at, piece in ((0, "ACGT"), (4, "AC"))]
+
+
+def test_a_user_meets_a_variant_once(spark, sf):
+    plan = sq.sv78_variant_strings(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join Inner, (k#" in line)
+    assert "Aggregate [k#" in plan.split(joined)[1]
