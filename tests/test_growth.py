@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from svloom.operators import evidence as ev, haplotypes as hp, intervals as iv
+from svloom.operators import alignment as al, evidence as ev, haplotypes as hp, intervals as iv
 from svloom.plans import alignment_queries as aq, scoring_queries as sq
 from svloom.sources import bam, bgzf, indexed_fasta
 
@@ -79,3 +79,13 @@ def test_a_user_meets_a_variant_once(spark, sf):
     plan = sq.sv78_variant_strings(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     joined = next(line for line in plan.splitlines() if "Join Inner, (k#" in line)
     assert "Aggregate [k#" in plan.split(joined)[1]
+
+
+def test_only_reads_that_stay_in_the_matrix_are_spread_over_bases(spark):
+    rows = [(1, r, 10 * r, 10 * r + 25, 0, 400, r % 2 == 0) for r in range(20)]
+    found = al.centred_matrix(spark.createDataFrame(rows, "variant_id long, read_id long, s long, e long, lo long, hi long, inter boolean"), 3, 101)
+    order = sorted(range(20), key=lambda r: (r % 2 == 0, 10 * r))[(20 - 3) // 2 :][:3]
+    cells = sorted((k, p - (400 - 101) // 2, 2 if r % 2 == 0 else 1) for k, r in enumerate(order) for p in range(10 * r, 10 * r + 25) if 0 <= p - (400 - 101) // 2 < 101)
+    assert cells and sorted((x["row"], x["col"], x["code"]) for x in found.collect()) == cells
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate explode(sequence") < plan.index("Window")
