@@ -89,3 +89,25 @@ def test_only_reads_that_stay_in_the_matrix_are_spread_over_bases(spark):
     assert cells and sorted((x["row"], x["col"], x["code"]) for x in found.collect()) == cells
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("Generate explode(sequence") < plan.index("Window")
+
+
+def test_evidence_and_compatibility_equal_loops(spark):
+    index = [(c, k, sv, st, st + 1) for c in (1, 2) for k in range(12) for sv in range(3) for st in (0, 1) if (k + 2 * sv + st + c) % 3 == 0]
+    kmers = [(c, r, k) for c in (1, 2) for r in range(9) for k in range(15) if (k * r + c) % 4 < 2]
+    got = ev.read_evidence(spark.createDataFrame(kmers + kmers[:5], "cluster int, read_id long, kmer long"), spark.createDataFrame(index, "cluster int, kmer long, sv int, st int, halves int"), 5)
+    wanted = {}
+    for c, r in {(c, r) for c, r, _ in kmers}:
+        mine = [x for x in index if x[0] == c and (c, r, x[1]) in set(kmers)]
+        if (n := len({x[1] for x in mine})) >= 5:
+            for sv in {x[2] for x in mine}:
+                wanted[c, r, sv] = tuple(sum(x[4] for x in mine if x[2] == sv and x[3] == st) for st in (0, 1)) + (n,)
+    assert wanted and {(x.cluster, x.read_id, x.sv): (x.absent, x.present, x.informative) for x in got.collect()} == wanted
+    assert "BroadcastExchange" not in final_plan(got)
+    states = [(c, h, sv, h >> sv & 1) for c in (1, 2) for h in range(4) for sv in range(3) if (h, sv) != (3, 0)]
+    found = ev.compatibility(got, spark.createDataFrame(states, "cluster int, hap int, sv int, state int"))
+    expected = {}
+    for (c, r, sv), (a, p, _) in wanted.items():
+        for _, h, _, state in (x for x in states if x[0] == c and x[2] == sv):
+            expected[c, r, h] = expected.get((c, r, h), 0) + (p if state else a)
+    assert {(x.cluster, x.read_id, x.hap): x.compat for x in found.collect()} == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0].count("Aggregate") == 0
