@@ -111,3 +111,31 @@ def test_evidence_and_compatibility_equal_loops(spark):
             expected[c, r, h] = expected.get((c, r, h), 0) + (p if state else a)
     assert {(x.cluster, x.read_id, x.hap): x.compat for x in found.collect()} == expected
     assert found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0].count("Aggregate") == 0
+
+
+SIGNATURE = "read_id long, contig string, s long, e long, inter boolean, span_start long, span_end long"
+
+
+def test_signature_columns_equal_the_counts_of_codes(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for read in range(120):
+        a, contig = int(rng.integers(4050, 4150)), f"c{read % 2}"  # around a border of ranges
+        for at in rng.integers(a, a + 90, 4).tolist():
+            b = a + (30 if read < 100 else int(rng.integers(20, 40)))  # later reads have several spans
+            inter = bool(rng.integers(2))
+            rows.append((read, contig, at, at + int(rng.integers(0, 30)), inter, *((None, None) if inter and read % 3 else (a, b))))
+    rows += [(200, "c0", 0, 9, True, None, None), (200, "c0", 2, 8, False, 0, 9)]
+    variants = [(k, f"c{k % 2}", int(p), int(p) + k % 9) for k, p in enumerate(rng.integers(4000, 4250, 60))] + [(99, "c0", 4100, 4105), (98, "c0", 4100, 4105), (97, "c0", 3, 5)]
+    rows, variants = spark.createDataFrame(rows, SIGNATURE), spark.createDataFrame(variants, "variant_id long, contig string, start_pos long, end_pos long")
+    wanted = al.signature_counts(al.signature_codes(al.variant_signatures(rows, variants, False, 20, flag="inter"))).collect()
+    got = al.signature_columns(rows, variants, 20).collect()
+    assert len(wanted) > 1000 and any(x.intra == x.inter == 0 for x in wanted)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+
+
+def test_signature_columns_take_no_row_for_a_read_and_a_variant(spark):
+    reads = spark.range(4000).select(F.col("id").alias("read_id"), F.lit("c").alias("contig"), F.lit(0).cast("long").alias("s"), F.lit(9000).cast("long").alias("e"), (F.col("id") % 4 == 0).alias("inter"), F.lit(0).cast("long").alias("span_start"), F.lit(9000).cast("long").alias("span_end"))
+    variants = spark.range(4000).select(F.col("id").alias("variant_id"), F.lit("c").alias("contig"), F.col("id").alias("start_pos"), (F.col("id") + 1).alias("end_pos"))
+    found = al.signature_columns(reads, variants, 1)
+    assert found.groupBy("intra", "inter").count().collect() == [(3000, 2000, 3 * 4000 - 1)]
