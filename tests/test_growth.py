@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from svloom.operators import alignment as al, evidence as ev, haplotypes as hp, intervals as iv
+from svloom.operators import aligner as ar, alignment as al, evidence as ev, haplotypes as hp, intervals as iv
 from svloom.plans import alignment_queries as aq, scoring_queries as sq
 from svloom.sources import bam, bgzf, indexed_fasta
 
@@ -139,3 +139,54 @@ def test_signature_columns_take_no_row_for_a_read_and_a_variant(spark):
     variants = spark.range(4000).select(F.col("id").alias("variant_id"), F.lit("c").alias("contig"), F.col("id").alias("start_pos"), (F.col("id") + 1).alias("end_pos"))
     found = al.signature_columns(reads, variants, 1)
     assert found.groupBy("intra", "inter").count().collect() == [(3000, 2000, 3 * 4000 - 1)]
+
+
+def banded_score(a, b, whole):
+    """The best score in the band by plain loops; with ``whole`` false that of the best place from the first corner on, all rows filled."""
+    low, gap = -(10**9), ar.OPEN + ar.EXTEND
+    shift = len(b) - len(a) if whole else 0
+    h, e, best = {(0, 0): 0}, {}, 0
+    for i in range(len(a) + 1):
+        f = low
+        for j in range(max(0, i + min(0, shift) - ar.BAND), min(len(b), i + max(0, shift) + ar.BAND) + 1):
+            e[i, j] = max(e.get((i - 1, j), low) - ar.EXTEND, h.get((i - 1, j), low) - gap)
+            f = max(f - ar.EXTEND, h.get((i, j - 1), low) - gap)
+            slant = h.get((i - 1, j - 1), low) + (ar.MATCH if i and j and a[i - 1] == b[j - 1] else ar.MISMATCH)
+            h[i, j] = max(slant, e[i, j], f) if i or j else 0
+            best = max(best, h[i, j])
+    return h[len(a), len(b)] if whole else best
+
+
+def scored(a, b, ops):
+    total, i, k, before = 0, 0, 0, None
+    for op in ops:
+        if op == ar.M:
+            total += ar.MATCH if a[i] == b[k] else ar.MISMATCH
+        else:
+            total -= ar.EXTEND + (ar.OPEN if op != before else 0)
+        i, k, before = i + (op != ar.D), k + (op != ar.I), op
+    return total, i, k
+
+
+def test_many_bands_filled_at_once_equal_loops():
+    rng = np.random.default_rng(3)
+    jobs = []
+    for k in range(150):
+        a = bytes(rng.choice(list(b"ACGT"), int(rng.integers(0, 40))).tolist())
+        b = bytearray(a)
+        for _ in range(k % 5):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 9))] = rng.choice(list(b"ACGT"), int(rng.integers(0, 12))).tolist()
+        jobs.append((a, bytes(b), k % 3 == 0))
+    for (a, b, whole), ops in zip(jobs, ar._fill(jobs)):
+        total, i, k = scored(a, b, ops.tolist())
+        assert total == banded_score(a, b, whole) and (not whole or (i, k) == (len(a), len(b)))
+
+
+def test_pairs_are_aligned_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    target = "".join(rng.choice(list("ACGT"), 900))
+    pairs = [(target[k : k + 60] + "ACCA" * 40 + target[k + 60 + k % 7 : k + 200], target) for k in range(200)]
+    alone, calls = [ar.align(*p) for p in pairs], []
+    monkeypatch.setattr(ar, "_fill_group", lambda jobs, fill=ar._fill_group: calls.append(len(jobs)) or fill(jobs))
+    assert ar.align_many(pairs) == alone and max(calls) >= 200 and len(calls) < 10
