@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 M, SHARD = 11, 1 << 21
@@ -105,16 +106,26 @@ def _pieces(codes: np.ndarray, offsets: np.ndarray, k: int):
         yield low, codes[low:high], np.clip(offsets, low, high) - low
 
 
+def _row_groups(batch: pa.RecordBatch, at: int):
+    """Slices of whole rows of a batch with about SLICE bases in column ``at``, or one longer row."""
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64)
+    group = np.maximum(np.cumsum(size) - 1, 0) // SLICE
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(size) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def of_rows(rows: DataFrame, sequence: str, k: int, distinct: bool = False, complex_only: bool = False) -> DataFrame:
     """``rows`` with ``kmer`` (long, canonical), one row for each k-mer of the column ``sequence``, which is left out.
 
-    ``distinct``: each once a row; ``complex_only``: none of low complexity. Nothing is shuffled.
+    ``distinct``: each once a row; ``complex_only``: none of low complexity. Nothing is shuffled. A batch is taken a few rows at
+    a time, so memory is that of SLICE bases or of the longest sequence.
     """
     kept = [c for c in rows.columns if c != sequence]
     schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("kmer", T.LongType())])
 
     def apply(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _row_groups(whole, len(kept))):
             codes, offsets = column(batch.column(len(kept)))
             row, kmers = [], []
             for low, part, cuts in _pieces(codes, offsets, k):

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from svloom.operators import aligner as ar, alignment as al, evidence as ev, haplotypes as hp, intervals as iv
+from svloom.operators import aligner as ar, alignment as al, evidence as ev, haplotypes as hp, intervals as iv, kmers as km
 from svloom.plans import alignment_queries as aq, scoring_queries as sq
 from svloom.sources import bam, bgzf, indexed_fasta
 
@@ -190,3 +190,12 @@ def test_pairs_are_aligned_together(monkeypatch):
     alone, calls = [ar.align(*p) for p in pairs], []
     monkeypatch.setattr(ar, "_fill_group", lambda jobs, fill=ar._fill_group: calls.append(len(jobs)) or fill(jobs))
     assert ar.align_many(pairs) == alone and max(calls) >= 200 and len(calls) < 10
+
+
+def test_kmers_take_a_batch_a_few_rows_at_a_time():
+    texts = ["ACGT" * n for n in (0, 1, 20_000, 60_000, 0, 70_000, 5, 90_000, 1)] + [None, "ACG"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "seq"])
+    parts = list(km._row_groups(batch, 1))
+    assert pa.Table.from_batches(parts).column("row").to_pylist() == list(range(len(texts)))
+    assert len(parts) >= 3 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= km.SLICE for p in parts)
+    assert not list(km._row_groups(batch.slice(0, 0), 1))
