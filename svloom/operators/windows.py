@@ -36,7 +36,7 @@ def window_events(reads: DataFrame, windows: DataFrame, by: list[str], size: int
     left = al.with_moves(reads, {"rp": al.ON_REFERENCE}).withColumns({"key": key, "l_start": F.col("ref_start"), "l_end": F.col("ref_end")})
     right = windows.select(key.alias("key"), F.col("window_start").cast("long").alias("window_start")).distinct()
     right = right.withColumns({"r_start": F.col("window_start"), "r_end": F.col("window_start") + size})
-    met = iv.overlap_join(left, right, "key", size).select(*by, "window_start", "ref_start", "ref_end", "moves", "md")
+    met = iv.overlap_join(left, right, "key", size, short=True).select(*by, "window_start", "ref_start", "ref_end", "moves", "md")
     start, end = F.col("window_start"), F.col("window_start") + size
     zero, width = F.lit(0).cast("long"), F.lit(size).cast("long")
     event = lambda channel, place, amount, until=None: F.struct(F.lit(channel).alias("channel"), place.cast("long").alias("place"), (F.lit(None) if until is None else until).cast("long").alias("until"), amount.cast("long").alias("amount"))

@@ -199,3 +199,15 @@ def test_kmers_take_a_batch_a_few_rows_at_a_time():
     assert pa.Table.from_batches(parts).column("row").to_pylist() == list(range(len(texts)))
     assert len(parts) >= 3 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= km.SLICE for p in parts)
     assert not list(km._row_groups(batch.slice(0, 0), 1))
+
+
+def test_rows_go_to_one_level_if_the_others_are_short(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    left = [(k, "c", int(s), int(s + n)) for k, (s, n) in enumerate(zip(rng.integers(-50, 4000, 150), rng.integers(0, 3, 150) * rng.integers(1, 900, 150)))]
+    right = [(k, "c", int(s), int(s) + 16) for k, s in enumerate(rng.integers(-50, 4500, 200))]
+    a, b = spark.createDataFrame(left, "l long, k string, l_start long, l_end long"), spark.createDataFrame(right, "r long, k string, r_start long, r_end long")
+    wanted = sorted((x[0], y[0]) for x in left for y in right if x[2] < y[3] and x[3] > y[2] and x[2] < x[3])
+    binned, sizes = iv._binned, []
+    monkeypatch.setattr(iv, "_binned", lambda rows, *args: sizes.append(binned(rows, *args).count()) or binned(rows, *args))
+    assert len(wanted) > 500 and sorted((x.l, x.r) for x in iv.overlap_join(a, b, "k", 16, short=True).collect()) == wanted
+    assert sizes[0] <= 2 * sum(x[2] < x[3] for x in left)
