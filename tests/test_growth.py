@@ -211,3 +211,16 @@ def test_rows_go_to_one_level_if_the_others_are_short(spark, monkeypatch):
     monkeypatch.setattr(iv, "_binned", lambda rows, *args: sizes.append(binned(rows, *args).count()) or binned(rows, *args))
     assert len(wanted) > 500 and sorted((x.l, x.r) for x in iv.overlap_join(a, b, "k", 16, short=True).collect()) == wanted
     assert sizes[0] <= 2 * sum(x[2] < x[3] for x in left)
+
+
+def test_reads_alike_reach_the_matrices_as_one_row(spark):
+    rows = [(1, r, s, 1 + r % 2, s, 7) for r in range(600) for s in (0, 1)]
+    evidence = spark.createDataFrame(rows, "cluster int, read_id int, sv int, absent long, present long, informative long")
+    states = spark.createDataFrame([(1, h, s, h >> s & 1) for h in range(4) for s in (0, 1)], "cluster int, hap int, sv int, state int")
+    got = ev.score_pairs(evidence, states)
+    assert "count(1) AS reads" in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[1]
+    assert {(r.hap1, r.hap2): (r.score, r.informative_reads, r.total_read_weight) for r in got.collect()} == {
+        (i, j): (sum(7 * max(o) for o in sides) / 40, sum(max(o) > 0 for o in sides), sum(7 * (max(o) > 0) for o in sides) / 20)
+        for i in range(4) for j in range(i, 4)
+        for sides in [[[sum(s if h >> s & 1 else 1 + r % 2 for s in (0, 1)) for h in (i, j)] for r in range(600)]]
+    }
