@@ -5,8 +5,8 @@ with fewer reads so far (the first if equal), in order of read name. So each tie
 a range of reads does to the lead of the first haplotype is a function of that lead, though, and such functions have few
 pieces: two leads of equal parity move together until a tie brings them to the same number, so a range's function
 rises in steps, by the same amount beyond all of them. Ranges of RANGE reads are summed up in parallel, one task a pair
-passes the lead from range to range, a short row each, and the ranges then deal out their reads in parallel. No row
-holds more than a range.
+passes the lead from range to range, a short row each, and the ranges then deal out their reads in parallel. Reads
+travel as rows of their own, sorted by range, so that no task holds more than a batch of them and a range's kinds.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from svloom.operators import alignment as al
 
 RANGE = 1024
+#: Parts to which the reads of a haplotype or cluster are dealt, so that few haplotypes don't make few tasks.
+PARTS = 16
 #: What a read does: nothing, go to the first, go to the second, go to whichever is behind.
 NEITHER, FIRST, SECOND, TIE = range(4)
 
@@ -40,15 +42,23 @@ def joined_scores(pairs: DataFrame, scores: DataFrame, read_names: DataFrame | N
     ``read_names`` (cluster, read_id) adds the reads that align to neither. Pairs of a haplotype with itself have no row.
     """
     pairs = pairs.where("hap1_id <> hap2_id")
+    score = lambda k: F.when(F.col("x.side") == k, F.col("score")).alias(f"score{k}")
+    sides = F.explode(F.array(*[F.struct(F.col(f"hap{k}_id").alias("hap_id"), F.lit(k).alias("side")) for k in (1, 2)]))
+    by_hap = pairs.select("pair_id", sides.alias("of")).groupBy("of.hap_id").agg(F.collect_list(F.struct("pair_id", "of.side")).alias("pairs"))
+    rows = met(scores, by_hap, "hap_id").select("read_id", "score", F.explode("pairs").alias("x")).select("x.pair_id", "read_id", score(1), score(2))
+    if read_names is not None:
+        by_cluster = pairs.groupBy("cluster").agg(F.collect_list("pair_id").alias("pairs"))
+        every = met(read_names.select("cluster", "read_id").distinct(), by_cluster, "cluster").select(F.explode("pairs").alias("pair_id"), "read_id")
+        rows = rows.unionByName(every, allowMissingColumns=True)
+    # sides meet in the shuffle only, so nothing is summed before it
+    return rows.repartition("read_id", "pair_id").groupBy("pair_id", "read_id").agg(F.max("score1").alias("score1"), F.max("score2").alias("score2"))
 
-    def side(k: int) -> DataFrame:
-        return pairs.select("pair_id", F.col(f"hap{k}_id").alias("hap_id")).join(scores, "hap_id").select("pair_id", "read_id", F.col("score").alias(f"score{k}"))
 
-    met = side(1).join(side(2), ["pair_id", "read_id"], "full")
-    if read_names is None:
-        return met
-    every = pairs.select("pair_id", "cluster").join(read_names.select("cluster", "read_id").distinct(), "cluster").drop("cluster")
-    return every.join(met, ["pair_id", "read_id"], "full")
+def met(reads: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """Join by ``key`` of many rows with a read_id and a few ``lists``, one a key: reads are dealt to parts and pass by the lists unsorted."""
+    parts = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = reads.withColumn("part", F.pmod(F.xxhash64("read_id"), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts.hint("shuffle_hash"), [key, "part"]).drop("part")
 
 
 def effect(score1: Column, score2: Column) -> Column:
@@ -115,15 +125,34 @@ def assigned_reads(scores: DataFrame, folder: str, range_size: int = RANGE) -> D
     rows = rows.repartitionByRange("pair_id", "read_id").sortWithinPartitions("pair_id", "read_id").select("*", F.monotonically_increasing_id().alias("at"))
     rows.write.parquet(folder)
     rows = spark.read.schema(rows.schema).parquet(folder).withColumn("range", F.floor(F.col("at") / range_size).cast("long"))
-    read = F.struct("at", "read_id", "score1", "score2", "kind")
-    ranges = rows.groupBy("pair_id", "range").agg(F.array_sort(F.collect_list(read)).alias("reads"))
     key = scores.schema["pair_id"]
     numbers = T.ArrayType(T.LongType())
 
+    def runs(batch):
+        """(pair, range, first row, row behind the last) of the batch's stretches of one range."""
+        if batch.num_rows:
+            pair = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            of = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (of[1:] != of[:-1]), [True]])).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield batch.column(0)[a].as_py(), int(of[a]), a, b
+
     def sum_up(batches):
+        at, held = None, []
+
+        def finished():
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], types[0]), pa.array([at[1]], types[1]), *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in steps(np.concatenate(held))]], names=["pair_id", "range", "before", "after"])
+
         for batch in batches:
-            out = [steps(np.array(x, np.int8)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]], names=["pair_id", "range", "before", "after"])
+            types, kinds = (batch.schema.field(0).type, batch.schema.field(1).type), batch.column(3).to_numpy()
+            for pair, of, a, b in runs(batch):
+                if (pair, of) != at:
+                    if held:
+                        yield finished()
+                    at, held = (pair, of), []
+                held.append(kinds[a:b].copy())
+        if held:
+            yield finished()
 
     def pass_on(batches):
         at, lead = object(), 0
@@ -136,24 +165,27 @@ def assigned_reads(scores: DataFrame, folder: str, range_size: int = RANGE) -> D
                 lead = through(lead, np.array(before), np.array(after))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leads, pa.int64())], names=["pair_id", "range", "lead"])
 
-    summed = ranges.select("pair_id", "range", F.transform("reads", lambda x: x["kind"]).alias("kinds"))
+    placed = lambda x: x.repartition("range", "pair_id").sortWithinPartitions("range", "pair_id", F.col("at").asc_nulls_first())
+    summed = placed(rows.select("pair_id", "range", "at", "kind"))
     summed = summed.mapInArrow(sum_up, T.StructType([key, T.StructField("range", T.LongType()), T.StructField("before", numbers), T.StructField("after", numbers)]))
     leads = summed.repartition("pair_id").sortWithinPartitions("pair_id", "range").mapInArrow(pass_on, T.StructType([key, T.StructField("range", T.LongType()), T.StructField("lead", T.LongType())]))
     schema = T.StructType([key, scores.schema["read_id"], scores.schema["score1"], scores.schema["score2"], T.StructField("side", T.IntegerType())])
 
     def deal(batches):
+        at, lead = None, 0
         for batch in batches:
-            reads, sides = batch.column(2), []
-            sizes = np.diff(reads.offsets.to_numpy())
-            flat = reads.flatten()
-            kinds, cuts = flat.field("kind").to_numpy(), np.cumsum(sizes) - sizes
-            for lead, a, n in zip(batch.column(1).to_pylist(), cuts, sizes):
-                sides.append(walk(kinds[a : a + n], lead)[1])
-            sides = np.concatenate([np.zeros(0, np.int8), *sides]).astype(np.int32)
-            pair = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([pair, *[flat.field(c) for c in ("read_id", "score1", "score2")], pa.array(sides, mask=sides == 0)], names=schema.names)
+            reads, sides = batch.column(2).is_valid().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.int32)
+            kinds, leads = batch.column(3).fill_null(NEITHER).to_numpy(), batch.column(7)
+            for pair, of, a, b in runs(batch):
+                if (pair, of) != at:  # the row of the lead comes first
+                    at, lead = (pair, of), leads[a].as_py()
+                lead, sides[a:b] = walk(kinds[a:b], lead)
+            sides = pa.array(sides, mask=sides == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(k) for k in (4, 5, 6)], sides], names=schema.names).filter(pa.array(reads))
 
-    return ranges.join(leads, ["pair_id", "range"]).select("pair_id", "lead", "reads").mapInArrow(deal, schema)
+    columns = ["pair_id", "range", "at", "kind", "read_id", "score1", "score2"]
+    dealt = placed(rows.select(*columns, F.lit(None).cast("long").alias("lead")).unionByName(leads, allowMissingColumns=True))
+    return dealt.mapInArrow(deal, schema)
 
 
 def assignment_counts(assigned: DataFrame) -> DataFrame:
@@ -175,8 +207,9 @@ def pair_counts(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
 def assigned_records(pairs: DataFrame, records: DataFrame, assigned: DataFrame) -> DataFrame:
     """(pair_id, columns of ``records``): each record for each pair and haplotype to which its read was assigned; all of the haplotype's records for a pair with itself."""
     rows = aligned(records)
-    of = pairs.select("pair_id", "hap1_id", "hap2_id").join(assigned.where("side is not null").select("pair_id", "read_id", "side"), "pair_id")
+    of = met(assigned.where("side is not null").select("pair_id", "read_id", "side"), pairs.select("pair_id", "hap1_id", "hap2_id"), "pair_id")
     of = of.select("pair_id", "read_id", F.when(F.col("side") == 1, F.col("hap1_id")).otherwise(F.col("hap2_id")).alias("hap_id"))
-    own = pairs.where("hap1_id = hap2_id").select("pair_id", F.col("hap1_id").alias("hap_id"))
+    own = pairs.where("hap1_id = hap2_id").groupBy(F.col("hap1_id").alias("hap_id")).agg(F.collect_list("pair_id").alias("pairs"))
     columns = ["pair_id", *records.columns]
-    return rows.join(of, ["hap_id", "read_id"]).select(*columns).unionByName(rows.join(own, "hap_id").select(*columns))
+    both = met(rows, own, "hap_id").withColumn("pair_id", F.explode("pairs"))
+    return rows.join(of.hint("merge"), ["read_id", "hap_id"]).select(*columns).unionByName(both.select(*columns))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from svloom.operators import aligner as ar, alignment as al, evidence as ev, haplotypes as hp, intervals as iv, kmers as km
+from svloom.operators import aligner as ar, alignment as al, assignment as an, evidence as ev, haplotypes as hp, intervals as iv, kmers as km
 from svloom.plans import alignment_queries as aq, scoring_queries as sq
 from svloom.sources import bam, bgzf, indexed_fasta
 
@@ -224,3 +224,23 @@ def test_reads_alike_reach_the_matrices_as_one_row(spark):
         for i in range(4) for j in range(i, 4)
         for sides in [[[sum(s if h >> s & 1 else 1 + r % 2 for s in (0, 1)) for h in (i, j)] for r in range(600)]]
     }
+
+
+def test_reads_of_few_haplotypes_spread_over_tasks_and_are_not_gathered(spark, tmp_path):
+    pairs = spark.createDataFrame([("ab", 1, "a", "b"), ("aa", 1, "a", "a")], "pair_id string, cluster int, hap1_id string, hap2_id string")
+    scores = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', 'b') as hap_id", "id div 2 as read_id", "id % 3 as score")
+    names = spark.range(1500, 3000).selectExpr("1 as cluster", "id as read_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        reads = an.met(scores, pairs.selectExpr("hap1_id as hap_id", "pair_id").where("pair_id = 'ab'"), "hap_id")
+        assert reads.count() == 2000 and len([n for n in reads.rdd.glom().map(len).collect() if n]) > 1
+        joined = an.joined_scores(pairs, scores, names)
+        got = {(r.pair_id, r.read_id): (r.score1, r.score2) for r in joined.collect()}
+        assert got == {("ab", k): (2 * k % 3, (2 * k + 1) % 3) if k < 2000 else (None, None) for k in range(3000)}
+        assigned = an.assigned_reads(joined, str(tmp_path / "reads"), 100)
+        assert "collect_list" not in assigned._jdf.queryExecution().optimizedPlan().toString()
+        sides = {r.read_id: r.side for r in assigned.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    kinds = [{-1: an.SECOND, 0: an.TIE, 1: an.FIRST}[(a > b) - (a < b)] if a is not None else an.NEITHER for a, b in (got["ab", k] for k in range(3000))]
+    assert [sides[k] or 0 for k in range(3000)] == an.walk(np.array(kinds), 0)[1].tolist()
