@@ -20,6 +20,10 @@ _CODE = np.full(256, 4, np.uint8)
 for _i, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     _CODE[list(_pair)] = _i
 _LETTER = np.frombuffer(b"ACGT", np.uint8)
+#: The four letters of a byte, as one number.
+_FOUR = np.stack([_LETTER[np.arange(256) >> shift & 3] for shift in (6, 4, 2, 0)], 1).view(np.uint32).ravel()
+#: Stretches of which one step takes the k-mers: their arrays stay in a core's cache.
+STRETCHES = 1 << 12
 
 
 def column(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +79,11 @@ def spoiled(codes: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 
 def text(kmers: np.ndarray, k: int) -> pa.Array:
     """K-mers as strings."""
-    letters = np.empty((len(kmers), k), np.uint8)
-    for i in range(k):
-        letters[:, i] = _LETTER[(kmers >> 2 * (k - 1 - i)) & 3]
+    words = -(-k // 4)  # four letters at once, from a table; those before the first are cut off
+    letters = np.empty((len(kmers), words), np.uint32)
+    for i in range(words):
+        letters[:, i] = _FOUR[(kmers >> 8 * (words - 1 - i)) & 255]
+    letters = np.ascontiguousarray(letters.view(np.uint8).reshape(len(kmers), 4 * words)[:, 4 * words - k :])
     offsets = np.arange(len(kmers) + 1, dtype=np.int64) * k
     return pa.LargeStringArray.from_buffers(len(kmers), pa.py_buffer(offsets), pa.py_buffer(letters)).cast(pa.string())
 
@@ -205,6 +211,15 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, k: int, m: int = M):
     return least[begins], begins, ends - begins
 
 
+def of_stretches(codes: np.ndarray, starts: np.ndarray, bases: np.ndarray, k: int):
+    """Canonical k-mers of stretches of ``bases`` letters that begin at ``starts``, STRETCHES stretches at a time."""
+    for low in range(0, len(bases), STRETCHES):
+        own, first = bases[low : low + STRETCHES] - k + 1, starts[low : low + STRETCHES]
+        begin, end = first[0], first[-1] + bases[min(low + STRETCHES, len(bases)) - 1]
+        places = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        yield numbers(codes[begin:end], k)[1][places - begin]
+
+
 def counts(rows: DataFrame, sequence: str, k: int, shards: int) -> DataFrame:
     """(kmer, n): canonical k-mers of all rows and how often they occur."""
 
@@ -241,13 +256,7 @@ def counts(rows: DataFrame, sequence: str, k: int, shards: int) -> DataFrame:
             data = np.frombuffer(b"".join(x[1] for x in held), np.uint8)
             codes = np.stack([data >> 6, data >> 4 & 3, data >> 2 & 3, data & 3], 1).ravel()
             starts = np.cumsum(4 * ((bases + 3) // 4)) - 4 * ((bases + 3) // 4)
-            found = []
-            for low in range(0, len(bases), 1 << 15):  # stretches at once
-                own, first = bases[low : low + (1 << 15)] - k + 1, starts[low : low + (1 << 15)]
-                begin, end = first[0], first[-1] + bases[min(low + (1 << 15), len(bases)) - 1]
-                places = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                found.append(numbers(codes[begin:end], k)[1][places - begin])
-            kmers, n = np.unique(np.concatenate(found), return_counts=True)
+            kmers, n = np.unique(np.concatenate(list(of_stretches(codes, starts, bases, k))), return_counts=True)
             for a in range(0, len(kmers), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(kmers[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], names=["kmer", "n"])
 

@@ -244,3 +244,18 @@ def test_reads_of_few_haplotypes_spread_over_tasks_and_are_not_gathered(spark, t
         spark.conf.unset("spark.sql.adaptive.enabled")
     kinds = [{-1: an.SECOND, 0: an.TIE, 1: an.FIRST}[(a > b) - (a < b)] if a is not None else an.NEITHER for a, b in (got["ab", k] for k in range(3000))]
     assert [sides[k] or 0 for k in range(3000)] == an.walk(np.array(kinds), 0)[1].tolist()
+
+
+def test_kmers_of_stretches_are_taken_in_small_steps_and_spelled(monkeypatch):
+    rnd, sizes = np.random.default_rng(5), []
+    for k in (1, 3, 4, 5, 21, 31):
+        bases = rnd.integers(k, k + 6, 9000)
+        starts = np.cumsum(bases) - bases
+        codes = rnd.integers(0, 4, bases.sum()).astype(np.uint8)
+        with monkeypatch.context() as m:
+            m.setattr(km, "numbers", lambda codes, k, whole=km.numbers: sizes.append(len(codes)) or whole(codes, k))
+            found = np.concatenate(list(km.of_stretches(codes, starts, bases, k)))
+        letters = "".join("ACGT"[c] for c in codes)
+        every = [letters[s + i : s + i + k] for s, n in zip(starts, bases) for i in range(n - k + 1)]
+        assert km.text(found, k).to_pylist() == [min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in every]
+    assert max(sizes) < (1 << 12) * 37
