@@ -123,7 +123,7 @@ def sv18_boundary_projection(spark, sf_dir):
 @query(f"""with {v.HAPLOTYPES} select cluster, hap_id, 'SVs=' || list_aggregate([('c' || cluster || '.' || i || ':' || (10 * i) || '-' || (10 * i + 5)) for i in range(0, len(states))], 'string_agg', ';') || '|GT=' || list_aggregate([cast(x as varchar) for x in states], 'string_agg', ':') as header,
  cast(len(states) as int) as sites, cast(list_sum(states) as bigint) as present from v_hap""")
 def sv19_header_codec(spark, sf_dir):
-    rows = v.haplotypes(spark, sf_dir)
+    rows = v.spread(v.haplotypes(spark, sf_dir), "cluster", "hap_id")
     index = F.sequence(F.lit(0), F.size("states") - 1)
     ids = F.transform(index, lambda i: F.concat(F.lit("c"), F.col("cluster").cast("string"), F.lit("."), i.cast("string")))
     spans = F.transform(index, lambda i: F.struct((10 * i).alias("start"), (10 * i + 5).alias("end")))
