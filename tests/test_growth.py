@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from svloom.operators import aligner as ar, alignment as al, assignment as an, evidence as ev, haplotypes as hp, intervals as iv, kmers as km
-from svloom.plans import alignment_queries as aq, scoring_queries as sq
+from svloom.plans import alignment_queries as aq, scoring_queries as sq, sequence_queries as seq
 from svloom.sources import bam, bgzf, indexed_fasta
 
 
@@ -259,3 +259,7 @@ def test_kmers_of_stretches_are_taken_in_small_steps_and_spelled(monkeypatch):
         every = [letters[s + i : s + i + k] for s, n in zip(starts, bases) for i in range(n - k + 1)]
         assert km.text(found, k).to_pylist() == [min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in every]
     assert max(sizes) < (1 << 12) * 37
+
+
+def test_long_work_on_rows_of_a_small_file_is_spread_over_tasks(spark, sf):
+    assert seq.sv19_header_codec(spark, sf).rdd.getNumPartitions() == 4
