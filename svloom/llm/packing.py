@@ -16,7 +16,6 @@ text and ids are held whole by its task.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,24 +33,66 @@ CAPACITY = 2048
 QUADRATIC = 1 / 1024
 END_ID = 1
 GROUP_TOKENS = 2_000_000
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHED_WORDS = 150_000
+#: Words, and parts of words, whose ids a worker remembers, and their bytes.
+CACHED_WORDS, CACHED_BYTES = 150_000, 1 << 24
+#: Bytes of texts that are tokenized at once.
+BATCH_BYTES = 1 << 21
 #: Pieces of one Arrow batch of results: 2 MB of ids at most.
 BATCH_PIECES = 256
 
 
 #: Latin letters, of which lower case and composition are plain, with punctuation after them: two pieces at most.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?#$%&*|]*)")
+PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<after>[.,;:!?#$%&*|]*)$"
 _shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 #: Byte-level pieces show each byte as one character: printable ones as themselves, the others from U+0100 on.
 SHOWN = {b: chr(b) for b in _shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_shown}))}
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Memory:
+    """Distinct strings with their ids, as arrays. When full it drops those that were met in one batch only; if that is not enough, all."""
+
+    def __init__(self):
+        self.strings, self.starts, self.flat, self.met = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def full(self, share: int = 1) -> bool:
+        return len(self.strings) * share > CACHED_WORDS or self.strings.nbytes * share > CACHED_BYTES
+
+    def thin(self) -> None:
+        kept = np.flatnonzero(self.met > 1)
+        at, n = self.starts[kept], self.starts[kept + 1] - self.starts[kept]
+        self.strings, self.flat, self.starts = self.strings.take(pa.array(kept)), self.flat[spans(at, n)], np.concatenate([[0], np.cumsum(n)])
+        self.met = np.ones(len(kept), np.int32)
+        if self.full(2):
+            self.__init__()
+
+    def slots(self, strings: pa.Array, spell) -> np.ndarray:
+        """Place of each of these distinct strings; ``spell`` gives the ids of new ones and their number for each."""
+        if self.full():
+            self.thin()
+        at = pc.index_in(strings, value_set=self.strings)
+        slots = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[slots[slots >= 0]] += 1
+        if at.null_count:
+            fresh = strings.filter(at.is_null())
+            flat, n = spell(fresh)
+            slots[slots < 0] = np.arange(len(self.met), len(self.met) + len(fresh))
+            self.strings, self.flat = pa.concat_arrays([self.strings, fresh]), np.concatenate([self.flat, flat])
+            self.starts, self.met = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)]), np.concatenate([self.met, np.ones(len(fresh), np.int32)])
+        return slots
+
+
 class WordTokenizer:
-    """Ids of whole texts by the ``tokenizers`` library, each distinct word tokenized once.
+    """Ids of whole texts by the ``tokenizers`` library, each distinct word or part tokenized once while it is remembered.
 
     The tokenizer's pieces never span white space, so a text's ids are those of its blank-separated words
-    in order. Words are told apart as strings (Arrow's dictionary encoding), not by a hash.
+    in order. A plain word's are those of its lower-cased letters and of the punctuation after them. Words and
+    letters are told apart as strings (Arrow's dictionary encoding), not by a hash.
     """
 
     def __init__(self, path: str):
@@ -62,54 +103,62 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.words, self.parts = Memory(), Memory()
         self.pieces: dict[str, list[int]] = {}
-        self.starts, self.flat = array("q", [0]), array("I")
 
     def _ids(self, word: str) -> list[int]:
+        """Ids of a word that isn't plain."""
+        t = self.tokenizer
         if any(s in word for s in self.special):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if plain := PLAIN.fullmatch(word):
-            parts = [low if (low := plain[1].lower()).isascii() else "".join(map(SHOWN.__getitem__, low.encode()))]
-            if plain[2]:
-                parts.append(plain[2])
-        else:
-            t = self.tokenizer
-            parts = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]
+            return t.encode(word, add_special_tokens=False).ids
         out: list[int] = []
-        for part in parts:
+        for part, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)):
             got = self.pieces.get(part)
             if got is None:
-                got = [x.id for x in self.tokenizer.model.tokenize(part)]
+                got = [x.id for x in t.model.tokenize(part)]
                 if len(part) <= 3 and len(self.pieces) < CACHED_WORDS:
                     self.pieces[part] = got
             out += got
         return out
 
+    def _spell_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, flat, n = self.tokenizer.model.tokenize, array("I"), []
+        for part in parts.to_pylist():
+            ids = [x.id for x in tokenize(part if part.isascii() else "".join(map(SHOWN.__getitem__, part.encode())))] if part else []
+            flat.extend(ids)
+            n.append(len(ids))
+        return np.array(flat, np.uint32), np.array(n, np.int64)
+
+    def _spell_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.extract_regex(words, PLAIN)
+        plain = split.is_valid()
+        for s in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, s))
+        split, plain = split.filter(plain), plain.to_numpy(zero_copy_only=False)
+        parts = pa.concat_arrays([pc.utf8_lower(split.field("letters")), split.field("after")]).dictionary_encode()
+        slots = self.parts.slots(parts.dictionary, self._spell_parts)[parts.indices.to_numpy()]
+        others = [self._ids(w) for w in words.filter(pa.array(~plain)).to_pylist()]
+        # a word that isn't plain has its ids behind those of the parts, and nothing after them
+        starts, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        known = self.parts.starts
+        starts[plain], sizes[plain] = known[slots].reshape(2, -1).T, (known[slots + 1] - known[slots]).reshape(2, -1).T
+        sizes[~plain, 0] = n = np.array([len(x) for x in others], np.int64)
+        starts[~plain, 0] = known[-1] + np.cumsum(n) - n
+        flat = np.concatenate([self.parts.flat, np.array([i for x in others for i in x], np.uint32)])
+        return flat[spans(starts.ravel(), sizes.ravel())], sizes.sum(axis=1)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the n + 1 offsets of the texts in them."""
         words = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        if len(self.known) > CACHED_WORDS:
-            self.forget()
-        known, starts, flat = self.known, self.starts, self.flat
-        slots = np.empty(len(coded.dictionary), np.int64)
-        for i, word in enumerate(coded.dictionary.to_pylist()):
-            slot = known.get(word)
-            if slot is None:
-                flat.extend(self._ids(word) if word else ())
-                starts.append(len(flat))
-                slot = known[word] = len(starts) - 2
-            slots[i] = slot
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        at, ids = np.frombuffer(starts, np.int64), np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32)
-        each = slots[coded.indices.to_numpy(zero_copy_only=False)]
-        n = at[each + 1] - at[each]
+        each = self.words.slots(coded.dictionary, self._spell_words)[coded.indices.to_numpy(zero_copy_only=False)]
+        at = self.words.starts[each]
+        n = self.words.starts[each + 1] - at
         ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.arange(ends[-1]) + np.repeat(at[each] - ends[:-1], n)
         offsets = words.offsets.to_numpy()
-        return ids[take], ends[offsets - offsets[0]]
+        return self.words.flat[spans(at, n)], ends[offsets - offsets[0]]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -199,7 +248,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         tokenizer, group = tokenizer_of(tokenizer_path), []
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in bw.slices(texts):
+            for a, b in bw.slices(texts, BATCH_BYTES):
                 ids, at = tokenizer.encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     group.append((keys[a + i], np.append(ids[at[i] : at[i + 1]], np.uint32(END_ID))))

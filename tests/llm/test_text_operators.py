@@ -69,6 +69,30 @@ def test_packing_ids_are_the_tokenizers(spark, docs):
     assert pk.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_frequent_words_stay_remembered(monkeypatch):
+    """Rare words never drive out those that come again; spellings of the same letters are one."""
+    from types import SimpleNamespace
+
+    tokenizer = pk.WordTokenizer(queries.tokenizer_path())
+    whole, asked = tokenizer.tokenizer, defaultdict(int)
+
+    def tokenize(part):
+        asked[part] += 1
+        return whole.model.tokenize(part)
+
+    tokenizer.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), encode=whole.encode, normalizer=whole.normalizer, pre_tokenizer=whole.pre_tokenizer)
+    monkeypatch.setattr(pk, "CACHED_WORDS", 300)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(6))
+    letters = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
+    for batch in range(12):
+        common = " ".join(f"{name(i)} {name(i).title()}, {name(i).upper()}!?" for i in range(40))
+        texts = [common, None, " ".join(name(10**6 + 1000 * batch + i) + ("7" if i % 9 == 0 else "") for i in range(250)), ""] + [" ".join(f"a{c}b." for c in letters)] * (batch == 11)
+        ids, at = tokenizer.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert max(asked[name(i)] for i in range(40)) == 1
+
+
 def brute_rules(text):
     words = re.findall("[^\x20\x09-\x0D]+", text or "")
     at = defaultdict(list)
