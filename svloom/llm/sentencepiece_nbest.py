@@ -49,6 +49,8 @@ BYTE_LOSS = 10.0
 #: What a worker remembers at most: units, and ids of their paths.
 CACHED_UNITS, CACHED_IDS = 1_500_000, 12_000_000
 CACHED_DEEP = 2_000_000
+#: Parts of up to so many characters are searched forwards only, with more memory a character; bytes of texts that are encoded at once.
+SHORT, BATCH_BYTES = 4096, 1 << 20
 #: Paths of a document.
 N_BEST = 4
 LOW, NO_LOSS = -(1 << 62), 1 << 62
@@ -98,6 +100,12 @@ class Pieces:
         self.score = {self.text[i]: (round(w * SCALE), i) for i, w in zip(plain, weight)}
         #: All pieces with (weight, number), and all their beginnings that are no pieces with None.
         self.known = {p[:k]: None for p in self.score for k in range(1, len(p) + 1)} | self.score
+        #: The same as a tree: by character (weight or None, number, children).
+        nodes: dict[str, dict] = {"": {}}
+        for p in sorted(self.known, key=len):
+            nodes[p] = {}
+            nodes[p[:-1]][p[-1]] = (*(self.known[p] or (None, -1)), nodes[p])
+        self.tree = nodes[""]
         self.joined = {pair for p in self.score for pair in zip(p, p[1:])}
         self.endings = {p[k:] for p in self.score for k in range(len(p))}
         self.unknown = min(w for w, _ in self.score.values()) - round(BYTE_LOSS * SCALE)
@@ -167,6 +175,39 @@ class Pieces:
                 insort(queue, (cost, s, tick, after + w, ((s, at, i), path)))
         return out
 
+    def best_two(self, text: str) -> tuple[list[int], int, int]:
+        """Ids and score of the best path and what the second path loses, as ``nbest`` has them, in one pass forwards."""
+        n, tree, unknown = len(text), self.tree, self.unknown
+        top, below, came, piece = [LOW] * (n + 1), [LOW] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        top[0] = 0
+        for s in range(n):
+            a, b = top[s], below[s]
+            node, e = tree.get(text[s]), s + 1
+            if node is None or node[0] is None:
+                w, i, after = unknown, -1, node[2] if node else None
+            else:
+                w, i, after = node
+            while True:
+                if w is not None:
+                    # of equal paths the first has the longer last piece
+                    if (x := a + w) > top[e]:
+                        below[e] = max(top[e], b + w)
+                        top[e], came[e], piece[e] = x, s, i
+                    elif x > below[e]:
+                        below[e] = x
+                if not after or e == n:
+                    break
+                node = after.get(text[e])
+                if node is None:
+                    break
+                w, i, after = node
+                e += 1
+        path, e = [], n
+        while e:
+            path.append((came[e], e, piece[e]))
+            e = came[e]
+        return self.spell(text, path[::-1]), top[n], top[n] - below[n] if below[n] > LOW else NO_LOSS
+
     def parts(self, text: str) -> list[str]:
         """``text``, cut where no piece holds both neighbours."""
         joined = self.joined
@@ -202,9 +243,13 @@ class Pieces:
         """Number of the remembered part."""
         got = self.known_parts.get(text)
         if got is None:
-            paths = self.nbest(text, 2)
-            loss = paths[0][0] - paths[1][0] if len(paths) > 1 else NO_LOSS
-            got = self.known_parts[text] = self._remember(self.spell(text, paths[0][1]), paths[0][0], loss)
+            if len(text) <= SHORT:
+                ids, best, loss = self.best_two(text)
+            else:
+                paths = self.nbest(text, 2)
+                ids, best = self.spell(text, paths[0][1]), paths[0][0]
+                loss = best - paths[1][0] if len(paths) > 1 else NO_LOSS
+            got = self.known_parts[text] = self._remember(ids, best, loss)
         return got
 
     def unit(self, word: str) -> int:
@@ -277,12 +322,15 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
             ends_unit[at[1:] - 1] = True
         place = np.flatnonzero(ends_unit)
         blanks = np.diff(place, prepend=-1)
-        names = [known[c] for c in which[place].tolist()]
-        for k in np.flatnonzero(blanks > 1).tolist():
-            names[k] = BLANK * (int(blanks[k]) - 1) + names[k]
         at = np.searchsorted(place, at)
-        known_units, unit = pieces.units, pieces.unit
-        u = np.fromiter((known_units[w] if w in known_units else unit(w) for w in names), np.int64, len(names))
+        word, single, unit = which[place], blanks == 1, pieces.unit
+        # each distinct word is looked up once
+        slots, met = np.zeros(len(known), np.int64), np.flatnonzero(np.bincount(word[single], minlength=len(known)))
+        slots[met] = [unit(known[c]) for c in met.tolist()]
+        name = lambda k: BLANK * (int(blanks[k]) - 1) + known[word[k]]
+        u = slots[word]
+        for k in np.flatnonzero(~single).tolist():
+            u[k] = unit(name(k))
         starts, ids = np.frombuffer(pieces.starts, np.int64), np.frombuffer(pieces.ids, np.int32) if pieces.ids else np.zeros(0, np.int32)
         best, loss = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in (pieces.best, pieces.loss))
         size = starts[u + 1] - starts[u]
@@ -307,7 +355,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
                 below = where[mine[where] < cut]
                 where = np.concatenate([below, where[mine[where] == cut][: depth - 1 - len(below)]])
             where = sorted(where.tolist(), key=lambda k: (mine[k], k))
-            deep = [pieces.deep(names[a + k]) for k in where]
+            deep = [pieces.deep(name(a + k)) for k in where]
             sums = least_sums([[lost for lost, _ in x] for x in deep], depth)
             second.append(whole - sums[1][0] if len(sums) > 1 else None)
             for lost, moves in sums[:n]:
@@ -337,7 +385,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, n:
     def apply(batches):
         pieces = pieces_of(model_path, depth)
         for batch in batches:
-            for a, b in bw.slices(batch.column(1)):
+            for a, b in bw.slices(batch.column(1), BATCH_BYTES):
                 yield some(pieces, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
 
     path = "struct<score: double, n_pieces: long, ids_crc32: long, round_trip: boolean" + ", ids: array<int>" * with_ids + ">"

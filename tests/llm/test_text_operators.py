@@ -246,6 +246,21 @@ def test_nbest_against_all_paths(pieces):
         assert all(pieces.decode(ids) == text for _, ids in found)
 
 
+def test_two_best_paths_of_a_part_need_one_pass(pieces, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for letters in ("abeinrst", "ab-.=", "▁ae", "é日x\n", "lo") for _ in range(300)]
+    texts += [".......=", "-" * 300, "the" * 200, sn.BLANK, "𝒳"]
+    expected = []
+    for text in texts:
+        paths = pieces.nbest(text, 2)
+        expected.append((pieces.spell(text, paths[0][1]), paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else sn.NO_LOSS))
+    monkeypatch.setattr(pieces, "backward", None)
+    pieces.forget()
+    for text, (ids, best, loss) in zip(texts, expected):
+        k = pieces.part(text)
+        assert (pieces.ids[pieces.starts[k] : pieces.starts[k + 1]].tolist(), pieces.best[k], pieces.loss[k]) == (ids, best, loss)
+
+
 def test_ties_and_long_units_take_linear_time(spark, pieces, monkeypatch):
     steps = 0
     real = pieces.backward
