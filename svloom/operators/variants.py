@@ -9,9 +9,12 @@ from svloom.operators import intervals as iv
 
 def parse_vcf_lines(lines: DataFrame) -> DataFrame:
     """Records from the data lines of a VCF text (``line_no``, ``value``): 0-based start, end from INFO END or the reference allele."""
-    part = F.split("value", "\t")
+    part = F.col("part")
     info = F.str_to_map(F.get(part, F.lit(7)), F.lit(";"), F.lit("="))
-    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0))
+    # a line is split once: Spark moves no filter on its fields before this explode, where each would make and split the line anew
+    rows = lines.select("line_no", F.explode(F.array(F.split("value", "\t"))).alias("part"))
+    first = F.get(part, F.lit(0))
+    rows = rows.where(~F.startswith(first, F.lit("#")) & ((F.length(first) > 0) | (F.size(part) > 1)))
     at = lambda k: F.get(part, F.lit(k))
     start = at(1).cast("long") - 1
     alts = F.when(at(4) == ".", F.array().cast("array<string>")).otherwise(F.split(at(4), ","))
@@ -58,7 +61,8 @@ def kept_and_skipped(variants: DataFrame, kept: Column) -> DataFrame:
 def drop_reference_genotypes(variants: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Without records whose genotype is missing or whose first and last tokens are 0; a missing allele stays and reads as 0."""
     t = F.col(tokens)
-    kept = variants.where(t.isNotNull() & ~((F.get(t, F.lit(0)) == "0") & (F.get(t, F.size(t) - 1) == "0")))
+    # the tokens stand in the filter once, as Spark puts their whole expression wherever they do
+    kept = variants.where(F.exists(F.array(t), lambda t: t.isNotNull() & ~((F.get(t, F.lit(0)) == "0") & (F.get(t, F.size(t) - 1) == "0"))))
     return kept.withColumn(tokens, F.transform(t, lambda x: F.when(x == ".", "0").otherwise(x)))
 
 
