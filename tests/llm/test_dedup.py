@@ -184,3 +184,33 @@ def test_embeddings_against_brute_force(spark, how):
     for i in (9001, 9002, 9003, 9004, 9005, 9008):
         assert (by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True)
     assert ed.near_duplicates(df.limit(0), how=how).count() == 0
+
+
+@pytest.mark.parametrize("vectors", [10**5, 615_384, 10**6])
+def test_few_copies_of_a_vector_are_shuffled(spark, vectors):
+    how = ed.plan(vectors)
+    rng = np.random.default_rng(5)
+    rows = [(i, 1, v) for i, v in enumerate(rng.normal(size=(20, 64)).tolist())]
+    copies = ed._spread(spark.createDataFrame(rows, "key long, weight long, v array<float>"), how, True).collect()
+    sent = sum(len(value) if isinstance(value, (bytes, bytearray)) else 8 * len(value) if isinstance(value, list) else 8 for r in copies for value in r)
+    assert sent <= 20 * 64 * 4 * 6  # before: 36 copies up to 131,072 vectors, 128 beyond, of whole vectors
+
+
+def test_blocks_of_large_buckets_and_pairs_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 40 * 16)
+    monkeypatch.setattr(ed, "CELL", 30)
+    rng = np.random.default_rng(7)
+    rows = [rng.normal(size=16) for _ in range(10)]
+    rows += [rows[0] + rng.normal(size=16) * 0.25 for _ in range(300)]
+    for k in range(40):  # cosines nearer to 0.9 than 16-bit components can tell
+        x, z = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        rows += [x, (0.9 + (k - 19.5) * 1e-7) * x + np.sqrt(1 - (0.9 + (k - 19.5) * 1e-7) ** 2) * z]
+    x = np.array(rows)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    assert close[310::2, 311::2].diagonal().sum() == 20
+    expected = components(len(x), [(a, b) for a, b in zip(*np.nonzero(np.triu(close, 1)))])
+    by = {r.vec_id: r for r in ed.near_duplicates(df, how=(1, 8, 1)).collect()}
+    assert [by[i].n_links for i in range(len(x))] == (close.sum(1) - 1).tolist()
+    assert [by[i].component_id for i in range(len(x))] == list(expected)
