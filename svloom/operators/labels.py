@@ -188,12 +188,17 @@ def sfs_tuples(named: DataFrame) -> DataFrame:
     return rows.where("contig <> '' and start_pos <> 0 and end_pos <> 0")
 
 
-def gather_sfs(strings: DataFrame, variants: DataFrame, reads: DataFrame, widen: int = 50) -> DataFrame:
+def gather_sfs(strings: DataFrame, variants: DataFrame, reads: DataFrame, widen: int = 50, by: str = "variant_id") -> DataFrame:
     """(variant_id, read_id, contig, start_pos, end_pos) of strings (of ``parse_sfs``) at each variant (variant_id, contig, start_pos, end_pos).
 
     A variant takes the strings of its own ``reads`` (variant_id, read_id: those with a signature there) that lie on its
     contig and meet it, ends included, when it is widened on both sides; a read with several signatures counts once.
+    Where groups of variants share their reads, ``by`` names the group, a column of ``variants`` and of ``reads`` (by, read_id), and no row stands for a
+    variant and a read.
     """
-    wanted = reads.select("variant_id", "read_id").distinct().join(variants.select("variant_id", "contig", (F.col("start_pos") - widen).alias("lo"), (F.col("end_pos") + widen).alias("hi")), "variant_id")
-    met = strings.select("read_id", "contig", "start_pos", "end_pos").join(wanted, ["read_id", "contig"])
-    return met.where(F.greatest("start_pos", "lo") <= F.least("end_pos", "hi")).select("variant_id", "read_id", "contig", "start_pos", "end_pos")
+    group = lambda rows: F.struct(rows[by].alias("by"), rows["contig"].alias("contig"))
+    owned = strings.select("read_id", "contig", "start_pos", "end_pos").join(reads.select(by, "read_id").distinct(), "read_id")
+    left = owned.select(group(owned).alias("group"), "read_id", "contig", "start_pos", "end_pos", F.col("start_pos").alias("l_start"), (F.col("end_pos") + 1).alias("l_end"))
+    right = variants.select("variant_id", group(variants).alias("group"), (F.col("start_pos") - widen).alias("r_start"), (F.col("end_pos") + (widen + 1)).alias("r_end"))
+    met = iv.overlap_join(left, iv.gathered(right, ["group", "r_start", "r_end"]), "group", 256, cheap=True)
+    return met.select("read_id", "contig", "start_pos", "end_pos", F.inline("members")).select("variant_id", "read_id", "contig", "start_pos", "end_pos")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from svloom.operators import aligner as ar, alignment as al, assignment as an, evidence as ev, haplotypes as hp, intervals as iv, kmers as km
+from svloom.operators import aligner as ar, alignment as al, assignment as an, evidence as ev, haplotypes as hp, intervals as iv, kmers as km, labels as lb
 from svloom.plans import alignment_queries as aq, scoring_queries as sq, sequence_queries as seq
 from svloom.sources import bam, bgzf, indexed_fasta
 
@@ -302,3 +302,42 @@ def test_split_reads_are_sorted_once(spark):
         found = al.split_signatures(segments, kind, cap=300)
         assert len(pairs) > 2 and sorted(map(tuple, found.collect())) == sorted(pairs)
         assert final_plan(found).count("Sort [") == 1
+
+
+def test_equal_places_are_joined_once(spark):
+    rows = spark.createDataFrame([(i, "c", 10 * (i % 2), 10 * (i % 2) + 5) for i in range(3000)], "id long, k string, r_start long, r_end long")
+    places = iv.gathered(rows, ["k", "r_start", "r_end"]).cache()
+    found = [(r.r_start, sorted(m.id for m in r.members)) for r in places.collect()]
+    assert len(found) == 4 and all(len(ids) <= iv.GATHERED for _, ids in found)
+    assert sorted(i for _, ids in found for i in ids) == list(range(3000)) and all(i % 2 * 10 == s for s, ids in found for i in ids)
+    left = spark.createDataFrame([(1, "c", 0, 8), (2, "c", 4, 12)], "n long, k string, l_start long, l_end long")
+    met = iv.overlap_join(left, places, "k", 4, cheap=True)
+    assert met.count() == 6
+    assert met.select("n", F.inline("members")).groupBy("n").count().orderBy("n").collect() == [(1, 1500), (2, 3000)]
+
+
+def test_left_rows_go_to_no_level_that_the_right_side_lacks(spark):
+    rng = np.random.default_rng(4)
+    make = lambda n, most: [(int(i), "c", int(s), int(s + w)) for i, s, w in zip(range(n), rng.integers(0, 4000, n), rng.integers(1, most, n))]
+    a, b = make(200, 300), make(60, 4) + [(60 + i, "c", s, s + 900) for i, s in enumerate((0, 1000, 3500))]
+    left, right = spark.createDataFrame(a, "l long, k string, l_start long, l_end long"), spark.createDataFrame(b, "r long, k string, r_start long, r_end long")
+    met = iv.overlap_join(left, right, "k", 4, cheap=True)
+    assert sorted((x.l, x.r) for x in met.collect()) == sorted((x[0], y[0]) for x in a for y in b if x[2] < y[3] and x[3] > y[2])
+    assert iv.overlap_join(left, right.limit(0), "k", 4, cheap=True).count() == 0
+    levels = F.sequence(F.lit(0), F.lit(iv.LEVELS - 1))
+    small = right.where("r < 60")
+    joined = iv.overlap_join(left, small, "k", 4, cheap=True)
+    assert "__levels" in joined._jdf.queryExecution().analyzed().toString() and iv._binned(iv._levelled(left, "l_start", "l_end", 4), "l_start", "l_end", 4, True, F.filter(levels, lambda k: k == F.col("__own"))).count() <= 2 * len(a)
+
+
+def test_variants_that_share_their_reads(spark):
+    rng = np.random.default_rng(6)
+    strings = [(f"r{i % 7}", f"c{i % 2}", int(s), int(s) + 5) for i, s in enumerate(rng.integers(0, 200, 80))]
+    variants = [(i, f"c{i % 2}", 20 * (i % 5), 20 * (i % 5) + 3, i % 3) for i in range(60)]
+    reads = [(k, f"r{n}") for n in range(7) for k in range(3) if (n + k) % 2] * 2
+    wanted = sorted((x[0], s[0], *s[1:]) for s in strings for x in variants if s[1] == x[1] and (x[4], s[0]) in reads and max(s[2], x[2] - 4) <= min(s[3], x[3] + 4))
+    frames = [spark.createDataFrame(strings, "read_id string, contig string, start_pos long, end_pos long"), spark.createDataFrame(variants, "variant_id long, contig string, start_pos long, end_pos long, k long")]
+    shared = lb.gather_sfs(*frames, spark.createDataFrame(reads, "k long, read_id string"), 4, by="k")
+    assert len(wanted) > 50 and sorted(map(tuple, shared.collect())) == wanted
+    own = [(x[0], r) for x in variants for k, r in reads if k == x[4]]
+    assert sorted(map(tuple, lb.gather_sfs(*frames, spark.createDataFrame(own, "variant_id long, read_id string"), 4).collect())) == wanted
