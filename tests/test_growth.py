@@ -341,3 +341,16 @@ def test_variants_that_share_their_reads(spark):
     assert len(wanted) > 50 and sorted(map(tuple, shared.collect())) == wanted
     own = [(x[0], r) for x in variants for k, r in reads if k == x[4]]
     assert sorted(map(tuple, lb.gather_sfs(*frames, spark.createDataFrame(own, "variant_id long, read_id string"), 4).collect())) == wanted
+
+
+def test_matrices_of_one_place_are_made_once(spark, sf, tmp_path, monkeypatch):
+    seen, found, plain = [], [], al.centred_matrix
+    monkeypatch.setattr(al, "centred_matrix", lambda rows, *size: seen.append(rows.count()) or plain(rows, *size))
+    for copies in (1, 3):
+        folder = str(tmp_path / str(copies))
+        spark.read.parquet(f"{sf}/lineitem.parquet").write.parquet(f"{folder}/lineitem.parquet")
+        parts = spark.read.parquet(f"{sf}/part.parquet")
+        parts.withColumn("p_partkey", F.explode(F.array(*[F.col("p_partkey") + 20_000 * k for k in range(copies)]))).write.parquet(f"{folder}/part.parquet")
+        found.append(sorted(map(tuple, aq.sv77_centred_matrix(spark, folder).collect())))
+    assert seen[0] == seen[1] > 0  # before: three times as many
+    assert found[0] and found[1] == sorted((v + 20_000 * k, *rest) for v, *rest in found[0] for k in range(3))
