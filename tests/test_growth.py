@@ -354,3 +354,14 @@ def test_matrices_of_one_place_are_made_once(spark, sf, tmp_path, monkeypatch):
         found.append(sorted(map(tuple, aq.sv77_centred_matrix(spark, folder).collect())))
     assert seen[0] == seen[1] > 0  # before: three times as many
     assert found[0] and found[1] == sorted((v + 20_000 * k, *rest) for v, *rest in found[0] for k in range(3))
+
+
+def test_regions_of_one_place_are_fetched_once_in_many_tasks(spark, tmp_path):
+    ops = [(0, 50)]
+    reads = spark.createDataFrame([(f"r{i}", 0, "c", 20 * i, 60, ops, "*", False) for i in range(40)], "read_id string, flag int, contig string, ref_start long, mapq int, cigar array<struct<op:int,len:long>>, seq string, has_sa boolean")
+    bam.write_bam(reads, str(tmp_path / "reads"), [("c", 1000)])
+    regions = [(i, "c", 100 * (i % 5), 100 * (i % 5) + 30) for i in range(50)]
+    met = bam.fetch_regions(spark.createDataFrame(regions, "region_id int, contig string, start_pos int, end_pos int"), str(tmp_path / "reads"))
+    wanted = sorted((g, f"r{i}") for g, _, s, e in regions for i in range(40) if 20 * i < e and 20 * i + 50 > s)
+    assert sorted((r.region_id, r.read_id) for r in met.collect()) == wanted
+    assert met.rdd.getNumPartitions() == 4  # before: one, as the regions are few bytes
