@@ -197,7 +197,8 @@ def gather_sfs(strings: DataFrame, variants: DataFrame, reads: DataFrame, widen:
     variant and a read.
     """
     group = lambda rows: F.struct(rows[by].alias("by"), rows["contig"].alias("contig"))
-    owned = strings.select("read_id", "contig", "start_pos", "end_pos").join(reads.select(by, "read_id").distinct(), "read_id")
+    known = reads.select(by, "read_id").distinct().join(variants.select(by).distinct(), by)
+    owned = strings.select("read_id", "contig", "start_pos", "end_pos").join(known, "read_id")
     left = owned.select(group(owned).alias("group"), "read_id", "contig", "start_pos", "end_pos", F.col("start_pos").alias("l_start"), (F.col("end_pos") + 1).alias("l_end"))
     right = variants.select("variant_id", group(variants).alias("group"), (F.col("start_pos") - widen).alias("r_start"), (F.col("end_pos") + (widen + 1)).alias("r_end"))
     met = iv.overlap_join(left, iv.gathered(right, ["group", "r_start", "r_end"]), "group", 256, cheap=True)
